@@ -54,10 +54,8 @@ def breadcrumb(titles: Column, deeper: Column, max_chars: int = 80) -> Column:
     return F.coalesce(fitting, F.try_element_at(path, F.lit(-1)), F.lit(""))
 
 
-def with_heading_path(
-    docs: DataFrame, max_section_chars: int = 80, doc: str = "doc_id", text: str = "markdown"
-) -> DataFrame:
-    """Lines with level, title, running section number and, on heading lines, the path.
+def _with_open_headings(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """Lines with level, title, running section number and, per level, the open heading.
 
     Per level the last heading at or above it is kept; it is open if it is of exactly
     that level, because any later heading of a lower level has closed it.
@@ -77,17 +75,35 @@ def with_heading_path(
         ).over(so_far)
         for level in range(1, 7)
     }
-    numbered = lines.withColumns(
-        {**lasts, "section_seq": F.sum(titled.cast("int")).over(so_far).cast("int")}
-    )
+    numbered = F.sum(titled.cast("int")).over(so_far).cast("int")
+    return lines.withColumns({**lasts, "section_seq": numbered}).withColumn("titled", titled)
+
+
+def _open(levels, value) -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(f"_h{n}.lvl") == n, value(n)) for n in levels]))
 
-    def open_titles(levels) -> Column:
-        titles = [F.when(F.col(f"_h{n}.lvl") == n, F.col(f"_h{n}.title")) for n in levels]
-        return F.array_compact(F.array(*titles))
 
-    path = breadcrumb(open_titles(range(1, 7)), open_titles(range(2, 7)), max_section_chars)
-    return numbered.select(
-        doc, "pos", "line", "lvl", "title", "section_seq", F.when(titled, path).alias("path")
+def heading_stack(docs: DataFrame, doc: str = "doc_id", text: str = "markdown") -> DataFrame:
+    """(doc, pos, stack) per titled heading: ``1:Title/3:Part`` from the outside in."""
+    entry = lambda n: F.concat(F.lit(f"{n}:"), F.col(f"_h{n}.title"))
+    lines = _with_open_headings(docs, doc, text).filter("titled")
+    return lines.select(doc, "pos", F.array_join(_open(range(1, 7), entry), "/").alias("stack"))
+
+
+def with_heading_path(
+    docs: DataFrame, max_section_chars: int = 80, doc: str = "doc_id", text: str = "markdown"
+) -> DataFrame:
+    """(doc, pos, line, section_seq, path): the path is given on titled headings only."""
+    titles = lambda levels: _open(levels, lambda n: F.col(f"_h{n}.title"))
+    lines = _with_open_headings(docs, doc, text).withColumns(
+        {
+            "_titles": F.when(F.col("titled"), titles(range(1, 7))),
+            "_deeper": F.when(F.col("titled"), titles(range(2, 7))),
+        }
+    )
+    path = breadcrumb(F.col("_titles"), F.col("_deeper"), max_section_chars)
+    return lines.select(
+        doc, "pos", "line", "section_seq", F.when(F.col("titled"), path).alias("path")
     )
 
 

@@ -1,0 +1,13 @@
+"""All registered queries, by area."""
+
+from importlib import import_module
+
+from corpusloom.registry.base import REGISTRY, Query
+
+AREAS = ("cleaning", "chunking")
+
+
+def load() -> dict[str, Query]:
+    for area in AREAS:
+        import_module(f"corpusloom.registry.{area}")
+    return REGISTRY
