@@ -4,7 +4,7 @@ from importlib import import_module
 
 from corpusloom.registry.base import REGISTRY, Query
 
-AREAS = ("cleaning", "chunking")
+AREAS = ("sources", "cleaning", "chunking", "models", "search", "reports")
 
 
 def load() -> dict[str, Query]:

@@ -427,3 +427,186 @@ def chunk_ctes(
 
 
 MD_CHUNKS = [MD_CORPUS, *clean("md_corpus"), *chunk_ctes("cleaned", 300, 50, 60)]
+
+
+# --- pages -----------------------------------------------------------------------------
+
+
+def page_lines(html: str, keep_nav: bool = False) -> str:
+    text = sub(html, r"(?s)<!--.*?-->")
+    for name in ("script", "style", "head", "footer") + (() if keep_nav else ("nav",)):
+        text = sub(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>")
+    text = sub(text, r'(?is)<div[^>]*\bclass="ad"[^>]*>.*?</div>')
+    if not keep_nav:
+        article = rf"regexp_extract({text}, '(?is)<article\b[^>]*>(.*)</article\s*>', 1)"
+        text = f"coalesce(nullif({article}, ''), {text})"
+    return text
+
+
+def page_markup(text: str) -> str:
+    text = sub(text, f"{WS}+", " ")
+    for n in range(1, 7):
+        text = f"regexp_replace({text}, '(?i)<h{n}\\b[^>]*>', chr(10) || chr(10) || '{'#' * n} ', 'g')"
+    for pattern, mark in (
+        (r"(?i)</h[1-6]\s*>", "chr(10) || chr(10)"),
+        (r'(?i)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a\s*>', r"'[\2](\1)'"),
+        (r"(?i)<li\b[^>]*>", "chr(10) || '- '"),
+        (r"(?i)</t[dh]\s*>", "' |'"),
+        (r"(?i)<tr\b[^>]*>", "chr(10) || '|'"),
+        (r"(?i)<t[dh]\b[^>]*>", "' '"),
+        (
+            r"(?i)</?(?:p|div|section|article|main|header|aside|ul|ol|table|thead|tbody|blockquote"
+            r"|pre|dl|dt|dd|figure|figcaption|hr|br)\b[^>]*>",
+            "chr(10) || chr(10)",
+        ),
+        (TAG, "''"),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', {mark}, 'g')"
+    for entity, character in (
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+        ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"),
+        ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"),
+    ):
+        text = f"replace({text}, '{entity}', '{character}')"
+    return text
+
+
+def page_blocks(keep_nav: bool = False) -> list[tuple[str, str]]:
+    """``blocks``: (page_id, url, pos, line) of the stripped lines that are not empty."""
+    return [
+        ("content", f"SELECT page_id, url, {page_lines('html', keep_nav)} AS body FROM pages"),
+        ("marked", f"SELECT page_id, url, {page_markup('body')} AS body FROM content"),
+        (
+            "page_pieces",
+            f"""SELECT page_id, url, list_filter(list_transform(
+              regexp_split_to_array(body, '{LINE_END}'), lambda l: {strip('l')}), lambda l: l <> '') AS ls
+            FROM marked""",
+        ),
+        (
+            "blocks",
+            """SELECT page_id, url, CAST(unnest(range(len(ls))) AS INTEGER) AS pos,
+              unnest(ls) AS line FROM page_pieces""",
+        ),
+        (
+            "page_texts",
+            """SELECT page_id, url, array_to_string(ls, chr(10) || chr(10)) AS markdown
+            FROM page_pieces""",
+        ),
+    ]
+
+
+def slug(url: str) -> str:
+    name = f"regexp_extract(rtrim({url}, '/'), '([^/]*)$', 1)"
+    stem = rf"regexp_replace({name}, '^(.+)\.[^.]+$', '\1')"
+    words = f"trim(regexp_replace(lower({stem}), '[^a-z0-9]+', '-', 'g'), '-')"
+    return f"coalesce(nullif(left({words}, 60), ''), 'source')"
+
+
+# --- vectors and search ---------------------------------------------------------------
+
+
+def weights(source: str, keys: str, text: str, name: str) -> list[tuple[str, str]]:
+    """Sparse unit vectors: (keys, bucket, weight)."""
+    return [
+        (
+            f"{name}_words",
+            rf"""SELECT {keys}, regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g') AS token FROM (
+              SELECT {keys}, unnest(regexp_split_to_array(lower({text}), '{WS}+')) AS w FROM {source})""",
+        ),
+        (
+            f"{name}_counts",
+            f"""SELECT {keys}, CAST('0x' || substr(md5(token), 1, 2) AS INTEGER) % 256 AS bucket,
+              count(*) AS n FROM {name}_words WHERE token <> '' GROUP BY ALL""",
+        ),
+        (
+            name,
+            f"""SELECT {keys}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS weight
+              FROM {name}_counts""",
+        ),
+    ]
+
+
+QUERIES = (
+    "asked",
+    f"""SELECT conv_id * 1000000 + turn AS query_id, text AS query FROM conversations
+      WHERE role = 'user' AND {strip('text')} <> ''""",
+)
+
+# Questions as the registered model writes them: none for texts of odd length.
+MD_QUESTIONS = [
+    ("said", "SELECT doc_id, chunk_id, chunk_index, section, text FROM chunks WHERE length(text) % 2 = 0"),
+    (
+        "questions",
+        f"""SELECT doc_id, chunk_id, chunk_index, section, 0 AS nth,
+          'What does ' || split_part(text, chr(10), 1) || ' say?' AS question FROM said
+        UNION ALL
+        SELECT doc_id, chunk_id, chunk_index, section, 1,
+          {strip("replace(left(text, 50), chr(10), ' ')")} FROM said""",
+    ),
+]
+INDEX_ROWS = (
+    "index_rows",
+    """SELECT doc_id, chunk_id AS row_id, text AS document, 'chunk' AS type, chunk_id AS parent_id,
+      chunk_index, section FROM chunks
+    UNION ALL
+    SELECT doc_id, chunk_id || '-q' || nth, question, 'question', chunk_id, chunk_index, section
+    FROM questions""",
+)
+CHUNK_ROWS_ONLY = (
+    "index_rows",
+    """SELECT doc_id, chunk_id AS row_id, text AS document, 'chunk' AS type, chunk_id AS parent_id,
+      chunk_index, section FROM chunks""",
+)
+MD_INDEX = [*MD_CHUNKS, *MD_QUESTIONS, INDEX_ROWS]
+
+
+def similarities(queries: str = "asked") -> list[tuple[str, str]]:
+    """``sims``: every query against every index row, also those that share no word."""
+    return [
+        *weights("index_rows", "doc_id, row_id", "document", "row_weights"),
+        *weights(queries, "query_id", "query", "query_weights"),
+        (
+            "shared",
+            """SELECT query_id, doc_id, row_id, sum(q.weight * r.weight) AS s
+            FROM query_weights q JOIN row_weights r USING (bucket) GROUP BY ALL""",
+        ),
+        (
+            "sims",
+            f"""SELECT q.query_id, i.doc_id, i.row_id, i.parent_id, round(coalesce(s, 0), 6) AS similarity
+            FROM {queries} q CROSS JOIN index_rows i
+            LEFT JOIN shared s ON s.query_id = q.query_id AND s.doc_id = i.doc_id AND s.row_id = i.row_id""",
+        ),
+    ]
+
+
+def numbered(source: str, name: str = "rank") -> str:
+    return f"""SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+      ORDER BY similarity DESC, doc_id, row_id) AS INTEGER) AS {name} FROM {source}"""
+
+
+COLLAPSE = """SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (
+  PARTITION BY query_id, doc_id, parent_id ORDER BY similarity DESC, row_id) AS r FROM {0}) WHERE r = 1"""
+
+
+def ranked(k: int, fetch: int | None = None, collapse: bool = True) -> list[tuple[str, str]]:
+    """``ranked``: the final hits as ids and scores."""
+    source, ctes = "sims", []
+    if fetch is not None:
+        ctes.append(("fetched", f"SELECT * EXCLUDE (at) FROM ({numbered('sims', 'at')}) WHERE at <= {fetch}"))
+        source = "fetched"
+    if collapse:
+        ctes.append(("collapsed", COLLAPSE.format(source)))
+        source = "collapsed"
+    return [*ctes, ("ranked", f"SELECT * FROM ({numbered(source)}) WHERE rank <= {k}")]
+
+
+HITS = (
+    "hits",
+    """SELECT r.query_id, r.rank, r.doc_id, r.parent_id AS chunk_id,
+      CASE WHEN o.type = 'question' THEN coalesce(p.document, o.document) ELSE o.document END AS text,
+      r.similarity, round(1 - r.similarity, 6) AS distance, o.type AS match_type,
+      o.section, o.chunk_index, CASE WHEN o.type = 'question' THEN o.document ELSE '' END AS matched_text
+    FROM ranked r JOIN index_rows o ON o.doc_id = r.doc_id AND o.row_id = r.row_id
+    LEFT JOIN index_rows p ON p.doc_id = r.doc_id AND p.row_id = r.parent_id""",
+)
+MD_SEARCH = [*MD_INDEX, QUERIES, *similarities(), *ranked(5, 15), HITS]

@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from corpusloom.operators.indexing import upsert_index
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -48,11 +48,14 @@ def read_index(spark: SparkSession, path: str, config_key: str | None = None) ->
     return table if config_key is None else table.filter(F.col("config_key") == config_key)
 
 
-def write_index(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace the configurations and buckets present in ``rows``; leave all others."""
-    placed = with_bucket(rows, buckets)
+def write_index(placed: DataFrame, path: str) -> None:
+    """Replace the partitions (config_key, bucket) that ``placed`` has rows for.
+
+    Rebalancing brings the rows of a partition together and cuts large ones into several
+    files, so the number and size of files follow the data.
+    """
     (
-        placed.repartition("config_key", "bucket", F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(8)))
+        placed.hint("rebalance", "config_key", "bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("config_key", "bucket")
@@ -81,7 +84,8 @@ def upsert_table(
         touched = incoming.select("config_key", "bucket").distinct()
         nearby = existing.join(touched, ["config_key", "bucket"], "left_semi")
         merged = upsert_index(nearby, incoming, replace_docs, keys=("config_key", "bucket"))
-    write_index(stage(merged.drop("bucket")), path, buckets)
+    # New files are put in place only when the job commits, so it may read the old ones.
+    write_index(merged, path)
     return incoming.count()
 
 
