@@ -10,8 +10,6 @@ from corpusloom.registry import sql
 from corpusloom.registry.base import query
 from corpusloom.registry.fixtures import md_corpus
 
-BODY = F.col("markdown")
-
 
 def _rewrite(name: str, column, expression: str) -> None:
     """A query that applies one rewrite to whole documents."""
@@ -23,7 +21,7 @@ def _rewrite(name: str, column, expression: str) -> None:
 
     @query(name, text)
     def run(spark, folder):
-        return md_corpus(spark, folder).select("doc_id", column(BODY).alias("markdown"))
+        return md_corpus(spark, folder).select("doc_id", column(F.col("markdown")).alias("markdown"))
 
 
 _rewrite("unescape_brackets", c.unescape_brackets, sql.unescaped("markdown"))

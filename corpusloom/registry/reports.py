@@ -10,7 +10,7 @@ from corpusloom.operators import reviews as v
 from corpusloom.registry import sql
 from corpusloom.registry.base import query, table
 from corpusloom.registry.chunking import sweep, sweep_sql
-from corpusloom.registry.fixtures import md_chunks, reviews
+from corpusloom.registry.fixtures import md_chunks, md_corpus, reviews
 from corpusloom.registry.search import _search
 from corpusloom.registry.sources import FLAGS, LATEST
 
@@ -41,8 +41,6 @@ def chunk_flags(spark, folder):
     ),
 )
 def chunk_flags_raw(spark, folder):
-    from corpusloom.registry.fixtures import md_corpus
-
     flags = d.flags_of(F.col("markdown"), 1500, 1200)
     return md_corpus(spark, folder).select("doc_id", F.array_join(flags, " ").alias("flags"))
 

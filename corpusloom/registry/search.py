@@ -91,7 +91,7 @@ def knn_topk_blocked(spark, folder):
     "collapse_by_parent",
     sql.with_(
         *DENSE,
-        ("fetched", f"SELECT * FROM ({sql.numbered('sims', 'at')}) WHERE at <= 30"),
+        ("fetched", f"SELECT * FROM ({sql.numbered('sims', 'place')}) WHERE place <= 30"),
         last=f"SELECT {SCORED} FROM ({sql.COLLAPSE.format('fetched')})",
     ),
 )
@@ -242,7 +242,7 @@ PER_QUERY_K = "CAST(length(query) % 4 AS INT)"
         *sql.similarities(),
         (
             "fetched",
-            f"SELECT n.* EXCLUDE (at) FROM ({sql.numbered('sims', 'at')}) n JOIN asked USING (query_id) WHERE at <= 3 * k",
+            f"SELECT n.* EXCLUDE (place) FROM ({sql.numbered('sims', 'place')}) n JOIN asked USING (query_id) WHERE place <= 3 * k",
         ),
         ("collapsed", sql.COLLAPSE.format("fetched")),
         (

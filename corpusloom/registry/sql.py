@@ -592,7 +592,7 @@ def ranked(k: int, fetch: int | None = None, collapse: bool = True) -> list[tupl
     """``ranked``: the final hits as ids and scores."""
     source, ctes = "sims", []
     if fetch is not None:
-        ctes.append(("fetched", f"SELECT * EXCLUDE (at) FROM ({numbered('sims', 'at')}) WHERE at <= {fetch}"))
+        ctes.append(("fetched", f"SELECT * EXCLUDE (place) FROM ({numbered('sims', 'place')}) WHERE place <= {fetch}"))
         source = "fetched"
     if collapse:
         ctes.append(("collapsed", COLLAPSE.format(source)))
