@@ -41,12 +41,16 @@ def _drop_element(html: Column, names: tuple[str, ...]) -> Column:
     return html
 
 
-def decode_entities(text: Column) -> Column:
-    """Named entities of the fixed list, then numeric ones, then the ampersand."""
+def decode_named(text: Column) -> Column:
     for entity, character in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
+def decode_numeric(text: Column) -> Column:
+    """Decimal character references; each code that occurs is replaced throughout."""
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), 1))
-    decoded = F.aggregate(
+    return F.aggregate(
         codes,
         text,
         lambda acc, code: F.replace(
@@ -55,19 +59,17 @@ def decode_entities(text: Column) -> Column:
             F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32"),
         ),
     )
-    text = F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
-def main_content(html: Column, keep_nav: bool = False) -> Column:
-    """The page without comments, chrome and advertising; the article if there is one."""
+def without_chrome(html: Column, keep_nav: bool = False) -> Column:
+    """The page without comments, scripts, styles, advertising and navigation."""
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     html = _drop_element(html, DROPPED if keep_nav else DROPPED + NAVIGATION)
-    html = F.regexp_replace(html, AD_BLOCK, "")
-    article = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
-    if keep_nav:
-        return html
-    return F.when(article != "", article).otherwise(html)
+    return F.regexp_replace(html, AD_BLOCK, "")
+
+
+def article_of(html: Column) -> Column:
+    return F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
 
 
 def markup_to_markdown(html: Column) -> Column:
@@ -84,23 +86,33 @@ def markup_to_markdown(html: Column) -> Column:
     html = F.regexp_replace(html, r"(?i)<tr\b[^>]*>", "\n|")
     html = F.regexp_replace(html, r"(?i)<t[dh]\b[^>]*>", " ")
     html = F.regexp_replace(html, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n")
-    html = F.regexp_replace(html, r"</?[a-zA-Z][^>]*>", "")
-    return decode_entities(html)
+    return F.regexp_replace(html, r"</?[a-zA-Z][^>]*>", "")
 
 
-def page_lines(html: Column, keep_nav: bool = False) -> Column:
-    """ARRAY<STRING> of the stripped, non-empty markdown lines of a page."""
-    markdown = markup_to_markdown(main_content(html, keep_nav))
-    return F.filter(F.transform(split_lines(markdown), strip), lambda line: line != "")
+def with_page_lines(pages: DataFrame, keep_nav: bool = False, html: str = "html") -> DataFrame:
+    """Replace ``html`` by ``lines``: the stripped, non-empty markdown lines of the page.
 
+    Steps that look at their input more than once are columns of their own, so that the
+    passes before them run once.
+    """
+    body = F.col("_body")
+    pages = pages.withColumn("_body", without_chrome(F.col(html), keep_nav)).drop(html)
+    if not keep_nav:
+        pages = pages.withColumn("_article", article_of(body)).withColumn(
+            "_body", F.when(F.col("_article") != "", F.col("_article")).otherwise(body)
+        )
+    pages = pages.withColumn("_body", decode_named(markup_to_markdown(body)))
+    numeric = F.when(F.contains(body, F.lit("&#")), decode_numeric(body)).otherwise(body)
+    pages = pages.withColumn("_body", F.replace(numeric, F.lit("&amp;"), F.lit("&")))
+    stripped = F.transform(split_lines(body), strip)
+    lines = pages.withColumn("lines", F.filter(stripped, lambda line: line != ""))
+    return lines.drop("_body", "_article")
 
-def page_markdown(
-    pages: DataFrame, keep_nav: bool = False, page: str = "page_id", html: str = "html"
-) -> DataFrame:
-    """(page, …, markdown): one paragraph, heading, item or row per block."""
-    kept = [c for c in pages.columns if c != html]
-    lines = pages.select(*kept, page_lines(F.col(html), keep_nav).alias("_lines"))
-    return lines.select(*kept, F.array_join("_lines", "\n\n").alias("markdown"))
+
+def page_markdown(pages: DataFrame, keep_nav: bool = False, html: str = "html") -> DataFrame:
+    """(…, html) to (…, markdown): one paragraph, heading, item or row per block."""
+    lines = with_page_lines(pages, keep_nav, html)
+    return lines.withColumn("markdown", F.array_join("lines", "\n\n")).drop("lines")
 
 
 def block_kind(line: Column) -> Column:
@@ -116,10 +128,9 @@ def page_blocks(
     pages: DataFrame, keep_nav: bool = False, page: str = "page_id", html: str = "html"
 ) -> DataFrame:
     """(page, pos, kind, lvl, text), one row per block in page order."""
-    lines = pages.select(
-        page, F.posexplode(page_lines(F.col(html), keep_nav)).alias("pos", "text")
-    )
+    lines = with_page_lines(pages.select(page, html), keep_nav, html)
+    blocks = lines.select(page, F.posexplode("lines").alias("pos", "text"))
     text = F.col("text")
-    return lines.select(
+    return blocks.select(
         page, "pos", block_kind(text).alias("kind"), heading_level(text).alias("lvl"), "text"
     )

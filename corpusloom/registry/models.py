@@ -15,9 +15,10 @@ from corpusloom.registry.fixtures import (
     md_chunks,
     md_completions,
     question_model,
-    vectors,
 )
 
+from corpusloom.sources.pages import scan_table
+
 
 @query(
     "question_prompts",
@@ -110,7 +111,8 @@ HASHED = sql.with_(
 @query("hash_embed", HASHED)
 def hash_embed(spark, folder):
     """Non-zero entries of the hash vectors of whole documents."""
-    rows = e.embed_hash(documents(spark, folder), "markdown")
+    rows = scan_table(spark, f"{folder}/documents.parquet", "doc_id").select("doc_id", "text")
+    rows = e.embed_hash(rows, "text")
     sparse = v.sparse_entries(rows, ["doc_id"])
     return sparse.withColumn("weight", F.round("weight", 9))
 

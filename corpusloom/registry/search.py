@@ -46,7 +46,7 @@ DENSE = [
         "sims",
         """SELECT q.vec_id AS query_id, CAST(i.label AS BIGINT) AS doc_id, printf('v%06d', i.vec_id) AS row_id,
           'l' || i.label AS parent_id,
-          round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS similarity
+          round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS similarity
         FROM embeddings q, embeddings i""",
     )
 ]
@@ -316,7 +316,7 @@ def search_all(spark, folder):
 
 
 PACKED = (
-    "packed",
+    "in_context",
     """SELECT query_id, rank, '[' || rank || '] (' || coalesce(nullif(section, ''), 'document') || ')'
       || chr(10) || left(text, CAST(least(length(text), 700 - before) AS BIGINT)) AS block,
       CAST(least(length(text), 700 - before) AS INTEGER) AS used FROM (
@@ -327,7 +327,7 @@ PACKED = (
 
 @query(
     "pack_context",
-    sql.with_(*sql.MD_SEARCH, PACKED, last="SELECT query_id, rank, block, used FROM packed"),
+    sql.with_(*sql.MD_SEARCH, PACKED, last="SELECT query_id, rank, block, used FROM in_context"),
 )
 def pack_context(spark, folder):
     return n.pack_context(_search(spark, folder), 700)
@@ -339,7 +339,7 @@ PROMPTED = (
       || 'as [1], [2], and so on. If the sources do not contain the answer, say so plainly.' || chr(10) || chr(10)
       || 'Question: ' || query || chr(10) || chr(10) || 'Sources:' || chr(10)
       || string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Answer:' AS prompt
-    FROM asked JOIN packed USING (query_id) GROUP BY query_id, query""",
+    FROM asked JOIN in_context USING (query_id) GROUP BY query_id, query""",
 )
 EVERYONE = ("everyone", "SELECT conv_id * 1000000 + turn AS query_id FROM conversations")
 FIXED = "No sources retrieved — nothing to answer from."

@@ -27,7 +27,7 @@ from corpusloom.sources import tables as s
 
 
 def _pages(spark, folder):
-    return table(spark, folder, "pages")
+    return p.scan_table(spark, f"{folder}/pages.parquet", "page_id")
 
 
 @query(

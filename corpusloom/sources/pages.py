@@ -11,9 +11,17 @@ SLUG_CHARS = 60
 MIN_EXTRACT_CHARS = 1_000
 
 
-def scan_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table of pages or documents (parquet)."""
-    return spark.read.parquet(path)
+def scan_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A table of pages or documents (parquet).
+
+    With ``key``, rows of a table that comes in fewer files than there are cores are
+    hashed by it, so that costly work on each row is shared by all cores. A table of many
+    files is already spread and is left alone.
+    """
+    rows = spark.read.parquet(path)
+    if key is not None and len(rows.inputFiles()) < spark.sparkContext.defaultParallelism:
+        return rows.repartition(spark.sparkContext.defaultParallelism, key)
+    return rows
 
 
 def scan_html_files(spark: SparkSession, path: str) -> DataFrame:
