@@ -1,0 +1,17 @@
+"""Spreading rows for steps whose cost is in the work per row, not in its bytes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Hash rows by ``key`` over all shuffle partitions.
+
+    The number is given, so that adaptive execution keeps it: it would merge partitions
+    that are small on the wire, though the work on their text is what takes the time.
+    """
+    configured = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    if configured.isdigit():
+        return rows.repartition(int(configured), key)
+    return rows.repartition(key)

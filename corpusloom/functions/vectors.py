@@ -58,10 +58,12 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def sparse_entries(rows: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
-    """(keys, bucket, weight) of the non-zero entries; no shuffle."""
-    return rows.select(*keys, F.posexplode(vector).alias("bucket", "weight")).filter(
-        F.col("weight") != 0
-    )
+    """(keys, bucket, weight) of the non-zero entries; no shuffle.
+
+    The outer explode gets no filter on its input, which would embed every text twice.
+    """
+    entries = rows.select(*keys, F.posexplode_outer(vector).alias("bucket", "weight"))
+    return entries.filter(F.col("weight") != 0)
 
 
 def densify(entries: Column, dim: int) -> Column:

@@ -178,7 +178,8 @@ def chunk_sections(
         *group, split_chunks(F.col("_parts"), F.col("_least")).alias("_chunks")
     )
     return (
-        chunks.select(*group, F.posexplode("_chunks").alias("chunk_index", "_chunk"))
+        chunks.select(*group, F.posexplode_outer("_chunks").alias("chunk_index", "_chunk"))
+        .filter(F.col("_chunk").isNotNull())
         .select(*group, "chunk_index", "_chunk.section", "_chunk.text")
         .select(
             *group,

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.partitioning import spread
 from corpusloom.functions.text import (
     LETTER,
     WORD_CHAR,
@@ -279,7 +280,7 @@ def clean_markdown(
     spread evenly even where the input files are not. The line windows and the final
     grouping, and later the sectioning, all keep to that distribution.
     """
-    inline = clean_inline(docs.select(doc, text).repartition(doc), options, text)
+    inline = clean_inline(spread(docs.select(doc, text), doc), options, text)
     lines = explode_lines(inline, text, doc)
     if options.drop_sections:
         lines = drop_sections(lines, tuple(t.lower() for t in options.drop_sections), doc)

@@ -129,8 +129,10 @@ def page_blocks(
 ) -> DataFrame:
     """(page, pos, kind, lvl, text), one row per block in page order."""
     lines = with_page_lines(pages.select(page, html), keep_nav, html)
-    blocks = lines.select(page, F.posexplode("lines").alias("pos", "text"))
+    # An inner explode would be given a filter on its input, and the filter would repeat
+    # all passes over the page; the outer one is filtered behind it.
+    blocks = lines.select(page, F.posexplode_outer("lines").alias("pos", "text"))
     text = F.col("text")
-    return blocks.select(
+    return blocks.filter(text.isNotNull()).select(
         page, "pos", block_kind(text).alias("kind"), heading_level(text).alias("lvl"), "text"
     )

@@ -34,7 +34,7 @@ def index_rows(chunks: DataFrame, questions: DataFrame | None = None) -> DataFra
         )
         rows = F.concat(rows, asked)
     return chunks.select(
-        "doc_id", F.inline(rows), F.col("chunk_id").alias("parent_id"), "chunk_index", "section"
+        "doc_id", F.inline_outer(rows), F.col("chunk_id").alias("parent_id"), "chunk_index", "section"
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import splitting
+from corpusloom.functions.partitioning import spread
 from corpusloom.operators import chunking as k
 from corpusloom.operators.cleaning import clean_markdown
 from corpusloom.plans.build import chunk_corpus as build_chunks
@@ -26,7 +27,7 @@ RAW_SECTIONS = [sql.MD_CORPUS, *sql.sections("md_corpus")]
     ),
 )
 def heading_stack(spark, folder):
-    return k.heading_stack(md_corpus(spark, folder).repartition("doc_id"))
+    return k.heading_stack(spread(md_corpus(spark, folder), "doc_id"))
 
 
 @query(
@@ -34,7 +35,7 @@ def heading_stack(spark, folder):
     sql.with_(*RAW_SECTIONS, last="SELECT doc_id, section_seq, section, body FROM sectioned"),
 )
 def split_sections(spark, folder):
-    return k.split_sections(md_corpus(spark, folder).repartition("doc_id"))
+    return k.split_sections(spread(md_corpus(spark, folder), "doc_id"))
 
 
 @query(
@@ -46,7 +47,7 @@ def split_sections(spark, folder):
     ),
 )
 def breadcrumb(spark, folder):
-    lines = k.with_heading_path(md_corpus(spark, folder).repartition("doc_id"), 40)
+    lines = k.with_heading_path(spread(md_corpus(spark, folder), "doc_id"), 40)
     return lines.filter("path IS NOT NULL").select("doc_id", "pos", "path")
 
 
@@ -58,7 +59,7 @@ PREFIXED = [*RAW_SECTIONS, *sql.prefixed("sectioned", 120, 100)]
     sql.with_(*PREFIXED, last="SELECT doc_id, section_seq, prefix FROM prefixed"),
 )
 def section_prefix(spark, folder):
-    sections = k.split_sections(md_corpus(spark, folder).repartition("doc_id"))
+    sections = k.split_sections(spread(md_corpus(spark, folder), "doc_id"))
     return sections.select(
         "doc_id", "section_seq", k.section_prefix(F.col("section"), 120).alias("prefix")
     )
@@ -73,7 +74,7 @@ def section_prefix(spark, folder):
     ),
 )
 def body_budget(spark, folder):
-    sections = k.split_sections(md_corpus(spark, folder).repartition("doc_id"))
+    sections = k.split_sections(spread(md_corpus(spark, folder), "doc_id"))
     prefix = k.section_prefix(F.col("section"), 120)
     return sections.withColumn("size", k.body_budget(120, prefix)).select(
         "doc_id", "section_seq", "size", k.overlap_budget(100, F.col("size")).alias("overlap")
@@ -98,9 +99,9 @@ def _doc_bodies(size: int, overlap: int) -> tuple[str, str]:
 )
 def split_body(spark, folder):
     pieces = splitting.split_body(F.col("markdown"), F.lit(200), F.lit(50))
-    return documents(spark, folder).repartition("doc_id").select(
-        "doc_id", F.posexplode(pieces).alias("nth", "piece")
-    )
+    return spread(documents(spark, folder), "doc_id").select(
+        "doc_id", F.posexplode_outer(pieces).alias("nth", "piece")
+    ).filter("piece IS NOT NULL")
 
 
 @query(
@@ -116,10 +117,10 @@ def merge_small(spark, folder):
     pieces = splitting.split_body(F.col("markdown"), F.lit(200), F.lit(50))
     folded = splitting.merge_small(F.col("pieces"), F.lit(200), F.lit(120))
     return (
-        documents(spark, folder)
-        .repartition("doc_id")
+        spread(documents(spark, folder), "doc_id")
         .select("doc_id", pieces.alias("pieces"))
-        .select("doc_id", F.posexplode(folded).alias("nth", "piece"))
+        .select("doc_id", F.posexplode_outer(folded).alias("nth", "piece"))
+        .filter("piece IS NOT NULL")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
+from corpusloom.functions.partitioning import spread
 from corpusloom.operators import cleaning as c
 from corpusloom.registry import sql
 from corpusloom.registry.base import query
@@ -38,7 +39,7 @@ LINES = [sql.MD_CORPUS, ("raw_lines", sql.lines("md_corpus"))]
 
 
 def _lines(spark, folder):
-    return t.explode_lines(md_corpus(spark, folder), "markdown").repartition("doc_id")
+    return t.explode_lines(spread(md_corpus(spark, folder), "doc_id"), "markdown")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.partitioning import spread
 from corpusloom.operators.html import page_markdown
 
 SLUG_CHARS = 60
@@ -20,7 +21,7 @@ def scan_table(spark: SparkSession, path: str, key: str | None = None) -> DataFr
     """
     rows = spark.read.parquet(path)
     if key is not None and len(rows.inputFiles()) < spark.sparkContext.defaultParallelism:
-        return rows.repartition(spark.sparkContext.defaultParallelism, key)
+        return spread(rows, key)
     return rows
 
 

@@ -82,7 +82,7 @@ def upsert_table(
     else:
         # At most one row per configuration and bucket.
         touched = incoming.select("config_key", "bucket").distinct()
-        nearby = existing.join(touched, ["config_key", "bucket"], "left_semi")
+        nearby = existing.join(F.broadcast(touched), ["config_key", "bucket"], "left_semi")
         merged = upsert_index(nearby, incoming, replace_docs, keys=("config_key", "bucket"))
     # New files are put in place only when the job commits, so it may read the old ones.
     write_index(merged, path)
