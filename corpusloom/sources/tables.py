@@ -15,9 +15,11 @@ BUCKETS = 32
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where none is named, a local one."""
+    """The shared folder the cluster names; in local mode, where none is, a new one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
