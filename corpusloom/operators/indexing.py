@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_ROW = "chunk"
 QUESTION_ROW = "question"
 
 
+def bucket_of(doc: str | Column, buckets: int) -> Column:
+    """Storage bucket of a document: all of its rows share one."""
+    return F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int")
+
+
 def index_rows(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """(doc_id, row_id, document, type, parent_id, chunk_index, section).
 

@@ -102,7 +102,8 @@ def build(
             asked = stage(generate_questions(cut, ask, settings))
             questions = asked.agg(F.coalesce(F.sum(F.size("questions")), F.lit(0))).head()[0]
         chunks = cut.count()
-        rows = upsert_table(spark, build_rows(cut, settings, asked, embed), path)
+        new = build_rows(cut, settings, asked, embed)
+        rows = upsert_table(spark, new, path, buckets=settings.index_buckets)
     report = spark.range(1).select(
         F.lit(key).alias("collection"),
         F.lit(chunks).cast("long").alias("chunks"),
@@ -135,11 +136,11 @@ def search_index(
     if index is None:
         raise ValueError(f"no index at {path}")
     asked = stage(embed_queries(queries, settings, embed))
-    n_queries = asked.count()
+    bounds = {"n_queries": asked.count(), "buckets": settings.index_buckets}
     if exact:
-        return search_exact(index, asked, settings.top_k, n_queries)
+        return search_exact(index, asked, settings.top_k, **bounds)
     return search(
-        index, asked, settings.top_k, settings.dedupe_by_chunk, settings.overfetch, n_queries
+        index, asked, settings.top_k, settings.dedupe_by_chunk, settings.overfetch, **bounds
     )
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from corpusloom.operators.indexing import upsert_index
+from corpusloom.operators.indexing import bucket_of, upsert_index
+from corpusloom.settings import Settings
 
-BUCKETS = 32
+BUCKETS = Settings().index_buckets
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -37,8 +38,7 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def with_bucket(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Storage bucket of a row: all rows of a document share one."""
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    return rows.withColumn("bucket", bucket_of("doc_id", buckets))
 
 
 def read_index(spark: SparkSession, path: str, config_key: str | None = None) -> DataFrame | None:

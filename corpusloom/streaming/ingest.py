@@ -34,7 +34,9 @@ def ingest(
     def merge(batch: DataFrame, _: int) -> None:
         chunks = chunk_corpus(extract_pages(batch, settings), settings)
         rows = build_rows(chunks, settings)
-        upsert_table(batch.sparkSession, rows, path, replace_docs=True)
+        upsert_table(
+            batch.sparkSession, rows, path, replace_docs=True, buckets=settings.index_buckets
+        )
 
     writer = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

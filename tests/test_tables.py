@@ -64,7 +64,9 @@ def test_build_skips_forces_and_searches(spark, tmp_path):
     assert found == {SMALL.config_key: 6, with_questions.config_key: 72}
 
     queries = spark.createDataFrame([(1, "plant number2 sand"), (2, " ")], "query_id long, query string")
-    hits = search_index(spark, path, queries, SMALL.with_(top_k=2)).orderBy("rank").collect()
+    found = search_index(spark, path, queries, SMALL.with_(top_k=2))
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    hits = found.orderBy("rank").collect()
     assert hits[0].doc_id == 2 and hits[0].section == "Plant 2" and len(hits) == 2
     exact = search_index(spark, path, queries, with_questions.with_(top_k=30), exact=True)
     assert exact.count() == 24
