@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WS, split_lines, strip
 
-# Fixed value: the prompt wording, {n} and {text} to be filled in.
+# The prompt wording, {n} and {text} to be filled in, and the list marks
+# that are taken off an answer's lines.
 QUESTION_PROMPT = (
     "Given the following text, generate {n} concise questions that a user "
     "might ask which can be directly answered by this text.\n"

@@ -58,7 +58,8 @@ MAX_BOILERPLATE_CHARS = 60
 MAX_TITLE_WORDS = 5
 MAX_TITLE_CHARS = 40
 
-# Possessive quantifiers: every part is unambiguous, so giving back characters cannot
+# What counts as a link, a bare address, a tag, a citation, loose punctuation.
+# Quantifiers are possessive: every part is unambiguous, so giving back characters cannot
 # find another match; without them long inputs would backtrack or overflow the stack.
 LINK = r"\[([^\[\]]*+)\]\((?:[^()]*+(?:\([^()]*+\)[^()]*+)*+)\)"
 BARE_URL = rf"https?://[^{WS_SET}]++"
@@ -180,7 +181,7 @@ def drop_sections(
     code = F.col("_lvl") * 2 + F.col("_drop")
     lasts = {
         f"_last{level}": F.last(
-            F.when(F.col("_lvl").between(1, level), code), ignorenulls=True
+            F.when((F.col("_lvl") > 0) & (F.col("_lvl") <= level), code), ignorenulls=True
         ).over(so_far)
         for level in range(1, 7)
     }

@@ -20,11 +20,13 @@ THINK_BLOCK = rf"(?is)<think>.*?</think>[{WS_SET}]*"
 def parse_embedding_response(log: DataFrame) -> DataFrame:
     """(request_id, status, vectors): vectors back in input order, or what went wrong."""
     body = log.withColumn("_body", F.from_json("body", EMBEDDING_BODY))
-    # Sorting (index, position, vector) keeps rows without an index first, in given order.
+    # A row without an index counts as the first; rows of one index keep their order.
     rows = F.transform(
         F.coalesce("_body.data", F.array()),
         lambda row, at: F.struct(
-            F.coalesce(row["index"], F.lit(0)).alias("index"), at.alias("at"), row["embedding"].alias("embedding")
+            F.coalesce(row["index"], F.lit(0)).alias("index"),
+            at.alias("at"),
+            row["embedding"].alias("embedding"),
         ),
     )
     counted = body.withColumn("_rows", F.sort_array(rows))

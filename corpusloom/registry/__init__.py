@@ -4,7 +4,7 @@ from importlib import import_module
 
 from corpusloom.registry.base import REGISTRY, Query
 
-AREAS = ("sources", "cleaning", "chunking", "models", "search", "reports")
+AREAS = ("sources", "cleaning", "chunking", "models", "search", "reports", "stored")
 
 
 def load() -> dict[str, Query]:

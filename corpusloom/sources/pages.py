@@ -48,7 +48,9 @@ def slug_collisions(pages: DataFrame) -> DataFrame:
     """Slugs that more than one url maps to."""
     slugs = pages.select(source_slug(F.col("url")).alias("slug"), "url")
     counted = slugs.groupBy("slug").agg(
-        F.count("*").alias("sources"), F.min("url").alias("first_url"), F.max("url").alias("last_url")
+        F.count("*").alias("sources"),
+        F.min("url").alias("first_url"),
+        F.max("url").alias("last_url"),
     )
     return counted.filter(F.col("sources") > 1)
 
