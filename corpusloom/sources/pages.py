@@ -70,7 +70,15 @@ def extraction_gate(extracted: DataFrame, min_chars: int = MIN_EXTRACT_CHARS) ->
 
 
 def accepted(gated: DataFrame) -> DataFrame:
-    return gated.filter("accepted").drop("accepted", "reason", "n_chars")
+    """The extractions that passed, without the columns of the gate.
+
+    A plain filter would be moved below the extraction and run all of it once more to
+    know its length; behind an outer explode it stays where it is.
+    """
+    rest = [c for c in gated.columns if c not in ("markdown", "n_chars", "reason", "accepted")]
+    passed = F.when(F.col("accepted"), F.array("markdown"))
+    kept = gated.select(*rest, F.explode_outer(passed).alias("markdown"))
+    return kept.filter(F.col("markdown").isNotNull())
 
 
 def quarantined(gated: DataFrame) -> DataFrame:
