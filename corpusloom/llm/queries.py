@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("chat", "mixing", "packing")
+AREAS = ("chat", "language", "mixing", "packing")
 
 
 def load() -> dict:
