@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("chat", "jaccard", "language", "mixing", "packing")
+AREAS = ("chat", "jaccard", "language", "mixing", "packing", "pivots", "topk")
 
 
 def load() -> dict:
