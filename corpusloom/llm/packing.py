@@ -45,7 +45,8 @@ class Index:
         self.df = df
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         long = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        self.weights = idf[term] * tf * (K1 + 1) / (tf + long[self.docs])
+        # Whole numbers, so that sums do not depend on the order of terms.
+        self.weights = np.rint(4096 * idf[term] * tf * (K1 + 1) / (tf + long[self.docs]))
         # The terms of each document, without those of one document only.
         order = np.argsort(self.docs, kind="stable")
         order = order[df[term[order]] > 1]
@@ -144,10 +145,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
         encoder = word_tokenizer(tokenizer)
         encoder.room()
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-        terms = [encoder.numbers(text) for text in rows["text"]]
-        # ids of the pieces alone are cheap to make again, so none is kept over the filling
-        lengths = np.array([int(encoder.lengths(t).sum()) + 1 for t in terms], np.int64)
-        index = Index(terms)
+        pieces = encoder.numbers(list(rows["text"]))
+        lengths = np.array([encoder.count(p) + 1 for p in pieces], np.int64)
+        index = Index([encoder.terms(p) for p in pieces])
         parts = list(
             fill(lengths, lambda d: np.argsort(-index.scores(d), kind="stable"), window)
         )
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
         for doc, start, n, _, _ in parts:
             if doc != last:
                 last = doc
-                ids = np.append(encoder.ids(terms[doc]), np.int32(END)).astype("<u4").tobytes()
+                ids = np.append(encoder.ids(pieces[doc]), np.int32(END)).astype("<u4").tobytes()
             cut = ids[4 * start : 4 * (start + n)]
             out["crc"].append(zlib.crc32(cut))
             out["ids"].append(cut if with_ids else None)

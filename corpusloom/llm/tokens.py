@@ -1,7 +1,9 @@
 """Token ids of whole texts by a public tokenizer, with the pieces between white space remembered.
 
 The tokenizer's normaliser and pre-tokenizer never join text across white space, so the ids of a
-text are those of its pieces one after another. Pieces recur, and are encoded once a worker.
+text are those of its pieces one after another. Most pieces are letters and punctuation after
+them, which the pre-tokenizer parts and whose case it ignores, so a piece is kept as two parts, a
+core and a tail. A core is one word to the pre-tokenizer, so it goes to the merges directly.
 """
 
 from __future__ import annotations
@@ -15,79 +17,109 @@ from tokenizers import Tokenizer
 #: str.split() also splits at these, the tokenizer's white space does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
-#: Pieces encoded in one call are told apart by this special token.
-_BORDER = "<|startoftext|>"
-_REMEMBERED = 400_000
+#: Latin letters whose lower case does not depend on their neighbours, then ASCII punctuation;
+#: an apostrophe may begin a token of its own with the letters after it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+_REMEMBERED = 800_000
 
 
 class WordTokenizer:
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._border = self._tokenizer.token_to_id(_BORDER)
+        # The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the
+        # characters from 256 on.
+        others = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+        self._letters = dict(zip(others, range(256, 256 + len(others)), strict=True))
         self._forget()
 
     def _forget(self) -> None:
-        self._number: dict[str, int] = {}
-        self._ids = np.zeros(1 << 16, np.int32)
-        self._used = 0
+        self._piece: dict[str, int] = {}
+        self._cores = np.zeros(1 << 12, np.int64)
+        self._tails = np.zeros(1 << 12, np.int64)
+        self._part: dict[str, int] = {"": 0}
         self._starts = np.zeros(1 << 12, np.int64)
         self._lengths = np.zeros(1 << 12, np.int64)
+        self._ids = np.zeros(1 << 16, np.int32)
+        self._used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _BORDER not in p]
-        odd = [p for p in pieces if _BORDER in p]
-        encode = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
-        found = []
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
-            ids = np.array(encode(_BORDER.join(part)), np.int32)
-            found += np.split(ids, np.flatnonzero(ids == self._border))
-            for k in range(len(found) - len(part) + 1, len(found)):
-                found[k] = found[k][1:]
-        found += [np.array(encode(p), np.int32) for p in odd]
-        lengths = np.array([len(f) for f in found], np.int64)
-        n, total = len(self._number), int(lengths.sum())
-        while self._used + total > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while n + len(found) > len(self._starts):
-            self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
-            self._lengths = np.concatenate([self._lengths, np.zeros_like(self._lengths)])
-        self._ids[self._used : self._used + total] = np.concatenate(found)
-        self._starts[n : n + len(found)] = self._used + np.cumsum(lengths) - lengths
-        self._lengths[n : n + len(found)] = lengths
+    def _encode(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _add(self, parts: list[str], found: list[list[int]]) -> None:
+        n = len(self._part)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(lengths.sum())
+        self._ids = _room(self._ids, self._used + total)
+        self._starts = _room(self._starts, n + len(parts))
+        self._lengths = _room(self._lengths, n + len(parts))
+        self._ids[self._used : self._used + total] = [i for f in found for i in f]
+        self._starts[n : n + len(parts)] = self._used + np.cumsum(lengths) - lengths
+        self._lengths[n : n + len(parts)] = lengths
         self._used += total
-        self._number.update(zip([*plain, *odd], range(n, n + len(found)), strict=True))
+        self._part.update(zip(parts, range(n, n + len(parts)), strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = [_PLAIN.fullmatch(p) for p in pieces]
+        cores = [m[1].lower() if m else p for m, p in zip(plain, pieces, strict=True)]
+        tails = [m[2] if m else "" for m in plain]
+        known = self._part
+        words = {c for c, m in zip(cores, plain, strict=True) if m and c not in known}
+        if words:
+            tokenize, table = self._tokenizer.model.tokenize, self._letters
+            found = [
+                [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(table))]
+                for w in words
+            ]
+            self._add(list(words), found)
+        others = [p for p in dict.fromkeys([*cores, *tails]) if p not in known]
+        if others:
+            self._add(others, [self._encode(p) for p in others])
+        n = len(self._piece)
+        self._cores = _room(self._cores, n + len(pieces))
+        self._tails = _room(self._tails, n + len(pieces))
+        self._cores[n : n + len(pieces)] = [known[c] for c in cores]
+        self._tails[n : n + len(pieces)] = [known[t] for t in tails]
+        self._piece.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def room(self) -> None:
         """Forget all pieces if there are many; numbers given before are void then."""
-        if len(self._number) > _REMEMBERED:
+        if len(self._piece) > _REMEMBERED:
             self._forget()
 
-    def numbers(self, text: str) -> np.ndarray:
-        """The numbers of the text's pieces, equal for equal pieces."""
-        if _SEPARATORS.search(text):
-            words = [w for w in _SPACE.split(text) if w]
-        else:
-            words = text.split()
-        number = self._number
-        try:
-            return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in number])
-            return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-
-    def lengths(self, numbers: np.ndarray) -> np.ndarray:
-        """How many ids each piece has."""
-        return self._lengths[numbers]
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's pieces."""
+        split = [
+            [w for w in _SPACE.split(t) if w] if _SEPARATORS.search(t) else t.split() for t in texts
+        ]
+        number = self._piece
+        new = {w for words in split for w in words if w not in number}
+        if new:
+            self._learn(list(new))
+        return [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in split]
+
+    def terms(self, numbers: np.ndarray) -> np.ndarray:
+        """What stands for the pieces' words, whatever their case and the punctuation after them."""
+        return self._cores[numbers]
+
+    def count(self, numbers: np.ndarray) -> int:
+        """The number of ids of pieces."""
+        return int(self._lengths[self._cores[numbers]].sum() + self._lengths[self._tails[numbers]].sum())
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """The token ids of pieces."""
-        lengths = self._lengths[numbers]
+        parts = np.stack([self._cores[numbers], self._tails[numbers]], axis=1).ravel()
+        lengths = self._lengths[parts]
         ends = np.cumsum(lengths)
-        at = np.repeat(self._starts[numbers] - (ends - lengths), lengths)
+        at = np.repeat(self._starts[parts] - (ends - lengths), lengths)
         return self._ids[at + np.arange(len(at))]
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    while len(array) < size:
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
+
+
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
