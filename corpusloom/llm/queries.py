@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("chat", "jaccard", "kneser_ney", "language", "licenses", "mixing", "packing", "pivots", "topk")
+AREAS = (
+    "chat", "fixity", "jaccard", "kneser_ney", "language", "licenses", "mixing", "packing", "pivots",
+    "topk",
+)
 
 
 def load() -> dict:
