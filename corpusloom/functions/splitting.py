@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -79,22 +80,32 @@ def split_text(text: str, size: int, overlap: int) -> list[str]:
     return [piece for piece in pieces if piece]
 
 
+def _opening(widths: list[int], budget: int, least: int) -> list[int]:
+    """Which pieces open a chunk, by the pieces' widths alone.
+
+    A running width either takes a short piece in (and grows past the piece's own width) or
+    starts again with it. A short first chunk has none before it and takes in the second.
+    """
+
+    def grow(width: int, piece: int) -> int:
+        joined = width + 1 + piece
+        return joined if piece < least and joined <= budget else piece
+
+    running = list(accumulate(widths, grow))
+    opening = [i for i, width in enumerate(running) if i == 0 or width == widths[i]]
+    closing = [running[i - 1] for i in [*opening[1:], len(widths)]]
+    if closing[1:] and closing[0] < least and closing[0] + 1 + closing[1] <= budget:
+        del opening[1]
+    return opening
+
+
 def fold_small(pieces: list[str], budget: int, min_chars: int) -> list[str]:
     """Join fragments below ``min_chars`` to a neighbour where the budget allows."""
-    folded: list[str] = []
-    for piece in pieces:
-        if not _ALNUM.search(piece):
-            continue
-        room = bool(folded) and len(folded[-1]) + 1 + len(piece) <= budget
-        if room and len(piece) < min_chars:
-            folded[-1] += "\n" + piece
-        else:
-            folded.append(piece)
-    # Nothing stands before the opening fragment: it leans on its successor instead.
-    if len(folded) > 1 and len(folded[0]) < min_chars:
-        if len(folded[0]) + 1 + len(folded[1]) <= budget:
-            folded[:2] = ["\n".join(folded[:2])]
-    return folded
+    worded = [piece for piece in pieces if _ALNUM.search(piece)]
+    if not worded:
+        return []
+    opening = _opening([len(piece) for piece in worded], budget, min_chars)
+    return ["\n".join(worded[i:j]) for i, j in zip(opening, [*opening[1:], len(worded)])]
 
 
 @arrow_udf(PIECES)

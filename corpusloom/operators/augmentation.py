@@ -36,15 +36,19 @@ def complete(
 ) -> DataFrame:
     """(…, raw, error): a prompts table through ``model``, a function of a list of prompts.
 
-    A batch the model fails on is retried prompt by prompt; a prompt it fails on becomes a
-    row with an error and no text, so one bad row never fails the job.
+    A batch the model fails on, or gives another number of answers to, is retried prompt by
+    prompt; a prompt it fails on becomes a row with an error and no text, so one bad row never
+    fails the job.
     """
     keys = [field for field in prompts.schema.fields if field.name != "prompt"]
     names = [field.name for field in keys]
 
     def attempt(texts: list[str]) -> list[tuple[str | None, str | None]]:
         try:
-            return [(answer, None) for answer in model(texts)]
+            answers = list(model(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers to {len(texts)} prompts")
+            return [(answer, None) for answer in answers]
         except Exception as problem:  # noqa: BLE001 - the model is the user's code
             if len(texts) > 1:
                 return [attempt([text])[0] for text in texts]

@@ -34,6 +34,9 @@ ENTITIES = {
 }
 AD_BLOCK = r"(?is)<div[^>]*\bclass=\"ad\"[^>]*>.*?</div>"
 
+#: Steps up (``../``) that are followed in a link.
+UP = 4
+
 
 def _drop_element(html: Column, names: tuple[str, ...]) -> Column:
     for name in names:
@@ -48,18 +51,26 @@ def decode_named(text: Column) -> Column:
 
 
 def decode_numeric(text: Column) -> Column:
-    """Decimal character references; each code that occurs is replaced throughout."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), 1))
-    return F.aggregate(
-        codes,
-        text,
-        lambda acc, code: F.replace(
-            acc,
-            F.concat(F.lit("&#"), code, F.lit(";")),
-            F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32"),
-        ),
+    """Decimal and hexadecimal character references; each that occurs is replaced throughout.
+
+    Numbers that stand for no character (beyond the last one, or half of a surrogate pair) stay
+    as they are written.
+    """
+    written = F.array_distinct(
+        F.regexp_extract_all(text, F.lit(r"(?i)&#(\d{1,7}|x[0-9a-f]{1,6});"), F.lit(1))
     )
 
+    def decoded(acc: Column, code: Column) -> Column:
+        digits = F.when(F.lower(F.left(code, F.lit(1))) == "x", F.conv(F.substr(code, F.lit(2)), 16, 10))
+        number = F.coalesce(digits, code).cast("int")
+        character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        return F.when(
+            valid, F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), character)
+        ).otherwise(acc)
+
+    return F.aggregate(written, text, decoded)
+
 
 def without_chrome(html: Column, keep_nav: bool = False) -> Column:
     """The page without comments, scripts, styles, advertising and navigation."""
@@ -72,14 +83,46 @@ def article_of(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
 
 
-def markup_to_markdown(html: Column) -> Column:
+def quoted_links(html: Column) -> Column:
+    """The targets of links in double quotes, however they were written."""
+    link = r"(?i)(<a\b[^>]*?\shref\s?=\s?)"
+    html = F.regexp_replace(html, rf"{link}'([^'\"]*)'", '$1"$2"')
+    return F.regexp_replace(html, rf"{link}(?![\"' ])([^\s\"'>]+)", '$1"$2"')
+
+
+def absolute_links(html: Column, url: Column) -> Column:
+    """Links relative to the page's url, resolved; those of a page without one stay."""
+    part = lambda pattern: F.regexp_extract(url, pattern, 0)
+    origin, page = part(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*"), part(r"^[^?#]*")
+    folder = F.when(page == origin, F.concat(page, F.lit("/"))).otherwise(part(r"^[^?#]*/"))
+    out = html
+    for begins, base in (
+        ("(?=//)", part(r"(?i)^[a-z][a-z0-9+.-]*:")),
+        ("(?=/(?!/))", origin),
+        (r"(?=#)", part(r"^[^#]*")),
+        (r"(?=\?)", page),
+        (r"(?![a-z][a-z0-9+.-]*:|[/#?\"])", folder),
+    ):
+        # In a replacement, a backslash and a dollar sign stand for something else.
+        plain = F.replace(F.replace(base, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        found = F.lit(rf'(?i)(<a\b[^>]*?\shref\s?=\s?"){begins}')
+        out = F.regexp_replace(out, found, F.concat(F.lit("$1"), plain))
+    for _ in range(UP):
+        up = r'(?i)(<a\b[^>]*?\shref\s?=\s?"[^"?#]*?://[^"?#]*?/)(?:\./|(?!\.\./)[^/"?#]+/\.\./)'
+        out = F.when(out.rlike(r"/\.\.?/"), F.regexp_replace(out, up, "$1")).otherwise(out)
+    return F.when(F.coalesce(origin, F.lit("")) == "", html).otherwise(out)
+
+
+def markup_to_markdown(html: Column, url: Column | None = None) -> Column:
     """Tags to marks: headings, links, list items, table rows; all others are dropped."""
-    html = F.regexp_replace(html, rf"{WS}+", " ")
+    html = quoted_links(F.regexp_replace(html, rf"{WS}+", " "))
+    if url is not None:
+        html = absolute_links(html, url)
     for level in range(1, 7):
         html = F.regexp_replace(html, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
     html = F.regexp_replace(html, r"(?i)</h[1-6]\s*>", "\n\n")
     html = F.regexp_replace(
-        html, r"(?i)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)"
+        html, r"(?i)<a\b[^>]*\bhref\s?=\s?\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)"
     )
     html = F.regexp_replace(html, r"(?i)<li\b[^>]*>", "\n- ")
     html = F.regexp_replace(html, r"(?i)</t[dh]\s*>", " |")
@@ -101,7 +144,8 @@ def with_page_lines(pages: DataFrame, keep_nav: bool = False, html: str = "html"
         pages = pages.withColumn("_article", article_of(body)).withColumn(
             "_body", F.when(F.col("_article") != "", F.col("_article")).otherwise(body)
         )
-    pages = pages.withColumn("_body", decode_named(markup_to_markdown(body)))
+    url = F.col("url") if "url" in pages.columns else None
+    pages = pages.withColumn("_body", decode_named(markup_to_markdown(body, url)))
     numeric = F.when(F.contains(body, F.lit("&#")), decode_numeric(body)).otherwise(body)
     pages = pages.withColumn("_body", F.replace(numeric, F.lit("&amp;"), F.lit("&")))
     stripped = F.transform(split_lines(body), strip)
@@ -128,7 +172,8 @@ def page_blocks(
     pages: DataFrame, keep_nav: bool = False, page: str = "page_id", html: str = "html"
 ) -> DataFrame:
     """(page, pos, kind, lvl, text), one row per block in page order."""
-    lines = with_page_lines(pages.select(page, html), keep_nav, html)
+    known = [c for c in (page, "url", html) if c in pages.columns]
+    lines = with_page_lines(pages.select(*known), keep_nav, html)
     # An inner explode would be given a filter on its input, and the filter would repeat
     # all passes over the page; the outer one is filtered behind it.
     blocks = lines.select(page, F.posexplode_outer("lines").alias("pos", "text"))

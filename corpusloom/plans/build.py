@@ -42,7 +42,7 @@ def generate_questions(
     chunks: DataFrame, model: TextModel, settings: Settings = Settings()
 ) -> DataFrame:
     """(doc_id, chunk_id, questions) from a user's model; chunks it fails on have none."""
-    count = settings.questions_per_chunk
+    count = settings.questions
     return chunk_questions(complete(question_prompts(chunks, count), model), count)
 
 
@@ -53,7 +53,7 @@ def build_rows(
     embed: VectorModel | None = None,
 ) -> DataFrame:
     """Index rows with vectors, under the key of their settings."""
-    rows = index_rows(chunks, questions if settings.questions_per_chunk else None)
+    rows = index_rows(chunks, questions if settings.questions else None)
     if embed is None:
         rows = rows.withColumn("vector", hash_vector(F.col("document")))
     else:
@@ -98,7 +98,7 @@ def build(
             reset_index(spark, path, key)
         cut = stage(chunk_corpus(docs, settings))
         asked = None
-        if ask is not None and settings.questions_per_chunk:
+        if ask is not None and settings.questions:
             asked = stage(generate_questions(cut, ask, settings))
             questions = asked.agg(F.coalesce(F.sum(F.size("questions")), F.lit(0))).head()[0]
         chunks = cut.count()

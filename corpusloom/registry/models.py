@@ -111,7 +111,7 @@ HASHED = sql.with_(
 @query("hash_embed", HASHED)
 def hash_embed(spark, folder):
     """Non-zero entries of the hash vectors of whole documents."""
-    rows = scan_table(spark, f"{folder}/documents.parquet", "doc_id").select("doc_id", "text")
+    rows = scan_table(spark, f"{folder}/documents.parquet").select("doc_id", "text")
     rows = e.embed_hash(rows, "text")
     sparse = v.sparse_entries(rows, ["doc_id"])
     return sparse.withColumn("weight", F.round("weight", 9))

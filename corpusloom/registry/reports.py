@@ -101,16 +101,22 @@ def flagged_preview(spark, folder):
     return d.flagged_chunks(_flagged(spark, folder), 12)
 
 
+FILTERED = """SELECT doc_id, chunk_index, text FROM flagged WHERE flags <> '' AND text ILIKE '%SPEAKER%'"""
+
+
+@query("filter_chunks", sql.with_(*FLAGGED, last=FILTERED))
+def filter_chunks(spark, folder):
+    """All flagged chunks that hold a word."""
+    found = d.filter_chunks(_flagged(spark, folder), "Speaker", only_flagged=True)
+    return found.select("doc_id", "chunk_index", "text")
+
+
 @query(
-    "filter_chunks",
-    sql.with_(
-        *FLAGGED,
-        last="""SELECT doc_id, chunk_index, text FROM flagged WHERE flags <> '' AND text ILIKE '%SPEAKER%'
-          ORDER BY doc_id, chunk_index LIMIT 200""",
-    ),
+    "filtered_preview",
+    sql.with_(*FLAGGED, last=f"{FILTERED} ORDER BY doc_id, chunk_index LIMIT 200"),
 )
-def filter_chunks(spark, folder):
-    """Flagged chunks that hold a word, the first two hundred as the report lists them."""
+def filtered_preview(spark, folder):
+    """The first two hundred of them, as a report lists them."""
     found = d.filter_chunks(_flagged(spark, folder), "Speaker", only_flagged=True, show=200)
     return found.select("doc_id", "chunk_index", "text")
 

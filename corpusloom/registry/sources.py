@@ -27,7 +27,7 @@ from corpusloom.sources import tables as s
 
 
 def _pages(spark, folder):
-    return p.scan_table(spark, f"{folder}/pages.parquet", "page_id")
+    return p.scan_table(spark, f"{folder}/pages.parquet")
 
 
 @query(
@@ -95,23 +95,17 @@ def slug_collisions(spark, folder):
     sql.with_(
         *sql.page_blocks(),
         ("slugged", f"SELECT *, {sql.slug('url')} AS slug FROM page_texts"),
-        (
-            "done",
-            "SELECT slug, 'kept from ' || count(*) AS markdown FROM slugged "
-            "WHERE starts_with(url, 'https://') GROUP BY slug",
-        ),
-        last="""SELECT slug, markdown FROM done UNION ALL
-          SELECT slug, arg_min(markdown, page_id) FROM slugged
-          WHERE slug NOT IN (SELECT slug FROM done) GROUP BY slug""",
+        last="""SELECT page_id, slug, CASE WHEN starts_with(url, 'https://')
+          THEN 'kept from ' || url ELSE markdown END AS markdown FROM slugged""",
     ),
 )
 def incremental_extract(spark, folder):
     """Pages over http, after those over https have been extracted."""
     pages = _pages(spark, folder)
-    done = (
-        pages.filter("startswith(url, 'https://')")
-        .groupBy(p.source_slug(F.col("url")).alias("slug"))
-        .agg(F.concat(F.lit("kept from "), F.count("*").cast("string")).alias("markdown"))
+    done = pages.filter("startswith(url, 'https://')").select(
+        "page_id",
+        p.source_slug(F.col("url")).alias("slug"),
+        F.concat(F.lit("kept from "), "url").alias("markdown"),
     )
     return p.incremental_extract(pages, done)
 

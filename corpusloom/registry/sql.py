@@ -443,8 +443,11 @@ def page_lines(html: str, keep_nav: bool = False) -> str:
     return text
 
 
-def page_markup(text: str) -> str:
+def page_markup(text: str, url: str = "url") -> str:
     text = sub(text, f"{WS}+", " ")
+    # All links of the pages begin at the root of their host.
+    host = f"split_part({url}, '/', 1) || '//' || split_part(split_part(split_part({url}, '/', 3), '?', 1), '#', 1)"
+    text = rf"""replace({text}, 'href="/', 'href="' || {host} || '/')"""
     for n in range(1, 7):
         text = f"regexp_replace({text}, '(?i)<h{n}\\b[^>]*>', chr(10) || chr(10) || '{'#' * n} ', 'g')"
     for pattern, mark in (

@@ -5,24 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.partitioning import spread
 from corpusloom.operators.html import page_markdown
 
 SLUG_CHARS = 60
 MIN_EXTRACT_CHARS = 1_000
 
 
-def scan_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A table of pages or documents (parquet).
-
-    With ``key``, rows of a table that comes in fewer files than there are cores are
-    hashed by it, so that costly work on each row is shared by all cores. A table of many
-    files is already spread and is left alone.
-    """
-    rows = spark.read.parquet(path)
-    if key is not None and len(rows.inputFiles()) < spark.sparkContext.defaultParallelism:
-        return spread(rows, key)
-    return rows
+def scan_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of pages or documents (parquet), in the partitions its files give."""
+    return spark.read.parquet(path)
 
 
 def scan_html_files(spark: SparkSession, path: str) -> DataFrame:
@@ -86,13 +77,12 @@ def quarantined(gated: DataFrame) -> DataFrame:
 
 
 def incremental_extract(pages: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Add pages whose slug has no extraction yet; of those sharing a new slug, one.
+    """(page_id, slug, markdown): what was extracted, and all pages that were not yet.
 
-    ``extracted`` is (slug, markdown). What is new is settled on (slug, page_id) alone,
-    pre-aggregated per slug; only then is HTML read, and only for the pages chosen.
+    ``extracted`` is (page_id, slug, markdown). Pages are known by their id, since many share a
+    slug; of rows with one new id each is extracted.
     """
-    slugs = pages.select("page_id", source_slug(F.col("url")).alias("slug"))
-    missing = slugs.join(extracted.select("slug"), "slug", "left_anti")
-    chosen = missing.groupBy("slug").agg(F.min("page_id").alias("page_id"))
-    fresh = page_markdown(pages.join(chosen, "page_id"))
-    return extracted.select("slug", "markdown").unionByName(fresh.select("slug", "markdown"))
+    missing = pages.join(extracted.select("page_id"), "page_id", "left_anti")
+    fresh = page_markdown(missing.withColumn("slug", source_slug(F.col("url"))))
+    columns = ["page_id", "slug", "markdown"]
+    return extracted.select(*columns).unionByName(fresh.select(*columns))

@@ -223,6 +223,35 @@ def test_entities(spark):
     assert text == '<a> é😀 "'
 
 
+def test_references_that_are_no_characters_stay(spark):
+    given = "&#9999999; &#55357; &#0; &#x41;&#X1f600; &#x110000;"
+    row = spark.createDataFrame([(given,)], "s string")
+    text = row.select(decode_numeric(F.col("s")).alias("t")).head().t
+    assert text == "&#9999999; &#55357; &#0; A😀 &#x110000;"
+
+
+def test_links_are_resolved(spark):
+    url = "https://h.example/a/b.html?p=$1#top"
+    links = {
+        "/s": "https://h.example/s",
+        "//other.example/x": "https://other.example/x",
+        "http://full.example/": "http://full.example/",
+        "mailto:a@b.example": "mailto:a@b.example",
+        "c.html": "https://h.example/a/c.html",
+        "./c": "https://h.example/a/c",
+        "../c?d=/../e": "https://h.example/c?d=/../e",
+        "#f": "https://h.example/a/b.html?p=$1#f",
+        "?q=1": "https://h.example/a/b.html?q=1",
+    }
+    written = [f'<a class=x href="{a}">t</a>' for a in links]
+    written += ["<a href='/s'>t</a>", "<a href=/s>t</a>", "<a href = /s >t</a>"]
+    html = "<p>" + "</p><p>".join(written) + "</p>"
+    found = page_markdown(pages(spark, (1, url, html), (2, None, '<a href="/s">t</a>'))).collect()
+    markdown = {r.page_id: r.markdown.split("\n\n") for r in found}
+    assert markdown[1] == [f"[t]({a})" for a in [*links.values(), *["https://h.example/s"] * 3]]
+    assert markdown[2] == ["[t](/s)"]
+
+
 def test_gate_sets_aside_what_lost_its_content(spark):
     rows = spark.createDataFrame(
         [(1, "x" * 1000), (2, "x" * 999), (3, ""), (4, None)], "page_id long, markdown string"
@@ -253,12 +282,15 @@ def test_slugs(spark):
 
 
 def test_only_new_pages_are_extracted(spark):
-    done = spark.createDataFrame([("x", "kept")], "slug string, markdown string")
+    done = spark.createDataFrame(
+        [(1, "x", "kept")], "page_id long, slug string, markdown string"
+    )
     rows = pages(
         spark, (1, "a/x.html", PAGE), (2, "a/y.html", PAGE), (3, "b/y.html", "<p>other</p>")
     )
-    found = {r.slug: r.markdown for r in incremental_extract(rows, done).collect()}
-    assert set(found) == {"x", "y"} and found["x"] == "kept" and "Soil & sand" in found["y"]
+    found = {r.page_id: (r.slug, r.markdown) for r in incremental_extract(rows, done).collect()}
+    assert found[1] == ("x", "kept") and found[3] == ("y", "other")
+    assert found[2][0] == "y" and "Soil & sand" in found[2][1]
 
 
 def test_html_files(spark, tmp_path):

@@ -148,5 +148,15 @@ def test_settings():
     keyed, off = Settings(has_key=True), Settings(enable_questions=False)
     assert "__llamanemotro_" in keyed.config_key and "__hash_" in off.config_key
     assert "_q3_" in keyed.config_key and "_q0_" in off.config_key
-    assert off.with_(questions_per_chunk=5).questions_per_chunk == 0
+    assert off.with_(questions_per_chunk=5).questions == 0
     assert len(keyed.config_key) <= 63
+
+
+def test_another_number_of_answers_is_a_failed_batch(spark):
+    def short(prompts):
+        return [p.upper() for p in prompts if p != "none"]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "none"), (3, "b")], "id long, prompt string")
+    found = {r.id: (r.raw, r.error) for r in complete(rows.coalesce(1), short).collect()}
+    assert found[1] == ("A", None) and found[3] == ("B", None)
+    assert found[2] == (None, "0 answers to 1 prompts")
