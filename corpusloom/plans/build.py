@@ -19,7 +19,7 @@ from corpusloom.operators.indexing import index_rows
 from corpusloom.operators.retrieval import search, search_exact, valid_queries
 from corpusloom.settings import Settings
 from corpusloom.sources.pages import accepted, extraction_gate
-from corpusloom.sources.tables import index_count, read_index, reset_index, stage, upsert_table
+from corpusloom.sources.tables import buckets_of, index_count, read_index, stage, upsert_table
 
 TextModel = Callable[[list[str]], list[str]]
 VectorModel = Callable[[list[str]], list[list[float]]]
@@ -86,7 +86,7 @@ def build(
 ) -> DataFrame:
     """Build one configuration into the index at ``path`` and report on it.
 
-    A configuration that has rows is left alone, unless ``force`` empties it first.
+    A configuration that has rows is left alone, unless ``force`` puts new rows in their place.
     """
     key = settings.config_key
     existing = index_count(spark, path, key)
@@ -94,8 +94,6 @@ def build(
     skipped = existing > 0 and not force
     rows = existing
     if not skipped:
-        if existing:
-            reset_index(spark, path, key)
         cut = stage(chunk_corpus(docs, settings))
         asked = None
         if ask is not None and settings.questions:
@@ -103,7 +101,13 @@ def build(
             questions = asked.agg(F.coalesce(F.sum(F.size("questions")), F.lit(0))).head()[0]
         chunks = cut.count()
         new = build_rows(cut, settings, asked, embed)
-        rows = upsert_table(spark, new, path, buckets=settings.index_buckets)
+        rows = upsert_table(
+            spark,
+            new,
+            path,
+            buckets=settings.index_buckets,
+            instead_of=key if existing else None,
+        )
     report = spark.range(1).select(
         F.lit(key).alias("collection"),
         F.lit(chunks).cast("long").alias("chunks"),
@@ -129,14 +133,17 @@ def search_index(
     queries: DataFrame,
     settings: Settings = Settings(),
     embed: VectorModel | None = None,
-    exact: bool = False,
+    exact: bool = True,
 ) -> DataFrame:
-    """Hits of (query_id, query) in one configuration of an index table."""
+    """Hits of (query_id, query) in one configuration of an index table.
+
+    Unless ``exact``, rows are cut before they are collapsed to chunks, and hits may be missing.
+    """
     index = read_index(spark, path, settings.config_key)
     if index is None:
         raise ValueError(f"no index at {path}")
     asked = stage(embed_queries(queries, settings, embed))
-    bounds = {"n_queries": asked.count(), "buckets": settings.index_buckets}
+    bounds = {"n_queries": asked.count(), "buckets": buckets_of(index, settings.index_buckets)}
     if exact:
         return search_exact(index, asked, settings.top_k, **bounds)
     return search(

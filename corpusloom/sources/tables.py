@@ -13,6 +13,8 @@ from corpusloom.operators.indexing import bucket_of, upsert_index
 from corpusloom.settings import Settings
 
 BUCKETS = Settings().index_buckets
+#: What reading a table that is not there, or has no rows any more, is answered with.
+NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -38,14 +40,25 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def with_bucket(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    return rows.withColumn("bucket", bucket_of("doc_id", buckets))
+    """Rows with their bucket, and the number of buckets that a table keeps for good."""
+    return rows.withColumns(
+        {"bucket": bucket_of("doc_id", buckets), "buckets": F.lit(buckets).cast("int")}
+    )
+
+
+def buckets_of(index: DataFrame | None, otherwise: int = BUCKETS) -> int:
+    """The number of buckets a table was built with, whatever the settings say now."""
+    row = None if index is None else index.select("buckets").head()
+    return otherwise if row is None else row[0]
 
 
 def read_index(spark: SparkSession, path: str, config_key: str | None = None) -> DataFrame | None:
     """The index table, or one configuration of it (partition pruned); None before a build."""
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() not in NO_TABLE:
+            raise
         return None
     return table if config_key is None else table.filter(F.col("config_key") == config_key)
 
@@ -71,31 +84,54 @@ def upsert_table(
     path: str,
     replace_docs: bool = False,
     buckets: int = BUCKETS,
+    documents: DataFrame | None = None,
+    instead_of: str | None = None,
 ) -> int:
     """Idempotent write keyed by (config_key, doc_id, row_id); returns the rows written.
 
     Only buckets that receive rows are read and rewritten. The incoming rows are staged
-    first, because they decide the buckets, win over old rows and are written.
+    first, because they decide the buckets, win over old rows and are written. With
+    ``replace_docs``, ``documents`` (config_key, doc_id) names all that arrived, so that those
+    without rows lose their old ones too. ``instead_of`` names a configuration that is emptied
+    once the new rows exist.
     """
-    incoming = stage(with_bucket(rows, buckets))
     existing = read_index(spark, path)
+    buckets = buckets_of(existing, buckets)
+    incoming = stage(with_bucket(rows, buckets))
+    if instead_of is not None:
+        reset_index(spark, path, instead_of)
+        existing = read_index(spark, path)
     if existing is None:
         merged = incoming
     else:
+        place = ["config_key", "bucket"]
+        if documents is not None:
+            documents = with_bucket(documents.select("config_key", "doc_id").distinct(), buckets)
+            existing = existing.join(documents, [*place, "doc_id"], "left_anti")
         # At most one row per configuration and bucket.
-        touched = incoming.select("config_key", "bucket").distinct()
-        nearby = existing.join(F.broadcast(touched), ["config_key", "bucket"], "left_semi")
-        merged = upsert_index(nearby, incoming, replace_docs, keys=("config_key", "bucket"))
+        arrived = incoming if documents is None else incoming.select(*place).union(documents.select(*place))
+        touched = arrived.select(*place).distinct()
+        nearby = existing.join(F.broadcast(touched), place, "left_semi")
+        merged = upsert_index(nearby, incoming, replace_docs, keys=tuple(place))
+        if documents is not None:  # a bucket that is left without rows is not overwritten
+            merged = stage(merged)
+            filled = merged.select(*place).distinct().collect()
+            empty = {tuple(r) for r in touched.collect()} - {tuple(r) for r in filled}
+            for key, bucket in empty:
+                _drop_folder(spark, f"{path.rstrip('/')}/config_key={key}/bucket={bucket}")
     # New files are put in place only when the job commits, so it may read the old ones.
     write_index(merged, path)
     return incoming.count()
 
 
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def reset_index(spark: SparkSession, path: str, config_key: str) -> None:
     """Empty one configuration: its partitions are dropped, others stay."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{path.rstrip('/')}/config_key={config_key}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _drop_folder(spark, f"{path.rstrip('/')}/config_key={config_key}")
 
 
 def list_indexes(spark: SparkSession, path: str) -> DataFrame:

@@ -64,7 +64,7 @@ def test_build_skips_forces_and_searches(spark, tmp_path):
     assert found == {SMALL.config_key: 6, with_questions.config_key: 72}
 
     queries = spark.createDataFrame([(1, "plant number2 sand"), (2, " ")], "query_id long, query string")
-    found = search_index(spark, path, queries, SMALL.with_(top_k=2))
+    found = search_index(spark, path, queries, SMALL.with_(top_k=2, index_buckets=5))
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
     hits = found.orderBy("rank").collect()
     assert hits[0].doc_id == 2 and hits[0].section == "Plant 2" and len(hits) == 2
@@ -114,6 +114,21 @@ def test_stream_of_pages_is_built_once_however_often_it_comes(spark, tmp_path):
     table = run()
     assert table.filter("document LIKE '%fern%'").count() == 0
     assert {r.doc_id for r in table.select("doc_id").distinct().collect()} == {1, 2, 3}
+    arrive(page(1, "oak"))
+    arrive(page(1, "elm"), (3, "http://g.example/3", "<p>short</p>"))
+    table = run()
+    assert table.filter("document LIKE '%oak%' OR document LIKE '%rose%'").count() == 0
+    assert table.filter("document LIKE '%elm%'").count() > 0
+    assert {r.doc_id for r in table.select("doc_id").distinct().collect()} == {1, 2}
+
+
+def test_bucket_number_stays(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    rows = build_rows(chunk_corpus(docs(spark), SMALL), SMALL)
+    upsert_table(spark, rows, path, buckets=4)
+    upsert_table(spark, rows, path, buckets=9)
+    assert index_count(spark, path, SMALL.config_key) == 24
+    assert read_index(spark, path).select("bucket").distinct().count() <= 4
 
 
 def chunks(spark, *texts):
