@@ -67,11 +67,8 @@ def answer(
             F.coalesce(fixed, F.lit(NO_MODEL)).alias("answer"),
             F.lit(None).cast("string").alias("error"),
         )
-    asked = complete(prompts.filter(fixed.isNull()).select("query_id", "prompt"), model)
-    done = prompts.filter(fixed.isNotNull()).select(
-        "query_id", fixed.alias("answer"), F.lit(None).cast("string").alias("error")
-    )
-    return asked.withColumnRenamed("raw", "answer").unionByName(done)
+    asked = complete(prompts.select("query_id", "prompt", "fixed_answer"), model, given="fixed_answer")
+    return asked.select("query_id", F.col("raw").alias("answer"), "error")
 
 
 def cited_numbers(text: Column) -> Column:

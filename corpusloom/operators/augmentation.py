@@ -32,13 +32,16 @@ def question_prompts(
 
 
 def complete(
-    prompts: DataFrame, model: Callable[[list[str]], list[str]], batch_size: int = 16
+    prompts: DataFrame,
+    model: Callable[[list[str]], list[str]],
+    batch_size: int = 16,
+    given: str | None = None,
 ) -> DataFrame:
     """(…, raw, error): a prompts table through ``model``, a function of a list of prompts.
 
     A batch the model fails on, or gives another number of answers to, is retried prompt by
     prompt; a prompt it fails on becomes a row with an error and no text, so one bad row never
-    fails the job.
+    fails the job. Rows that hold an answer in the column ``given`` are not asked again.
     """
     keys = [field for field in prompts.schema.fields if field.name != "prompt"]
     names = [field.name for field in keys]
@@ -58,7 +61,10 @@ def complete(
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start : start + batch_size]
-                answers = attempt(part["prompt"].tolist())
+                known = [None] * len(part) if given is None else part[given].tolist()
+                texts = [p for p, text in zip(part["prompt"], known) if text is None]
+                asked = iter(attempt(texts) if texts else [])
+                answers = [next(asked) if text is None else (text, None) for text in known]
                 yield part[names].assign(
                     raw=[raw for raw, _ in answers], error=[error for _, error in answers]
                 )
