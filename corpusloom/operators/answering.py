@@ -17,7 +17,7 @@ ANSWER_PROMPT = (
     "Question: {question}\n\nSources:\n{sources}\n\nAnswer:"
 )
 NO_SOURCES = "No sources retrieved — nothing to answer from."
-NO_MODEL = "No API key configured — set OPENROUTER_API_KEY to generate answers."
+NO_MODEL = "No model configured — pass one to generate answers."
 MAX_CONTEXT_CHARS = 8_000
 
 

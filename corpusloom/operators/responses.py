@@ -76,7 +76,7 @@ def response_outcome(status: Column, body: Column, n_inputs: Column) -> Column:
     has_error = F.coalesce(F.get_json_object(body, "$.error"), F.lit("")) != ""
     hinted = F.lit(False)
     for hint in TOO_LARGE_HINTS:
-        hinted = hinted | F.contains(F.lower(F.substring(body, 1, 300)), F.lit(hint))
+        hinted = hinted | F.contains(F.lower(body), F.lit(hint))
     return (
         F.when(status == 200, F.when(has_error, "fail").otherwise("ok"))
         .when((status == 429) | (status >= 500), "retry")

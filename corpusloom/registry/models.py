@@ -182,14 +182,16 @@ def _embedding_log(spark, folder):
     """WITH n AS (SELECT vec_id // 4 AS request_id, count(*) AS rows FROM embeddings GROUP BY 1)
       SELECT request_id, CASE WHEN request_id % 5 = 0 THEN printf('Asked for %d embeddings, got %d.', rows + 1, rows)
         ELSE 'ok' END AS status, CASE WHEN request_id % 5 <> 0 THEN CAST(vec_id % 4 AS INTEGER) END AS pos,
-        CASE WHEN request_id % 5 <> 0 THEN CAST(embedding[1] AS DOUBLE) END AS first_value
-      FROM embeddings JOIN n ON n.request_id = vec_id // 4 WHERE request_id % 5 <> 0 OR vec_id % 4 = 0""",
+        place, CASE WHEN request_id % 5 <> 0 THEN CAST(embedding[place + 1] AS DOUBLE) END AS value
+      FROM (SELECT request_id, rows, vec_id, embedding, CAST(unnest(CASE WHEN request_id % 5 = 0
+          THEN [NULL] ELSE range(len(embedding)) END) AS INTEGER) AS place
+        FROM embeddings JOIN n ON n.request_id = vec_id // 4 WHERE request_id % 5 <> 0 OR vec_id % 4 = 0)""",
 )
 def parse_embedding_response(spark, folder):
     parsed = r.parse_embedding_response(_embedding_log(spark, folder))
     return parsed.select(
         "request_id", "status", F.posexplode_outer("vectors").alias("pos", "vector")
-    ).select("request_id", "status", "pos", F.col("vector")[0].alias("first_value"))
+    ).select("request_id", "status", "pos", F.posexplode_outer("vector").alias("place", "value"))
 
 
 def _completion_log(spark, folder):

@@ -399,7 +399,7 @@ def answer(spark, folder):
         PROMPTED,
         EVERYONE,
         last=f"""SELECT query_id, CASE WHEN prompt IS NULL THEN '{FIXED}'
-          ELSE 'No API key configured — set OPENROUTER_API_KEY to generate answers.' END AS answer
+          ELSE 'No model configured — pass one to generate answers.' END AS answer
           FROM everyone LEFT JOIN prompted USING (query_id)""",
     ),
 )

@@ -178,4 +178,4 @@ def test_answers_and_citations(spark):
     found = {(c.cited, c.chunk_id, c.valid) for c in citations(answers, hits).collect()}
     assert found == {(2, "c2", True), (5, None, False)}
     offline = {a.query_id: a.answer for a in answer(prompts).collect()}
-    assert offline[7].startswith("No API key") and offline[8] == NO_SOURCES
+    assert offline[7].startswith("No model") and offline[8] == NO_SOURCES
