@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,18 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut_lineage(small.select("e.u", "e.v").filter("u <> v").distinct())
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def lower_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Bring the roots of nodes linked by (a, b) down to the smallest they reach, in place."""
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while True:
+            deeper = root[root]
+            if (deeper == root).all():
+                break
+            root[:] = deeper
+        differ = root[a] != root[b]
+        a, b = a[differ], b[differ]

@@ -4,25 +4,29 @@ Two sets of which the larger has r elements and whose similarity reaches the thr
 most H = r (1 - t) / t elements, whoever is the partner. The universe is hashed into segments, so
 many that the sets of a size band fill more than H of them; a difference of D elements damages at
 most D segments. A set walks its segments in an order that all sets of the band share and writes
-signatures until it has gained H + 1:
+signatures until it has gained H + c:
 
 1. the segment's subset itself, gain 1 (subsets that hold frequent shingles only come last),
 2. the one-deletion neighbourhood of a subset of two or more, gain 1 more, as it takes two
    differences to get past both,
 3. subsets of frequent shingles only, and then their neighbourhoods.
 
-The first segment on which two similar sets agree comes, in either's walk, after differences of at
-most D <= H, so both have written it: a shared signature is never missed. What a walk prefers
-follows costs: a subset is one row, a neighbourhood one row for each element, and a frequent subset
+The c-th segment on which two similar sets agree comes, in either's walk, after a gain of at most
+D + c - 1 < H + c, so both have written it: similar sets share c signatures, and pairs that share
+fewer are no candidates. c grows with the set, so passages that many documents share bring few
+pairs. What a walk prefers follows costs: a subset is one row, a neighbourhood one row for each element, and a frequent subset
 brings many candidates. Sets of fewer than 64 elements take every element for a segment.
 
 Bands start at powers of two and are 8/3 wide (for t = 3/4), so every pair has a common band and a
 set is in one or two of them.
 
 Candidates are verified on the whole sets. In each bucket of equal signatures all members are first
-compared with one of them; buckets whose members are then in one component need nothing more, the
-others get all their pairs between components. So a large group of near copies costs its size, not
-its square, and the components are exactly those of all links.
+compared with one of them, its pivot; buckets whose members are then in one component need nothing
+more, so a large group of near copies costs its size, not its square. Sets in the other buckets fall
+into families by the pivot they share most with. A family (texts that are alike, but mostly below
+the threshold) is compared in blocks, each pair of blocks in a task that returns trees; pairs of
+different families that share enough signatures are verified one by one. The components are exactly
+those of all links.
 """
 
 from __future__ import annotations
@@ -32,19 +36,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.graph import components, cut_lineage
+from corpusloom.llm.graph import components, cut_lineage, lower_roots
 from corpusloom.llm.shingles import WORDS, mixed, shingle_set
 from corpusloom.llm.tables import stage
 
 #: Similarity as a fraction; the walk's bounds below follow from it.
 SHARED, OF = 75, 100
 SMALL_SETS = 64
+#: A signature more to share for so many elements.
+PER_SIGNATURE = 24
+#: Bits of the filter that says which texts are read again.
+BITS, PROBES = 1 << 22, 3
 #: At most so many shingles are known as frequent; others only cost more candidates.
 FREQUENT = 1 << 17
-_BLOCK = 1 << 21  # shingles counted together
+_BLOCK = 1 << 20  # shingles counted together
+#: Sets of a family that are compared together, and shingles of theirs at a time.
+FAMILY_BLOCK, _COLUMNS = 128, 4096
 
 
 def bands(n: int) -> list[int]:
@@ -74,7 +84,7 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             many = np.add.reduceat(flags.astype(np.int64), starts)
         sums = np.add.reduceat(value, starts)
         names = segment[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-        need = (OF - SHARED) * n // SHARED + 1
+        need = (OF - SHARED) * n // SHARED + 1 + n // PER_SIGNATURE
         deletions = sizes > 1
         for neighbourhood, chosen in (
             (False, many > 0),
@@ -225,8 +235,47 @@ def buckets(rows: DataFrame) -> DataFrame:
     )
 
 
-def near_in_size(a: str, b: str) -> Column:
-    return OF * F.least(a, b) >= SHARED * F.greatest(a, b)
+def candidates(pairs: DataFrame) -> DataFrame:
+    """Of (a, a_n, b, b_n), a row for each shared signature, the pairs that may be similar."""
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    near = pairs.filter(OF * small >= SHARED * large)
+    counted = near.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), small.alias("least")
+    ).groupBy("a", "b", "least")
+    needed = 1 + F.floor(F.col("least") / PER_SIGNATURE)
+    return counted.agg(F.count("*").alias("hits")).filter(F.col("hits") >= needed).select("a", "b")
+
+
+def whole_sets(docs: DataFrame, holder: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(name, shingles) of the sets ``wanted``, made again from one text of each.
+
+    A filter of a fixed number of bits, set by the doc_ids looked for, goes with the tasks, so that
+    only sets move and no texts do. It lets some more texts through; the join drops their sets.
+    """
+    ids = holder.join(wanted, "name", "left_semi")
+    places = [
+        F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(BITS)).cast("int").alias(f"p{i}")
+        for i in range(PROBES)
+    ]
+    bits = np.zeros(BITS, bool)
+    bits[ids.select(F.explode(F.array(*places)).alias("p")).distinct().toPandas()["p"]] = True
+    known = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.unpackbits(known.value).astype(bool)
+        for batch in batches:
+            hit = table[batch[[f"p{i}" for i in range(PROBES)]].to_numpy()].all(axis=1)
+            texts = batch["text"][hit]
+            for i in range(0, len(texts), 256):
+                found = [shingle_set(text, words) for text in texts.iloc[i : i + 256]]
+                found = [s for s in found if len(s)]
+                names = [name_of(s) for s in found]
+                yield pd.DataFrame(
+                    {"name": names, "shingles": [s.view(np.int64) for s in found]}
+                )
+
+    found = docs.select("text", *places).mapInPandas(sets, "name long, shingles array<bigint>")
+    return found.join(wanted, "name", "left_semi").dropDuplicates(["name"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,8 +292,90 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def within_mixed(rows: DataFrame, column: str) -> DataFrame:
+    """The rows of keys with more than one value of a column."""
+    keys = rows.groupBy("key").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    return rows.join(keys.filter("low <> high").select("key"), "key", "left_semi")
+
+
+def able_to_share(rows: DataFrame) -> DataFrame:
+    """The rows of sets that have as many keys left as any partner of theirs asks for."""
+    fewest = F.ceil(SHARED * F.max("n") / OF)
+    enough = rows.groupBy("name").agg(
+        (F.count("*") > F.floor(fewest / PER_SIGNATURE)).alias("enough")
+    )
+    return within_mixed(
+        rows.join(enough.filter("enough").select("name"), "name", "left_semi"), "component"
+    )
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+
+
+def families(placed: DataFrame) -> DataFrame:
+    """(name, component, family, blocks) of ``placed`` (key, name, n, pivot, component).
+
+    A set's family is the pivot with which it shares most keys. Families whose members are in one
+    component have no blocks: nothing in them is left to compare.
+    """
+    counted = placed.groupBy("name", "component", "pivot").agg(F.count("*").alias("hits"))
+    best = F.max(F.struct("hits", (-F.col("pivot")).alias("minus"))).alias("best")
+    members = counted.groupBy("name", "component").agg(best).select(
+        "name", "component", (-F.col("best.minus")).alias("family")
+    )
+    mixed_up = F.min("component") != F.max("component")
+    sizes = members.groupBy("family").agg(
+        F.when(mixed_up, F.ceil(F.count("*") / FAMILY_BLOCK)).alias("blocks")
+    )
+    return cut_lineage(members.join(sizes, "family"))
+
+
+def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Trees (a, b) of the links within families, each pair of blocks of a family being a group."""
+    placed = members.filter("blocks IS NOT NULL").select(
+        "family",
+        "name",
+        F.pmod(F.xxhash64("name"), F.col("blocks")).alias("block"),
+        F.explode(F.sequence(F.lit(1), F.col("blocks"))).alias("other"),
+    )
+    meet = placed.withColumn("other", F.col("other") - 1).select(
+        "family",
+        F.least("block", "other").alias("one"),
+        F.greatest("block", "other").alias("two"),
+        "name",
+    )
+    groups = meet.join(sets, "name").groupBy("family", "one", "two")
+    return groups.applyInPandas(linked_within, "a long, b long")
+
+
+def linked_within(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each linked row of a group, with the smallest name that links in the group reach."""
+    rows = rows.sort_values("name", ignore_index=True)
+    sizes = rows["shingles"].map(len).to_numpy()
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(values := np.concatenate(list(rows["shingles"])), kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    column = np.cumsum(new) - 1
+    held = np.bincount(column)
+    wide = held[column] > 1
+    owner, column = owner[wide], (np.cumsum(held > 1) - 1)[column[wide]]
+    both = np.zeros((len(rows), len(rows)), np.float32)  # below 2^24, so exact
+    ends_at = np.searchsorted(column, np.arange(0, column[-1] + 1 + _COLUMNS, _COLUMNS)) if len(
+        column
+    ) else []
+    for k, (begin, end) in enumerate(zip(ends_at[:-1], ends_at[1:], strict=True)):
+        part = np.zeros((len(rows), _COLUMNS), np.float32)
+        part[owner[begin:end], column[begin:end] - k * _COLUMNS] = 1
+        both += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - both
+    a, b = np.nonzero(np.triu(OF * both.astype(np.float64) >= SHARED * union, 1))
+    root = np.arange(len(rows))
+    lower_roots(root, a, b)
+    names = rows["name"].to_numpy()
+    some = root < np.arange(len(rows))
+    return pd.DataFrame({"a": names[some], "b": names[root[some]]})
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -264,52 +395,49 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     frequent = np.sort(top["name"].to_numpy(np.int64).view(np.uint64))
 
     shared = stage(buckets(written(docs, frequent, words)))
-    stars = shared.filter("name <> pivot").filter(near_in_size("n", "pivot_n"))
-    first = cut_lineage(stars.select(*pair("name", "pivot")).distinct())
-
-    # A set that any later step compares has a candidate of its size.
-    compared = shared.select("name").distinct()
-    holder = own.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    wanted = holder.join(compared, "name", "left_semi").select("doc_id", "name")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(text, words).view(np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"name": batch["name"], "shingles": found})
-
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("name", "text")
-    whole = stage(
-        texts.mapInPandas(sets, "name long, shingles array<bigint>").dropDuplicates(["name"])
+    stars = shared.filter("name <> pivot").select(
+        F.col("name").alias("a"),
+        F.col("n").alias("a_n"),
+        F.col("pivot").alias("b"),
+        F.col("pivot_n").alias("b_n"),
     )
-    links = cut_lineage(verified(first, whole))
+    first = cut_lineage(candidates(stars))
+    holder = own.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    links = cut_lineage(verified(first, whole_sets(docs, holder, ends(first), words)))
     so_far = components(links)
 
     placed = shared.join(so_far, shared["name"] == so_far["node"], "left").select(
-        "key", "name", "n", F.coalesce("component", "name").alias("component")
-    )
-    mixed_keys = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low <> high")
-        .select("key")
+        "key", "name", "n", "pivot", F.coalesce("component", "name").alias("component")
     )
-    placed = placed.join(mixed_keys, "key", "left_semi")
+    placed = stage(able_to_share(within_mixed(placed, "component")))
+    members = families(placed)
+    alike = whole_sets(docs, holder, members.filter("blocks IS NOT NULL").select("name"), words)
+    within = cut_lineage(family_links(members, alike))
+
+    placed = within_mixed(placed.join(members.select("name", "family"), "name"), "family")
     other = placed.select(
         "key",
         F.col("name").alias("name2"),
         F.col("n").alias("n2"),
         F.col("component").alias("component2"),
+        F.col("family").alias("family2"),
+    )
+    crossing = placed.join(other, "key").filter(
+        "name < name2 AND component <> component2 AND family <> family2"
     )
-    rest = (
-        placed.join(other, "key")
-        .filter("name < name2 AND component <> component2")
-        .filter(near_in_size("n", "n2"))
-        .select(F.col("name").alias("a"), F.col("name2").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+    # All signatures of such a pair are in mixed buckets, so none goes uncounted.
+    rest = cut_lineage(
+        candidates(
+            crossing.select(
+                F.col("name").alias("a"),
+                F.col("n").alias("a_n"),
+                F.col("name2").alias("b"),
+                F.col("n2").alias("b_n"),
+            )
+        ).join(first, ["a", "b"], "left_anti")
     )
-    more = cut_lineage(verified(rest, whole))
-    final = components(links.unionByName(more))
+    more = cut_lineage(verified(rest, whole_sets(docs, holder, ends(rest), words)))
+    final = components(links.unionByName(within).unionByName(more))
 
     named = holder.join(final, holder["name"] == final["node"], "left").select(
         "name", F.col("doc_id").alias("set_id"), F.coalesce("component", "name").alias("component")

@@ -35,7 +35,7 @@ from corpusloom.llm.tables import stage, staging_folder
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"", seed=1))
 #: Tokens of a shard, tokens counted together, and tokens scored together.
-SHARD_TOKENS, BLOCK, SCORED = 1 << 20, 1 << 22, 1 << 18
+SHARD_TOKENS, BLOCK, SCORED = 1 << 20, 3 << 20, 1 << 18
 #: A context this frequent, and more than one token in 65,536, is spread over all shards.
 FREQUENT = 1 << 18
 
@@ -56,18 +56,25 @@ def tokens(text: str | None) -> np.ndarray:
 
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Contexts and tokens of texts, some millions at a time."""
-    before, after, size = [], [], 0
+    waiting, size = [], 0
     for batch in batches:
         for text in batch["text"]:
-            t = tokens(text)
-            after.append(t)
-            before.append(np.r_[START, t[:-1]])
-            size += len(t)
+            waiting.append(tokens(text))
+            size += len(waiting[-1])
             if size >= BLOCK:
-                yield np.concatenate(before), np.concatenate(after)
-                before, after, size = [], [], 0
+                both, waiting, size = with_context(waiting), [], 0
+                yield both
     if size:
-        yield np.concatenate(before), np.concatenate(after)
+        yield with_context(waiting)
+
+
+def with_context(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's context, and the tokens."""
+    after = np.concatenate(texts)
+    before = np.empty_like(after)
+    before[1:] = after[:-1]
+    before[np.cumsum([0, *[len(t) for t in texts[:-1]]])] = START
+    return before, after
 
 
 def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +176,7 @@ def train(docs: DataFrame) -> Model:
         for before, after in blocks(batches):
             order = np.lexsort([after, before])
             before, after = before[order], after[order]
+            del order
             new = np.r_[True, (before[1:] != before[:-1]) | (after[1:] != after[:-1])]
             first = np.flatnonzero(new)
             n = np.diff(np.r_[first, len(before)])
@@ -353,8 +361,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def _scored(model: Model, texts: list[np.ndarray]) -> list[tuple]:
     if not texts:
         return []
-    after = np.concatenate(texts)
-    before = np.concatenate([np.r_[START, t[:-1]] for t in texts])
+    before, after = with_context(texts)
     log_p, count = probabilities(model, before, after)
     base = np.log10((count + 1) / (model.tokens + model.distinct + 1))
     ends = np.cumsum([len(t) for t in texts])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.graph import components, cut_lineage
+from corpusloom.llm.graph import components, cut_lineage, lower_roots
 from corpusloom.llm.vectors import matrix, usable
 
 #: Pivots in a description, lists looked into, pivots that a pair must share.
@@ -146,7 +146,7 @@ def linked(rows: pd.DataFrame, dims: int, least: float) -> pd.DataFrame:
         a, b, away = a[close], b[close], away[close]
         np.add.at(links, g_at[a], h_n[b])
         np.add.at(links, h_at[b[away]], g_n[a[away]])
-        _join(root, g_at[a], h_at[b])
+        lower_roots(root, g_at[a], h_at[b])
     some = links > 0
     return pd.DataFrame({"id": ids[some], "root": ids[root[some]], "links": links[some]})
 
@@ -156,18 +156,3 @@ def _incidence(near: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(near), width), np.float32)
     np.put_along_axis(out, near.astype(np.int64), 1, axis=1)
     return out
-
-
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Bring the roots of linked rows down to the smallest they reach."""
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while True:
-            deeper = root[root]
-            if (deeper == root).all():
-                break
-            root[:] = deeper
-        differ = root[a] != root[b]
-        a, b = a[differ], b[differ]

@@ -7,11 +7,20 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.packaging import ship
+from corpusloom import packaging
 from corpusloom.sources.tables import stage, staging_folder
 
 __all__ = ["ascii_lower", "column_like", "read", "ship", "stage", "staging_folder"]
 
+#: Rows of an Arrow batch: with whole texts in them, Spark's default of 10,000 takes much memory.
+BATCH_ROWS = "1000"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, and keep Arrow batches of texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return packaging.ship(spark)
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
