@@ -49,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass that the mix takes over a whole document, and one for a part of it."""
+    """A row for each pass that the mix takes over a whole document, and for each part of one."""
     ship(spark)
     mixed = mixing.mix(docs.select(*COLUMNS), keep=COLUMNS).filter("taken > 0")
     words = F.regexp_extract_all(
@@ -61,11 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             F.slice(words, r["first"].cast("int") + 1, r["words"].cast("int")), ""
         ),
     )
-    partial = F.when(F.size("ranges") > 0, F.array(F.array_join(parts, ""))).otherwise(
-        F.array().cast("array<string>")
-    )
     wholes = F.array_repeat(F.col("row")["text"], F.col("passes").cast("int"))
-    return mixed.select("row", F.explode(F.concat(wholes, partial)).alias("taken_text")).select(
+    return mixed.select("row", F.explode(F.concat(wholes, parts)).alias("taken_text")).select(
         "row.doc_id",
         F.col("taken_text").alias("text"),
         "row.lang",

@@ -55,6 +55,8 @@ FREQUENT = 1 << 17
 _BLOCK = 1 << 20  # shingles counted together
 #: Sets of a family that are compared together, and shingles of theirs at a time.
 FAMILY_BLOCK, _COLUMNS = 128, 4096
+#: How often a family is taken for that of the set it is named by.
+JUMPS = 3
 
 
 def bands(n: int) -> list[int]:
@@ -316,14 +318,23 @@ def ends(pairs: DataFrame) -> DataFrame:
 def families(placed: DataFrame) -> DataFrame:
     """(name, component, family, blocks) of ``placed`` (key, name, n, pivot, component).
 
-    A set's family is the pivot with which it shares most keys. Families whose members are in one
-    component have no blocks: nothing in them is left to compare.
+    A set's family is the pivot with which it shares most keys, or that pivot's own family, up to
+    ``JUMPS`` times. Families whose members are in one component have no blocks: nothing in them
+    is left to compare.
     """
     counted = placed.groupBy("name", "component", "pivot").agg(F.count("*").alias("hits"))
     best = F.max(F.struct("hits", (-F.col("pivot")).alias("minus"))).alias("best")
-    members = counted.groupBy("name", "component").agg(best).select(
-        "name", "component", (-F.col("best.minus")).alias("family")
+    members = cut_lineage(
+        counted.groupBy("name", "component")
+        .agg(best)
+        .select("name", "component", (-F.col("best.minus")).alias("family"))
     )
+    for _ in range(JUMPS):
+        above = members.select(F.col("name").alias("family"), F.col("family").alias("higher"))
+        members = members.join(above, "family", "left").select(
+            "name", "component", F.coalesce("higher", "family").alias("family")
+        )
+        members = cut_lineage(members)
     mixed_up = F.min("component") != F.max("component")
     sizes = members.groupBy("family").agg(
         F.when(mixed_up, F.ceil(F.count("*") / FAMILY_BLOCK)).alias("blocks")

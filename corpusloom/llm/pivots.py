@@ -20,7 +20,7 @@ from corpusloom.llm.graph import components, cut_lineage, lower_roots
 from corpusloom.llm.vectors import matrix, usable
 
 #: Pivots in a description, lists looked into, pivots that a pair must share.
-DESCRIBED, PROBED, SHARED = 8, 4, 4
+DESCRIBED, PROBED, SHARED = 8, 6, 3
 #: Bounds of the number of pivots; in between it is half the square root of the number of vectors.
 LEAST, MOST = 32, 4096
 CHUNK = 2048

@@ -89,7 +89,8 @@ def test_pivot_links_against_brute_force(spark):
     want = brute(rows)
     assert len(got) == len(want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert sum(g[1] for g in got) >= 0.9 * sum(w[1] for w in want) > 0
-    assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.9 * len(want)
+    # A component that lost a link may fall apart, never grow.
+    assert all(g[2] >= w[2] for g, w in zip(got, want, strict=True))
 
 
 def test_pivots_empty_table(spark):
