@@ -1,9 +1,9 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. A vector is described by its nearest
-pivots in order. The inverted list of a pivot holds the vectors to which it is the nearest (its
-members); a vector looks into the lists of its nearest few pivots. Only pairs that share enough
-pivots are verified by their cosine in double precision.
+Reference points (pivots) are a bounded sample of the vectors, thinned until no two are near one
+another, so a dense region is one pivot. The inverted list of a pivot holds the vectors to which it
+is the nearest (its members); a vector looks into the lists of its nearest few pivots, in their
+order. All pairs that meet in a list are verified by their cosine in double precision.
 
 Equal vectors are one class with a count. Lists are cut into chunks of bounded size and each pair of
 chunks is a group of its own, in which pairs are counted and joined to trees; no pairs leave a task.
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.graph import components, cut_lineage, lower_roots
 from corpusloom.llm.vectors import matrix, usable
 
-#: Pivots in a description, lists looked into, pivots that a pair must share.
-DESCRIBED, PROBED, SHARED = 8, 6, 3
+#: Lists looked into.
+PROBED = 6
 #: Bounds of the number of pivots; in between it is half the square root of the number of vectors.
 LEAST, MOST = 32, 4096
+#: Pivots have cosines below this; so many vectors are looked at for each pivot wanted.
+APART, DRAWN = 0.65, 4
 CHUNK = 2048
 
 
@@ -48,20 +50,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     ).first()
     dims = size["dims"] or 1
     n_pivots = min(MOST, max(LEAST, int(size["n"] ** 0.5 / 2)))
-    chosen = classes.orderBy(F.xxhash64("embedding"), "id").limit(n_pivots)
-    points = unit(matrix(chosen.select("embedding").toPandas()["embedding"], dims))
+    drawn = classes.orderBy(F.xxhash64("embedding"), "id").limit(DRAWN * n_pivots)
+    drawn = unit(matrix(drawn.select("embedding").toPandas()["embedding"], dims))
+    points = thinned(drawn, n_pivots)
 
     def describe(batches):
         for batch in batches:
             near = np.argsort(-(unit(matrix(batch["embedding"], dims)) @ points.T), axis=1)
-            yield batch.assign(near=list(near[:, :DESCRIBED].astype(np.int32)))
+            yield batch.assign(near=list(near[:, :PROBED].astype(np.int32)))
 
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in classes.schema)}"
     described = classes.mapInPandas(describe, f"{schema}, near array<int>").withColumn(
         "dims", F.size("embedding")
     )
     visits = described.select(
-        "*", F.posexplode(F.slice("near", 1, PROBED)).alias("place", "cell")
+        "*", F.posexplode("near").alias("place", "cell")
     )
     visits = cut_lineage(visits)
     list_of = ["label", "dims", "cell"]
@@ -111,6 +114,17 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-300)[:, None]
 
 
+def thinned(rows: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` rows that are not near an earlier one of them."""
+    out, n = np.zeros((min(most, len(rows)), rows.shape[1])), 0
+    for row in rows:
+        if n == len(out):
+            break
+        if not n or (out[:n] @ row).max() < APART:
+            out[n], n = row, n + 1
+    return out[:n]
+
+
 def linked(rows: pd.DataFrame, dims: int, least: float) -> pd.DataFrame:
     """Counts of links of a group's rows, and the smallest id that their links reach in it.
 
@@ -125,8 +139,6 @@ def linked(rows: pd.DataFrame, dims: int, least: float) -> pd.DataFrame:
     cell = int(rows["cell"].iloc[0])
     h, g = (unit(matrix(x["embedding"], dims)) for x in (home, guest))
     h_near, g_near = (np.stack(list(x["near"])) for x in (home, guest))
-    width = max(h_near.max(), g_near.max()) + 1
-    h_has, g_has = (_incidence(x, width) for x in (h_near, g_near))
     h_id, g_id = (x["id"].to_numpy(np.int64) for x in (home, guest))
     ids, where = np.unique(np.r_[h_id, g_id], return_inverse=True)
     h_at, g_at = where[: len(h_id)], where[len(h_id) :]
@@ -134,12 +146,11 @@ def linked(rows: pd.DataFrame, dims: int, least: float) -> pd.DataFrame:
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
     foreign = g_near[:, 0] != cell
     for i in range(0, len(g), 256):
-        part = slice(i, i + 256)
-        shared = g_has[part] @ h_has.T
-        a, b = np.nonzero(shared >= min(SHARED, h_near.shape[1]))
+        # The product rounds by its block's shape; near the threshold a pair is computed by itself.
+        a, b = np.nonzero(g[i : i + 256] @ h.T >= least - 1e-9)
         a += i
         away = foreign[a]
-        back = (h_near[b, :PROBED] == g_near[a, :1]).any(axis=1) & (g_near[a, 0] < cell)
+        back = (h_near[b] == g_near[a, :1]).any(axis=1) & (g_near[a, 0] < cell)
         keep = (g_id[a] != h_id[b]) & ~(away & back)
         a, b, away = a[keep], b[keep], away[keep]
         close = np.einsum("ij,ij->i", g[a], h[b]) >= least
@@ -149,10 +160,3 @@ def linked(rows: pd.DataFrame, dims: int, least: float) -> pd.DataFrame:
         lower_roots(root, g_at[a], h_at[b])
     some = links > 0
     return pd.DataFrame({"id": ids[some], "root": ids[root[some]], "links": links[some]})
-
-
-def _incidence(near: np.ndarray, width: int) -> np.ndarray:
-    """Rows of the inverted lists' matrix: 1 where a vector is described by a pivot."""
-    out = np.zeros((len(near), width), np.float32)
-    np.put_along_axis(out, near.astype(np.int64), 1, axis=1)
-    return out

@@ -93,6 +93,51 @@ def test_pivot_links_against_brute_force(spark):
     assert all(g[2] >= w[2] for g, w in zip(got, want, strict=True))
 
 
+def dense(n=1800, dims=64, cosine=0.95, seed=3):
+    """A third of the vectors are near one another; half of the others have a near copy."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[: n // 3] = cosine**0.5 * x[0] + (1 - cosine) ** 0.5 * x[: n // 3]
+    x[2 * n // 3 :] = x[n // 3 : 2 * n // 3] + 0.3 / dims**0.5 * rng.standard_normal((n // 3, dims))
+    return x.astype(np.float32)
+
+
+def test_links_in_a_dense_group_row_by_row(spark):
+    for cosine in (0.92, 0.97):
+        x = dense(cosine=cosine)
+        rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+        got = pivots.near_duplicates(table(spark, rows)).collect()
+        got = dict((r["vec_id"], (r["n_links"], r["component_id"])) for r in got)
+        y = x.astype(np.float64)
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        near = y @ y.T >= 0.93
+        low = np.arange(len(x))
+        while True:  # the smallest row that links reach
+            new = np.where(near, low, len(x)).min(axis=1)
+            if (new == low).all():
+                break
+            low = new
+        want = list(zip(near.sum(axis=1) - 1, low))
+        third = len(x) // 3
+        assert all(got[i] == want[i] for i in range(third))
+        assert sum(got[i] == w for i, w in enumerate(want)) >= 0.98 * len(x)
+
+
+def test_rows_against_brute_force(spark):
+    got = pivots.near_duplicates(table(spark, vectors())).collect()
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got)
+    want = brute(vectors())
+    assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.9 * len(want)
+
+
+def test_pivots_are_not_near_one_another():
+    x = pivots.unit(dense().astype(np.float64))
+    points = pivots.thinned(x, 64)
+    cosines = points @ points.T - np.eye(len(points))
+    assert len(points) == 64 and cosines.max() < pivots.APART
+
+
 def test_pivots_empty_table(spark):
     assert pivots.near_duplicates(table(spark, vectors()).limit(0)).count() == 0
     only = pivots.near_duplicates(table(spark, [(3, None, 1), (4, [1.0, 0.0], 1)])).collect()
