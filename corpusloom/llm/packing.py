@@ -1,7 +1,15 @@
 """Packing by lexical retrieval: windows are filled with the nearest unused documents of a shard.
 
-Documents are hashed into shards of bounded bytes and rows; one shuffle moves their texts. A task
-tokenizes a shard, builds its BM25 inverted index, and fills window after window: a window begins
+Statistics. In how many documents and bytes each term is, the number of documents and their mean
+length are counted once over all documents. Terms of several documents are sorted hash arrays in the
+shared folder, which workers map; nothing of them passes through the driver.
+
+Placing. A document goes where the term does that weighs most in it by BM25, among those that other
+documents have too and whose documents fit half a shard, so documents about the same things meet.
+If it has only more frequent ones, the heaviest of them counts and its documents are split by hash.
+
+Filling. One shuffle moves the texts into shards. A task tokenizes a shard, builds its BM25 inverted
+index with the statistics of all documents, and fills window after window: a window begins
 with what is left of a cut document, or the first unused one; the index ranks the unused documents
 of the shard for it, and they follow, best first, until the window is full. The document at a
 window's end is cut there. What is left at a shard's end is cut at powers of two, so no sequence
@@ -10,30 +18,170 @@ needs padding.
 
 from __future__ import annotations
 
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tokens import word_tokenizer
+from corpusloom.llm.kneser_ney import looked_up, mapped_folder, saved, shard_of
+from corpusloom.llm.shingles import mixed
+from corpusloom.llm.tables import stage
+from corpusloom.llm.tokens import term_hashes, word_tokenizer
 
 WINDOW = 4096
 END = 2
 K1, B = 1.2, 0.75
 SHARD_BYTES, SHARD_ROWS = 4 << 20, 8192
+#: Terms of a file of statistics, and terms counted together.
+FILE_TERMS, BLOCK = 1 << 20, 1 << 21
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, sequence_tokens long, ids binary"
 )
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Counts over all documents, and where those of terms are."""
+
+    folder: str
+    files: int
+    n: int
+    mean: float  # terms of a document, repeated ones too
+
+    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In how many documents each of the hashed ``terms`` is, and their bytes."""
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        where = shard_of(terms.view(np.uint64), self.files)
+        found = looked_up(self.folder, "terms", "documents", terms.view(np.uint64), where, 2)
+        # Terms of one document are not kept.
+        return np.maximum(found[:, 0], 1), found[:, 1]
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+    def weights(self, df: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """BM25 weights of terms in documents of ``sizes`` terms."""
+        long = K1 * (1 - B + B * sizes / max(1.0, self.mean))
+        # Whole numbers, so that sums do not depend on the order of terms.
+        return np.rint(4096 * self.idf(df) * tf * (K1 + 1) / (tf + long))
+
+
+def counted(terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of each distinct term of each document, by document and term."""
+    none = np.zeros(0, np.int64)
+    found = [np.unique(t, return_counts=True) for t in terms]
+    doc = np.repeat(np.arange(len(terms)), [len(t) for t, _ in found])
+    return doc, np.concatenate([none, *[t for t, _ in found]]), np.concatenate([none, *[n for _, n in found]])
+
+
+def statistics(docs: DataFrame) -> Statistics:
+    """Count the terms of ``docs`` (text, not null) and write those that several documents have."""
+    folder = f"{mapped_folder(docs.sparkSession)}/terms-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = term_hashes()
+        waiting, size, long, n = [], 0, 0, 0
+
+        def together() -> pd.DataFrame:
+            names, at = np.unique(np.concatenate([w[0] for w in waiting]), return_inverse=True)
+            df, held = (
+                np.bincount(at, np.concatenate([w[i] for w in waiting]), len(names)) for i in (1, 2)
+            )
+            return pd.DataFrame(
+                {"term": names, "df": df.astype(np.int64), "bytes": held.astype(np.int64)}
+            )
+
+        for batch in batches:
+            terms = hashes.of(list(batch["text"]))
+            n += len(terms)
+            long += sum(map(len, terms))
+            doc, term, _ = counted(terms)
+            names, at = np.unique(term, return_inverse=True)
+            held = np.bincount(at, batch["bytes"].to_numpy()[doc], len(names))
+            waiting.append((names, np.bincount(at, minlength=len(names)), held))
+            size += len(names)
+            if size >= BLOCK:
+                yield together()
+                waiting, size = [], 0
+        if waiting:
+            yield together()
+        yield pd.DataFrame({"term": pd.array([None], "Int64"), "df": [n], "bytes": [long]})
+
+    texts = docs.select("text", F.octet_length("text").cast("long").alias("bytes"))
+    sums = stage(
+        texts.mapInPandas(count, "term long, df long, bytes long")
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"), F.sum("bytes").alias("bytes"))
+        .filter("term IS NULL OR df > 1")
+    )
+    size = sums.agg(F.count("term").alias("terms")).first()["terms"]
+    files = max(1, -(-size // FILE_TERMS))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            file = shard_of(batch["term"].to_numpy(np.int64).view(np.uint64), files)
+            yield batch.assign(file=file.astype(np.int32))
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        term = rows["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(term)
+        saved(folder, f"terms-{key[0]}", term[order])
+        saved(folder, f"documents-{key[0]}", rows[["df", "bytes"]].to_numpy(np.int64)[order])
+        return pd.DataFrame({"n": [len(rows)]})
+
+    placed = sums.filter("term IS NOT NULL").mapInPandas(
+        place, "term long, df long, bytes long, file int"
+    )
+    placed.groupBy("file").applyInPandas(write, "n long").agg(F.sum("n")).first()
+    total = sums.filter("term IS NULL").first()
+    n, long = (total["df"], total["bytes"]) if total else (0, 0)
+    return Statistics(folder, files, n, long / max(1, n))
+
+
+def places(
+    terms: list[np.ndarray],
+    rows: np.ndarray,
+    known: Statistics,
+    shards: int,
+    most: tuple[int, int],
+) -> np.ndarray:
+    """The shard of each document, given its hashed terms and a hash of the row; ``most`` is the
+    bytes and rows of a shard.
+    """
+    sizes = np.array([len(t) for t in terms], np.int64)
+    doc, term, tf = counted(terms)
+    names, at = np.unique(term, return_inverse=True)
+    df, held = (x[at] for x in known.of(names))
+    weight = known.weights(df, tf, sizes[doc])
+    parts = np.maximum(-(-held // most[0]), -(-df // most[1]))
+    fits = (2 * held <= most[0]) & (2 * df <= most[1])
+    # The last of a document: one that fits, heavier, of a smaller hash.
+    order = np.lexsort([-np.arange(len(term)), weight, fits, doc])
+    order = order[df[order] > 1]
+    last = np.r_[doc[order[1:]] != doc[order[:-1]], True] if len(order) else order
+    best = order[last]
+    key = rows.view(np.uint64).copy()
+    part = np.where(fits[best], 0, mixed(key[doc[best]]) % np.maximum(parts[best], 1).astype(np.uint64))
+    key[doc[best]] = mixed(term[best].view(np.uint64)) + part.astype(np.uint64)
+    return shard_of(key, shards)
+
+
 class Index:
-    """BM25 postings of a shard: by term, the documents and the weight of the term in each."""
+    """BM25 postings of a shard: by term, the documents and the weight of the term in each.
+
+    ``known`` are statistics of more documents, by which ``terms`` are hashes, or else the shard's.
+    """
 
-    def __init__(self, terms: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], known: Statistics | None = None):
         n = self.n = len(terms)
         sizes = np.array([len(t) for t in terms], np.int64)
         docs = np.repeat(np.arange(n), sizes)
@@ -43,10 +191,9 @@ class Index:
         df = np.bincount(term, minlength=len(names))
         self.begins = np.cumsum(df) - df
         self.df = df
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        long = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        # Whole numbers, so that sums do not depend on the order of terms.
-        self.weights = np.rint(4096 * idf[term] * tf * (K1 + 1) / (tf + long[self.docs]))
+        of_all = known.of(names)[0] if known else df
+        known = known or Statistics("", 0, n, sizes.mean())
+        self.weights = known.weights(of_all[term], tf, sizes[self.docs])
         # The terms of each document, without those of one document only.
         order = np.argsort(self.docs, kind="stable")
         order = order[df[term[order]] > 1]
@@ -133,6 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     A null text is empty and has the end id only. Repeated rows are packed each on its own; rows
     of one doc_id are ordered by text. Other columns are ignored. An empty table has no pieces.
     The result depends on the rows only, not on their partitions. ``window`` is a power of two.
+    The shared folder has to be one that workers can map files from.
     """
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -141,13 +289,23 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     shards = max(1, -(-(size["b"] or 0) // SHARD_BYTES), -(-size["n"] // SHARD_ROWS))
 
+    known = statistics(docs)
+    most = SHARD_BYTES, SHARD_ROWS
+
+    @F.pandas_udf("int")
+    def number(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        hashes = term_hashes()
+        for text, row in batches:
+            terms = hashes.of(list(text))
+            yield pd.Series(places(terms, row.to_numpy(np.int64), known, shards, most))
+
     def shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         encoder = word_tokenizer(tokenizer)
         encoder.room()
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
         pieces = encoder.numbers(list(rows["text"]))
         lengths = np.array([encoder.count(p) + 1 for p in pieces], np.int64)
-        index = Index([encoder.terms(p) for p in pieces])
+        index = Index([encoder.hashes(encoder.terms(p)) for p in pieces], known)
         parts = list(
             fill(lengths, lambda d: np.argsort(-index.scores(d), kind="stable"), window)
         )
@@ -177,5 +335,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
             }
         )
 
-    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
-    return docs.withColumn("shard", number).groupBy("shard").applyInPandas(shard, PIECES)
+    placed = docs.withColumn("shard", number("text", F.xxhash64("doc_id", "text")))
+    return placed.groupBy("shard").applyInPandas(shard, PIECES)

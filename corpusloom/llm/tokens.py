@@ -12,6 +12,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from tokenizers import Tokenizer
 
 #: str.split() also splits at these, the tokenizer's white space does not.
@@ -37,6 +38,7 @@ class WordTokenizer:
         self._cores = np.zeros(1 << 12, np.int64)
         self._tails = np.zeros(1 << 12, np.int64)
         self._part: dict[str, int] = {"": 0}
+        self._hashes = np.zeros(1 << 12, np.int64)
         self._starts = np.zeros(1 << 12, np.int64)
         self._lengths = np.zeros(1 << 12, np.int64)
         self._ids = np.zeros(1 << 16, np.int32)
@@ -53,6 +55,10 @@ class WordTokenizer:
         self._starts = _room(self._starts, n + len(parts))
         self._lengths = _room(self._lengths, n + len(parts))
         self._ids[self._used : self._used + total] = [i for f in found for i in f]
+        self._hashes = _room(self._hashes, n + len(parts))
+        self._hashes[n : n + len(parts)] = np.fromiter(
+            map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)
+        ).view(np.int64)
         self._starts[n : n + len(parts)] = self._used + np.cumsum(lengths) - lengths
         self._lengths[n : n + len(parts)] = lengths
         self._used += total
@@ -88,9 +94,7 @@ class WordTokenizer:
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's pieces."""
-        split = [
-            [w for w in _SPACE.split(t) if w] if _SEPARATORS.search(t) else t.split() for t in texts
-        ]
+        split = _pieces(texts)
         number = self._piece
         new = {w for words in split for w in words if w not in number}
         if new:
@@ -101,6 +105,10 @@ class WordTokenizer:
         """What stands for the pieces' words, whatever their case and the punctuation after them."""
         return self._cores[numbers]
 
+    def hashes(self, terms: np.ndarray) -> np.ndarray:
+        """64-bit hashes of terms, the same in every task."""
+        return self._hashes[terms]
+
     def count(self, numbers: np.ndarray) -> int:
         """The number of ids of pieces."""
         return int(self._lengths[self._cores[numbers]].sum() + self._lengths[self._tails[numbers]].sum())
@@ -120,6 +128,35 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return array
 
 
+def _pieces(texts: list[str]) -> list[list[str]]:
+    return [
+        [w for w in _SPACE.split(t) if w] if _SEPARATORS.search(t) else t.split() for t in texts
+    ]
+
+
+class TermHashes:
+    """The hashes of texts' terms as ``WordTokenizer`` has them, without learning token ids."""
+
+    def __init__(self):
+        self._known: dict[str, int] = {}
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self._known) > _REMEMBERED:
+            self._known = {}
+        split, known = _pieces(texts), self._known
+        for piece in {w for words in split for w in words if w not in known}:
+            plain = _PLAIN.fullmatch(piece)
+            known[piece] = xxhash.xxh3_64_intdigest(plain[1].lower() if plain else piece)
+        return [
+            np.fromiter(map(known.__getitem__, w), np.uint64, len(w)).view(np.int64) for w in split
+        ]
+
+
+@lru_cache(maxsize=1)
+def term_hashes() -> TermHashes:
+    return TermHashes()
+
+
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)

@@ -9,7 +9,7 @@ from cases import documents, texts
 from tokenizers import Tokenizer
 
 from corpusloom.llm import packing
-from corpusloom.llm.tokens import WordTokenizer
+from corpusloom.llm.tokens import TermHashes, WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -78,6 +78,63 @@ def test_scores_are_bm25():
         assert np.array_equal(index.scores(seed), want)
 
 
+def test_term_hashes_are_the_tokenizer_s():
+    known = WordTokenizer(PATH)
+    for text in ODD:
+        want = known.hashes(known.terms(known.numbers([text])[0]))
+        assert TermHashes().of([text])[0].tolist() == want.tolist()
+
+
+def topics(n=40, docs=8):
+    """Documents about ``n`` things, all with the same frequent words too."""
+    rng = np.random.default_rng(5)
+    common = [f"w{chr(97 + i)}x" for i in range(26)]
+    name = lambda k, i: "t" + "".join(chr(97 + int(c)) for c in f"{k:02d}{i}")
+    return [
+        " ".join([*rng.choice(common, 30), *[name(k, i) for i in range(5)]])
+        for _ in range(docs)
+        for k in range(n)
+    ]
+
+
+def test_neighbours_meet_in_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 32)  # ten shards and more
+    got = packing.pack(documents(spark, topics()), PATH).toPandas()
+    got["shard"], got["topic"] = got["sequence_id"] // (1 << 32), got["doc_id"] % 40
+    assert got["shard"].nunique() > 5
+    assert (got.groupby("topic")["shard"].nunique() == 1).all()
+
+
+def test_frequent_terms_are_split(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 16)
+    got = packing.pack(documents(spark, ["one two"] * 200), PATH).toPandas()
+    rows = got.groupby(got["sequence_id"] // (1 << 32))["doc_id"].nunique()
+    assert rows.sum() >= 200 and len(rows) > 5 and rows.max() < 60
+
+
+def test_statistics_are_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FILE_TERMS", 20)
+    rows = [t or "" for t in texts()[:70]]
+    docs = documents(spark, rows).selectExpr("coalesce(text, '') text")
+    known = packing.statistics(docs)
+    encoder = WordTokenizer(PATH)
+    terms = [encoder.terms(p) for p in encoder.numbers(rows)]
+    assert known.files > 1 and known.n == 70
+    assert known.mean == sum(map(len, terms)) / 70
+    names = np.unique(np.concatenate(terms))
+    df, held = known.of(encoder.hashes(names))
+    size = np.array([len(t.encode()) for t in rows])
+    for name, n, b in zip(names, df, held):
+        has = np.array([name in t for t in terms])
+        assert n == has.sum() and (n == 1 or b == size[has].sum())
+    # A shard of two documents ranks by the counts of all.
+    pair = [encoder.hashes(t) for t in terms[:2]]
+    whole = packing.Index([encoder.hashes(t) for t in terms])
+    part = packing.Index(pair, known)
+    both = np.intersect1d(*pair)
+    assert len(both) and part.scores(0)[1] == whole.scores(0)[1] != packing.Index(pair).scores(0)[1]
+
+
 def test_partitions_do_not_matter_and_repeats_and_empty_tables(spark):
     docs = documents(spark, ["a b c"] * 3 + [None, None], [1, 1, None, 2, 2])
     first, second = (
