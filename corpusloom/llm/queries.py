@@ -6,7 +6,7 @@ from importlib import import_module
 
 AREAS = (
     "chat", "fixity", "jaccard", "kneser_ney", "language", "licenses", "mixing", "packing", "pivots",
-    "dense_search", "sharding", "topk",
+    "dense_search", "prefix_trie", "sharding", "topk",
 )
 
 
