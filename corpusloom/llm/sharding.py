@@ -40,15 +40,22 @@ class Permutation:
 
     @classmethod
     def of(cls, spark: SparkSession, n: int, seed: int = SEED) -> "Permutation":
-        """With as many walks as all places outside need, which a job over these (at most sqrt(n)) finds."""
-        found = cls(n, seed, 0)
+        """With as many walks as any number can need.
+
+        A job over the places outside (at most sqrt(n)) walks them, twice as far each time, until as many are
+        left outside as before: these only lead to one another, and no number leads to them.
+        """
+        found, before = cls(n, seed, 0), None
         outside = spark.range(n, found.left * found.right)
         while True:
-            back = found._walked(F.col("id"), found._forth)
-            there = found._walked(F.col("id"), found._back)
-            if not outside.filter((back >= n) | (there >= n)).head(1):
+            stays = [
+                F.count_if(found._walked(F.col("id"), once) >= n)
+                for once in (found._forth, found._back)
+            ]
+            now = outside.agg(*stays).first()
+            if now == before or not any(now):
                 return found
-            found = cls(n, seed, 2 * found.walks or 1)
+            found, before = cls(n, seed, 2 * found.walks or 1), now
 
     @property
     def left(self) -> int:
