@@ -34,8 +34,13 @@ ENTITIES = {
 }
 AD_BLOCK = r"(?is)<div[^>]*\bclass=\"ad\"[^>]*>.*?</div>"
 
-#: Steps up (``../``) that are followed in a link.
-UP = 4
+# What precedes a link's target, and the parts of a table.
+HREF = r'(?i)(<a\b[^>]*?\shref\s?=\s?")([^"]*)'
+TABLE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
+ROW = r"(?is)<tr\b[^>]*>(.*?)(?:</tr\s*>|(?=<tr\b)|\z)"
+CELL = r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|\z)"
+#: The line below the first row of a table.
+RULE = r"^\|(?: --- \|)+$"
 
 
 def _drop_element(html: Column, names: tuple[str, ...]) -> Column:
@@ -90,46 +95,130 @@ def quoted_links(html: Column) -> Column:
     return F.regexp_replace(html, rf"{link}(?![\"' ])([^\s\"'>]+)", '$1"$2"')
 
 
-def absolute_links(html: Column, url: Column) -> Column:
-    """Links relative to the page's url, resolved; those of a page without one stay."""
-    part = lambda pattern: F.regexp_extract(url, pattern, 0)
-    origin, page = part(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*"), part(r"^[^?#]*")
-    folder = F.when(page == origin, F.concat(page, F.lit("/"))).otherwise(part(r"^[^?#]*/"))
-    out = html
-    for begins, base in (
-        ("(?=//)", part(r"(?i)^[a-z][a-z0-9+.-]*:")),
-        ("(?=/(?!/))", origin),
-        (r"(?=#)", part(r"^[^#]*")),
-        (r"(?=\?)", page),
-        (r"(?![a-z][a-z0-9+.-]*:|[/#?\"])", folder),
-    ):
-        # In a replacement, a backslash and a dollar sign stand for something else.
-        plain = F.replace(F.replace(base, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-        found = F.lit(rf'(?i)(<a\b[^>]*?\shref\s?=\s?"){begins}')
-        out = F.regexp_replace(out, found, F.concat(F.lit("$1"), plain))
-    for _ in range(UP):
-        up = r'(?i)(<a\b[^>]*?\shref\s?=\s?"[^"?#]*?://[^"?#]*?/)(?:\./|(?!\.\./)[^/"?#]+/\.\./)'
-        out = F.when(out.rlike(r"/\.\.?/"), F.regexp_replace(out, up, "$1")).otherwise(out)
-    return F.when(F.coalesce(origin, F.lit("")) == "", html).otherwise(out)
-
-
-def markup_to_markdown(html: Column, url: Column | None = None) -> Column:
-    """Tags to marks: headings, links, list items, table rows; all others are dropped."""
-    html = quoted_links(F.regexp_replace(html, rf"{WS}+", " "))
-    if url is not None:
-        html = absolute_links(html, url)
-    for level in range(1, 7):
-        html = F.regexp_replace(html, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
-    html = F.regexp_replace(html, r"(?i)</h[1-6]\s*>", "\n\n")
-    html = F.regexp_replace(
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` followed, however many there are."""
+    steps = F.split(path, "/", -1)
+    walked = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, step: F.when(step == ".", done)
+        .when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.array_append(done, step)),
+    )
+    ended = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+    followed = F.concat(F.array_join(walked, "/"), ended)
+    return F.when(path.rlike(r"/\.\.?(?:/|\z)"), followed).otherwise(path)
+
+
+def resolve(link: Column, origin: Column, page: Column, url: Column) -> Column:
+    """A link on the page at ``url``: absolute, its path without dots; an empty one stays empty."""
+    folder = F.when(page == origin, F.concat(page, F.lit("/"))).otherwise(
+        F.regexp_extract(page, r"^.*/", 0)
+    )
+    absolute = (
+        F.when(link == "", link)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.substring_index(origin, "//", 1), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.substring_index(url, "#", 1), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(page, link))
+        .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), link)
+        .otherwise(F.concat(folder, link))
+    )
+    path = F.regexp_extract(absolute, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    host = F.regexp_extract(absolute, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*", 0)
+    rest = F.substr(absolute, F.length(host) + F.length(path) + 1)
+    return F.when(path == "", absolute).otherwise(F.concat(host, without_dots(path), rest))
+
+
+def with_absolute_links(pages: DataFrame, body: str, url: str) -> DataFrame:
+    """Links of ``body`` that are relative to the page's ``url``, resolved; without one they stay.
+
+    The page is cut at its links once, each is resolved by itself, and the parts are joined again.
+    """
+    text, at = F.col(body), F.col(url)
+    cut = pages.withColumns(
+        {
+            "_origin": F.regexp_extract(at, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*", 0),
+            "_page": F.regexp_extract(at, r"^[^?#]*", 0),
+            "_openings": F.regexp_extract_all(text, F.lit(HREF), F.lit(1)),
+            "_links": F.regexp_extract_all(text, F.lit(HREF), F.lit(2)),
+            "_between": F.split(text, HREF, -1),
+        }
+    )
+    links = F.transform("_links", lambda a: resolve(a, F.col("_origin"), F.col("_page"), at))
+    parts = F.transform(
+        F.arrays_zip(F.slice("_between", F.lit(2), F.size("_links")).alias("text"), F.col("_openings").alias("opening"), links.alias("link")),
+        lambda x: F.concat(x["opening"], x["link"], x["text"]),
+    )
+    known = F.coalesce(F.col("_origin"), F.lit("")) != ""
+    resolved = F.concat(F.element_at("_between", 1), F.array_join(parts, ""))
+    there = known & (F.size("_links") > 0)
+    return cut.withColumn(body, F.when(there, resolved).otherwise(text)).drop(
+        "_origin", "_page", "_openings", "_links", "_between"
+    )
+
+
+def table_lines(table: Column) -> Column:
+    """The inside of a table as lines: text outside its rows, the first row, a rule, the other rows."""
+    block = rf"(?i)</?(?:{'|'.join(BLOCKS)}|li|h[1-6])\b[^>]*>"
+
+    def cell(inside: Column) -> Column:
+        flat = F.regexp_replace(F.regexp_replace(inside, block, " "), r"</?[a-zA-Z][^>]*>", "")
+        return F.replace(strip(F.regexp_replace(flat, rf"{WS}+", " ")), F.lit("|"), F.lit("\\|"))
+
+    def cells(row: Column) -> Column:
+        return F.transform(F.regexp_extract_all(row, F.lit(CELL), F.lit(1)), cell)
+
+    rows = F.filter(
+        F.transform(F.regexp_extract_all(table, F.lit(ROW), F.lit(1)), cells), lambda c: F.size(c) > 0
+    )
+    written = F.transform(rows, lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |")))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.element_at(rows, 1))))
+    ruled = F.concat(F.slice(written, 1, 1), F.array(rule), F.slice(written, F.lit(2), F.size(written)))
+    outside = F.regexp_replace(table, ROW, "")
+    return F.concat(outside, F.lit("\n\n"), F.when(F.size(rows) > 0, F.array_join(ruled, "\n")).otherwise(""))
+
+
+def with_tables(pages: DataFrame, body: str) -> DataFrame:
+    """Tables of ``body`` as lines of markdown. Of nested ones, the inner ends the outer one."""
+    text = F.col(body)
+    cut = pages.withColumns(
+        {
+            "_tables": F.regexp_extract_all(text, F.lit(TABLE), F.lit(1)),
+            "_between": F.split(text, TABLE, -1),
+        }
+    )
+    parts = F.transform(
+        F.arrays_zip(F.col("_tables").alias("table"), F.slice("_between", F.lit(2), F.size("_tables")).alias("text")),
+        lambda x: F.concat(F.lit("\n\n"), table_lines(x["table"]), F.lit("\n\n"), x["text"]),
+    )
+    written = F.concat(F.element_at("_between", 1), F.array_join(parts, ""))
+    there = F.size("_tables") > 0
+    return cut.withColumn(body, F.when(there, written).otherwise(text)).drop("_tables", "_between")
+
+
+def headings_and_anchors(html: Column) -> Column:
+    """Headings and links as marks."""
+    level = lambda n: (rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ")
+    for pattern, mark in (*map(level, range(1, 7)), (r"(?i)</h[1-6]\s*>", "\n\n")):
+        html = F.regexp_replace(html, pattern, mark)
+    return F.regexp_replace(
         html, r"(?i)<a\b[^>]*\bhref\s?=\s?\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)"
     )
-    html = F.regexp_replace(html, r"(?i)<li\b[^>]*>", "\n- ")
-    html = F.regexp_replace(html, r"(?i)</t[dh]\s*>", " |")
-    html = F.regexp_replace(html, r"(?i)<tr\b[^>]*>", "\n|")
-    html = F.regexp_replace(html, r"(?i)<t[dh]\b[^>]*>", " ")
-    html = F.regexp_replace(html, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n")
-    return F.regexp_replace(html, r"</?[a-zA-Z][^>]*>", "")
+
+
+def tags_to_marks(html: Column) -> Column:
+    """List items and rows outside tables as marks; all other tags are dropped."""
+    for pattern, mark in (
+        (r"(?i)<li\b[^>]*>", "\n- "),
+        (r"(?i)</t[dh]\s*>", " |"),
+        (r"(?i)<tr\b[^>]*>", "\n|"),
+        (r"(?i)<t[dh]\b[^>]*>", " "),
+        (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n"),
+        (r"</?[a-zA-Z][^>]*>", ""),
+    ):
+        html = F.regexp_replace(html, pattern, mark)
+    return html
 
 
 def with_page_lines(pages: DataFrame, keep_nav: bool = False, html: str = "html") -> DataFrame:
@@ -144,8 +233,11 @@ def with_page_lines(pages: DataFrame, keep_nav: bool = False, html: str = "html"
         pages = pages.withColumn("_article", article_of(body)).withColumn(
             "_body", F.when(F.col("_article") != "", F.col("_article")).otherwise(body)
         )
-    url = F.col("url") if "url" in pages.columns else None
-    pages = pages.withColumn("_body", decode_named(markup_to_markdown(body, url)))
+    pages = pages.withColumn("_body", quoted_links(F.regexp_replace(body, rf"{WS}+", " ")))
+    if "url" in pages.columns:
+        pages = with_absolute_links(pages, "_body", "url")
+    pages = with_tables(pages.withColumn("_body", headings_and_anchors(body)), "_body")
+    pages = pages.withColumn("_body", decode_named(tags_to_marks(body)))
     numeric = F.when(F.contains(body, F.lit("&#")), decode_numeric(body)).otherwise(body)
     pages = pages.withColumn("_body", F.replace(numeric, F.lit("&amp;"), F.lit("&")))
     stripped = F.transform(split_lines(body), strip)
@@ -153,16 +245,29 @@ def with_page_lines(pages: DataFrame, keep_nav: bool = False, html: str = "html"
     return lines.drop("_body", "_article")
 
 
+def join_blocks(lines: Column) -> Column:
+    """Blocks parted by blank lines; the rows of one table follow one another."""
+
+    def parted(line: Column, i: Column) -> Column:
+        row = F.startswith(line, F.lit("|")) & F.startswith(F.get(lines, i - 1), F.lit("|"))
+        first = F.coalesce(F.get(lines, i + 1).rlike(RULE), F.lit(False))
+        gap = F.when(i == 0, "").when(row & ~first, "\n").otherwise("\n\n")
+        return F.concat(gap, line)
+
+    return F.array_join(F.transform(lines, parted), "")
+
+
 def page_markdown(pages: DataFrame, keep_nav: bool = False, html: str = "html") -> DataFrame:
-    """(…, html) to (…, markdown): one paragraph, heading, item or row per block."""
+    """(…, html) to (…, markdown): one paragraph, heading, item or table per block."""
     lines = with_page_lines(pages, keep_nav, html)
-    return lines.withColumn("markdown", F.array_join("lines", "\n\n")).drop("lines")
+    return lines.withColumn("markdown", join_blocks(F.col("lines"))).drop("lines")
 
 
 def block_kind(line: Column) -> Column:
     return (
         F.when(heading_level(line) > 0, "heading")
         .when(F.startswith(line, F.lit("- ")), "item")
+        .when(line.rlike(RULE), "rule")
         .when(F.startswith(line, F.lit("|")), "row")
         .otherwise("text")
     )

@@ -62,6 +62,47 @@ def page_markdown(spark, folder):
     return h.page_markdown(_pages(spark, folder))
 
 
+# What is put at the end of every article: links with up to eight steps up, and a table.
+ADDED = """replace(html, '</article>', concat('<p>See <a href="/a/b/c/d/e/f/', repeat('../', page_id % 9),
+  'p', page_id, '.html">deep</a> or <a href="', repeat('./../', page_id % 4), 'q?r=../s">near</a></p>',
+  '<table><tr><th>id</th><th>a|b</th></tr><tr><td>', page_id, '</td><td><p>x</p><p>', page_id % 9,
+  '</p></td></tr></table></article>'))"""
+NL = "' || chr(10) || '"
+
+
+@query(
+    "page_markdown_structured",
+    sql.with_(
+        *sql.page_blocks(),
+        (
+            "placed",
+            r"""SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin,
+              string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/') AS steps, markdown,
+              contains(html, '</article>') AS longer
+            FROM page_texts JOIN (SELECT page_id, html FROM pages) USING (page_id)""",
+        ),
+        (
+            "climbed",
+            """SELECT *, ['a', 'b', 'c', 'd', 'e', 'f'][:greatest(6 - page_id % 9, 0)] AS deep,
+              steps[:greatest(len(steps) - 1 - page_id % 4, 0)] AS near FROM placed""",
+        ),
+        (
+            "reached",
+            """SELECT *, array_to_string([origin] || deep || ['p' || page_id || '.html'], '/') AS deep_url,
+              array_to_string([origin] || near || ['q?r=../s'], '/') AS near_url FROM climbed""",
+        ),
+        last=rf"""SELECT page_id, markdown || CASE WHEN longer THEN
+            '{NL}{NL}See [deep](' || deep_url || ') or [near](' || near_url || '){NL}{NL}'
+            || '| id | a\|b |{NL}| --- | --- |{NL}| ' || page_id || ' | x ' || page_id % 9 || ' |'
+          ELSE '' END AS markdown FROM reached""",
+    ),
+)
+def page_markdown_structured(spark, folder):
+    """Pages with deep relative links and tables put into them."""
+    pages = _pages(spark, folder).withColumn("html", F.expr(ADDED))
+    return h.page_markdown(pages).select("page_id", "markdown")
+
+
 @query(
     "extraction_gate",
     sql.with_(

@@ -20,7 +20,7 @@ def db():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [name for name in QUERIES if name in SQL])
 def test_query_equals_its_sql(spark, db, name):
     rows, notes = compare(spark, db, SMALL, QUERIES[name], SQL[name])
     assert not notes
