@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import WS, heading_level, split_lines, strip
+from corpusloom.functions.text import WS, WS_SET, heading_level, split_lines, strip
 
 # Elements dropped with all they hold, elements that start a new line, and
 # the named entities that are decoded ("&amp;" last, so that nothing is decoded twice).
-DROPPED = ("script", "style", "head", "footer")
+CODE = ("script", "style")
+DROPPED = ("head", "footer")
 NAVIGATION = ("nav",)
 BLOCKS = (
     "p div section article main header aside ul ol table thead tbody blockquote pre dl dt dd "
@@ -43,10 +44,8 @@ CELL = r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|\z)"
 RULE = r"^\|(?: --- \|)+$"
 
 
-def _drop_element(html: Column, names: tuple[str, ...]) -> Column:
-    for name in names:
-        html = F.regexp_replace(html, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
-    return html
+def _drop_elements(html: Column, names: tuple[str, ...]) -> Column:
+    return F.regexp_replace(html, rf"(?is)<({'|'.join(names)})\b[^>]*>.*?</\1\s*>", "")
 
 
 def decode_named(text: Column) -> Column:
@@ -80,7 +79,8 @@ def decode_numeric(text: Column) -> Column:
 def without_chrome(html: Column, keep_nav: bool = False) -> Column:
     """The page without comments, scripts, styles, advertising and navigation."""
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    html = _drop_element(html, DROPPED if keep_nav else DROPPED + NAVIGATION)
+    html = _drop_elements(html, CODE)
+    html = _drop_elements(html, DROPPED if keep_nav else DROPPED + NAVIGATION)
     return F.regexp_replace(html, AD_BLOCK, "")
 
 
@@ -135,8 +135,11 @@ def with_absolute_links(pages: DataFrame, body: str, url: str) -> DataFrame:
 
     The page is cut at its links once, each is resolved by itself, and the parts are joined again.
     """
-    text, at = F.col(body), F.col(url)
-    cut = pages.withColumns(
+    at = F.col(url)
+    linked = F.col(body).rlike(r"(?i)\shref\s?=")
+    cut = pages.withColumn("_linked", F.when(linked, F.col(body)))
+    text = F.col("_linked")  # null where there is nothing to look for
+    cut = cut.withColumns(
         {
             "_origin": F.regexp_extract(at, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*", 0),
             "_page": F.regexp_extract(at, r"^[^?#]*", 0),
@@ -153,8 +156,8 @@ def with_absolute_links(pages: DataFrame, body: str, url: str) -> DataFrame:
     known = F.coalesce(F.col("_origin"), F.lit("")) != ""
     resolved = F.concat(F.element_at("_between", 1), F.array_join(parts, ""))
     there = known & (F.size("_links") > 0)
-    return cut.withColumn(body, F.when(there, resolved).otherwise(text)).drop(
-        "_origin", "_page", "_openings", "_links", "_between"
+    return cut.withColumn(body, F.when(there, resolved).otherwise(F.col(body))).drop(
+        "_linked", "_origin", "_page", "_openings", "_links", "_between"
     )
 
 
@@ -199,21 +202,31 @@ def with_tables(pages: DataFrame, body: str) -> DataFrame:
 
 def headings_and_anchors(html: Column) -> Column:
     """Headings and links as marks."""
-    level = lambda n: (rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ")
-    for pattern, mark in (*map(level, range(1, 7)), (r"(?i)</h[1-6]\s*>", "\n\n")):
-        html = F.regexp_replace(html, pattern, mark)
+    html = F.regexp_replace(html, r"(?i)<h([1-6])\b[^>]*>|</h[1-6]\s*>", "\n\n<h$1>")
+    for level in range(1, 7):
+        html = F.replace(html, F.lit(f"<h{level}>"), F.lit("#" * level + " "))
     return F.regexp_replace(
-        html, r"(?i)<a\b[^>]*\bhref\s?=\s?\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)"
+        F.replace(html, F.lit("<h>"), F.lit("")),
+        r"(?i)<a\b[^>]*\bhref\s?=\s?\"([^\"]*)\"[^>]*>(.*?)</a\s*>",
+        "[$2]($1)",
     )
 
 
-def tags_to_marks(html: Column) -> Column:
-    """List items and rows outside tables as marks; all other tags are dropped."""
+def rows_to_marks(html: Column) -> Column:
+    """Rows and cells outside tables."""
     for pattern, mark in (
-        (r"(?i)<li\b[^>]*>", "\n- "),
         (r"(?i)</t[dh]\s*>", " |"),
         (r"(?i)<tr\b[^>]*>", "\n|"),
         (r"(?i)<t[dh]\b[^>]*>", " "),
+    ):
+        html = F.regexp_replace(html, pattern, mark)
+    return html
+
+
+def tags_to_marks(html: Column) -> Column:
+    """List items as marks, the ends of blocks as line ends; all other tags are dropped."""
+    for pattern, mark in (
+        (r"(?i)<li\b[^>]*>", "\n- "),
         (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n"),
         (r"</?[a-zA-Z][^>]*>", ""),
     ):
@@ -233,10 +246,14 @@ def with_page_lines(pages: DataFrame, keep_nav: bool = False, html: str = "html"
         pages = pages.withColumn("_article", article_of(body)).withColumn(
             "_body", F.when(F.col("_article") != "", F.col("_article")).otherwise(body)
         )
-    pages = pages.withColumn("_body", quoted_links(F.regexp_replace(body, rf"{WS}+", " ")))
+    blanks = rf"{WS}{{2,}}|[{WS_SET}&&[^ ]]"  # a single blank is one already
+    pages = pages.withColumn("_body", F.regexp_replace(body, blanks, " "))
+    unquoted = body.rlike(r"(?i)\shref\s?=\s?[^\"\s]")
+    pages = pages.withColumn("_body", F.when(unquoted, quoted_links(body)).otherwise(body))
     if "url" in pages.columns:
         pages = with_absolute_links(pages, "_body", "url")
     pages = with_tables(pages.withColumn("_body", headings_and_anchors(body)), "_body")
+    pages = pages.withColumn("_body", F.when(body.rlike("(?i)</?t[rdh]"), rows_to_marks(body)).otherwise(body))
     pages = pages.withColumn("_body", decode_named(tags_to_marks(body)))
     numeric = F.when(F.contains(body, F.lit("&#")), decode_numeric(body)).otherwise(body)
     pages = pages.withColumn("_body", F.replace(numeric, F.lit("&amp;"), F.lit("&")))
