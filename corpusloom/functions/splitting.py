@@ -21,7 +21,9 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 SEPARATORS = ("\n\n", "\n", " ")
 PIECES = ArrayType(StringType())
 CHUNKS = ArrayType(
-    StructType([StructField("section", StringType()), StructField("text", StringType())])
+    ArrayType(
+        StructType([StructField("section", StringType()), StructField("text", StringType())])
+    )
 )
 _ALNUM = re.compile(r"[^\W_]")
 
@@ -121,18 +123,23 @@ def _fold(pieces: pa.Array, budget: pa.Array, min_chars: pa.Array) -> pa.Array:
 
 
 @arrow_udf(CHUNKS)
-def _chunk(sections: pa.Array, min_chars: pa.Array) -> pa.Array:
+def _chunk(sections: pa.Array, settings: pa.Array) -> pa.Array:
     out = []
-    for parts, least in zip(sections.to_pylist(), min_chars.to_pylist()):
-        chunks = []
-        for part in parts:
-            size = part["size"]
-            pieces = fold_small(split_text(part["body"], size, part["overlap"]), size, least)
-            chunks += [(part["section"], part["prefix"] + piece) for piece in pieces]
-        out.append([{"section": section, "text": text} for section, text in chunks])
-    return pa.array(
-        out, pa.list_(pa.struct([("section", pa.string()), ("text", pa.string())]))
-    )
+    for parts, variants in zip(sections.to_pylist(), settings.to_pylist()):
+        lists = []
+        for variant in variants:
+            chunks = []
+            for part, limit in zip(parts, variant["limits"], strict=True):
+                size = limit["size"]
+                pieces = split_text(part["body"], size, limit["overlap"])
+                chunks += [
+                    {"section": part["section"], "text": limit["prefix"] + piece}
+                    for piece in fold_small(pieces, size, variant["least"])
+                ]
+            lists.append(chunks)
+        out.append(lists)
+    chunk = pa.struct([("section", pa.string()), ("text", pa.string())])
+    return pa.array(out, pa.list_(pa.list_(chunk)))
 
 
 def split_body(body: Column, size: Column, overlap: Column) -> Column:
@@ -144,8 +151,8 @@ def merge_small(pieces: Column, budget: Column, min_chars: Column) -> Column:
     return _fold(pieces, budget, min_chars)
 
 
-def chunk_sections(sections: Column, min_chars: Column) -> Column:
-    """Ordered ARRAY<STRUCT<section, prefix, body, size, overlap>> of one document to its
-    ARRAY<STRUCT<section, text>> of chunks, both steps in one trip to Python.
+def chunk_sections(sections: Column, settings: Column) -> Column:
+    """A document's ARRAY<STRUCT<section_seq, section, body>>, and for each setting its least size and the
+    (prefix, size, overlap) of every section, to a list of chunks (section, text) for each setting.
     """
-    return _chunk(sections, min_chars)
+    return _chunk(sections, settings)

@@ -55,11 +55,15 @@ def split_lines(text: Column) -> Column:
     return F.when(text == "", no_lines).otherwise(F.split(body, LINE_END, -1))
 
 
-def explode_lines(docs: DataFrame, text: str, doc: str = "doc_id") -> DataFrame:
-    """One row per line: (doc, pos, line). A document without lines keeps one row
-    whose ``line`` is null, so no document is lost on the way.
-    """
-    return docs.select(doc, F.posexplode_outer(split_lines(F.col(text))).alias("pos", "line"))
+def with_lines(docs: DataFrame, text: str = "markdown", lines: str = "lines") -> DataFrame:
+    """``text`` replaced by the array of its lines; a null text has none."""
+    none = F.array().cast("array<string>")
+    return docs.withColumn(lines, F.coalesce(split_lines(F.col(text)), none)).drop(text)
+
+
+def explode_lines(docs: DataFrame, doc: str = "doc_id", lines: str = "lines") -> DataFrame:
+    """(doc, pos, line), one row per line. A document without lines keeps one row whose line is null."""
+    return docs.select(doc, F.posexplode_outer(lines).alias("pos", "line"))
 
 
 def heading_level(line: Column) -> Column:

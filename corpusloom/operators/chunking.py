@@ -1,20 +1,23 @@
-"""Sections and chunks: heading paths by window, splitting by one Arrow function."""
+"""Sections and chunks: heading paths by a scan along a document's lines, splitting by one Arrow
+function. All of it happens within the document's row.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.splitting import chunk_sections as split_chunks
+from corpusloom.functions.arrays import scan
+from corpusloom.functions.splitting import chunk_sections
 from corpusloom.functions.text import (
     as_column,
-    explode_lines,
     heading_level,
     heading_title,
     rstrip,
     strip,
+    with_lines,
 )
 from corpusloom.settings import Settings
 
@@ -54,56 +57,86 @@ def breadcrumb(titles: Column, deeper: Column, max_chars: int = 80) -> Column:
     return F.coalesce(fitting, F.try_element_at(path, F.lit(-1)), F.lit(""))
 
 
-def _with_open_headings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Lines with level, title, running section number and, per level, the open heading.
-
-    Per level the last heading at or above it is kept; it is open if it is of exactly
-    that level, because any later heading of a lower level has closed it.
+def _with_headings(docs: DataFrame, text: str) -> DataFrame:
+    """``text`` replaced by ``lines``, ``heads`` (pos, lvl, title of its titled headings) and, for each
+    of these, ``stack``: the titles open there by level, null for a level without one.
     """
-    lines = explode_lines(docs, text, doc).withColumns(
-        {"lvl": heading_level(F.col("line")), "title": heading_title(F.col("line"))}
-    )
-    titled = (F.col("lvl") > 0) & (F.col("title") != "")
-    so_far = (
-        Window.partitionBy(doc)
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    lasts = {
-        f"_h{level}": F.last(
-            F.when(titled & (F.col("lvl") <= level), F.struct("lvl", "title")), ignorenulls=True
-        ).over(so_far)
-        for level in range(1, 7)
-    }
-    numbered = F.sum(titled.cast("int")).over(so_far).cast("int")
-    return lines.withColumns({**lasts, "section_seq": numbered}).withColumn("titled", titled)
 
+    def head(x: Column, i: Column) -> Column:
+        level, title = heading_level(x["line"]).alias("lvl"), x["title"]
+        return F.when(title != "", F.struct(i.alias("pos"), level, title.alias("title")))
 
-def _open(levels, value) -> Column:
-    return F.array_compact(F.array(*[F.when(F.col(f"_h{n}.lvl") == n, value(n)) for n in levels]))
+    def open_below(stack: Column, head: Column) -> Column:
+        above = head["lvl"] - 1
+        skipped = F.array_repeat(F.lit(None).cast("string"), F.greatest(above - F.size(stack), F.lit(0)))
+        return F.concat(F.slice(stack, F.lit(1), above), skipped, F.array(head["title"]))
+
+    none = F.array().cast("array<string>")
+    titles = F.transform("lines", heading_title)
+    titled = F.arrays_zip(F.col("lines").alias("line"), titles.alias("title"))
+    return (
+        with_lines(docs, text)
+        .withColumn("heads", F.array_compact(F.transform(titled, head)))
+        .withColumn("stack", scan(F.col("heads"), none, open_below))
+    )
 
 
 def heading_stack(docs: DataFrame, doc: str = "doc_id", text: str = "markdown") -> DataFrame:
     """(doc, pos, stack) per titled heading: ``1:Title/3:Part`` from the outside in."""
-    entry = lambda n: F.concat(F.lit(f"{n}:"), F.col(f"_h{n}.title"))
-    lines = _with_open_headings(docs, doc, text).filter("titled")
-    return lines.select(doc, "pos", F.array_join(_open(range(1, 7), entry), "/").alias("stack"))
+    level = lambda t, i: F.when(t.isNotNull(), F.concat((i + 1).cast("string"), F.lit(":"), t))
+    found = _with_headings(docs.select(doc, text), text).select(
+        doc, F.inline_outer(F.arrays_zip(F.col("heads.pos").alias("pos"), F.col("stack")))
+    )
+    return found.filter("pos IS NOT NULL").select(doc, "pos", F.array_join(F.transform("stack", level), "/").alias("stack"))
+
+
+def _with_paths(docs: DataFrame, max_section_chars: int, text: str) -> DataFrame:
+    """Adds ``paths``: the heading path of each of ``heads``."""
 
+    def titles(stack: Column) -> Column:
+        deeper = F.array_compact(F.slice(stack, 2, 5))
+        return F.when(F.size(deeper) > 0, deeper).otherwise(F.array_compact(stack))
 
-def with_heading_path(
+    path = lambda p: breadcrumb(p, p, max_section_chars)
+    return (
+        _with_headings(docs, text)
+        .withColumn("_open", F.transform("stack", titles))
+        .withColumn("paths", F.transform("_open", path))
+        .drop("_open", "stack")
+    )
+
+
+def heading_paths(
     docs: DataFrame, max_section_chars: int = 80, doc: str = "doc_id", text: str = "markdown"
 ) -> DataFrame:
-    """(doc, pos, line, section_seq, path): the path is given on titled headings only."""
-    titles = lambda levels: _open(levels, lambda n: F.col(f"_h{n}.title"))
-    lines = _with_open_headings(docs, doc, text).withColumns(
-        {
-            "_titles": F.when(F.col("titled"), titles(range(1, 7))),
-            "_deeper": F.when(F.col("titled"), titles(range(2, 7))),
-        }
+    """(doc, pos, path) per titled heading."""
+    found = _with_paths(docs.select(doc, text), max_section_chars, text)
+    return found.select(
+        doc, F.inline_outer(F.arrays_zip(F.col("heads.pos").alias("pos"), F.col("paths").alias("path")))
+    ).filter("pos IS NOT NULL")
+
+
+def with_sections(docs: DataFrame, max_section_chars: int = 80, text: str = "markdown") -> DataFrame:
+    """``text`` replaced by ``sections``: (section_seq, section, body) of each titled heading that has
+    text below it, and of what stands above the first.
+    """
+
+    def section(x: Column, k: Column) -> Column:
+        body = F.array_join(F.slice("lines", x["begin"] + 1, x["end"] - x["begin"]), "\n")
+        return F.struct(k.alias("section_seq"), x["section"], strip(body).alias("body"))
+
+    # Whatever stands above the first heading, and then the lines from each heading to the next.
+    begins = F.concat(F.array(F.lit(0)), F.transform("heads.pos", lambda p: p + 1))
+    ends = F.concat("heads.pos", F.array(F.size("lines")))
+    parts = F.arrays_zip(
+        begins.alias("begin"),
+        ends.alias("end"),
+        F.concat(F.array(F.lit("")), "paths").alias("section"),
     )
-    path = breadcrumb(F.col("_titles"), F.col("_deeper"), max_section_chars)
-    return lines.select(
-        doc, "pos", "line", "section_seq", F.when(F.col("titled"), path).alias("path")
+    return (
+        _with_paths(docs, max_section_chars, text)
+        .withColumn("sections", F.filter(F.transform(parts, section), lambda s: s["body"] != ""))
+        .drop("lines", "heads", "paths")
     )
 
 
@@ -111,14 +144,10 @@ def split_sections(
     docs: DataFrame, max_section_chars: int = 80, doc: str = "doc_id", text: str = "markdown"
 ) -> DataFrame:
     """(doc, section_seq, section, body), one row per titled heading with text below it."""
-    lines = with_heading_path(docs, max_section_chars, doc, text)
-    body_line = F.when(F.col("path").isNull() & F.col("line").isNotNull(), F.struct("pos", "line"))
-    joined = F.array_join(F.sort_array(F.collect_list(body_line))["line"], "\n")
-    return (
-        lines.groupBy(doc, "section_seq")
-        .agg(F.coalesce(F.max("path"), F.lit("")).alias("section"), strip(joined).alias("body"))
-        .filter(F.col("body") != "")
-    )
+    found = with_sections(docs.select(doc, text), max_section_chars, text)
+    # An inner explode would be given a filter that computes all of this once more.
+    rows = found.select(doc, F.inline_outer("sections"))
+    return rows.filter("section_seq IS NOT NULL")
 
 
 def section_prefix(section: Column, chunk_size, prepend=True) -> Column:
@@ -146,43 +175,44 @@ def chunk_id(index: Column, text: Column) -> Column:
     return F.format_string("c%04d-%s", index, F.substring(F.sha1(text), 1, 8))
 
 
-def chunk_sections(
-    sections: DataFrame,
-    chunk_size=600,
-    overlap=100,
-    min_chars=80,
-    prepend_section=True,
-    doc: str = "doc_id",
-    keys: tuple[str, ...] = (),
-) -> DataFrame:
-    """Sections to chunks. Parameters may be columns; ``keys`` name the columns that, with
-    the document, tell one chunking of it from another.
+def _limits(size, overlap, min_chars, prepend_section) -> Column:
+    """What one setting allows each of a document's ``sections``."""
 
-    The sections of a document (no more text than the document itself had in one cell)
-    meet in one row, under the distribution they already have; the position in its list
-    of chunks is then the dense chunk index, with no further shuffle or window.
-    """
-    group = [doc, *keys]
-    part = F.struct("section_seq", "section", "prefix", "body", "size", "overlap")
-    parts = (
-        sections.withColumn(
-            "prefix", section_prefix(F.col("section"), chunk_size, prepend_section)
+    def limit(section: Column) -> Column:
+        prefix = section_prefix(section["section"], size, prepend_section)
+        budget = body_budget(size, prefix)
+        return F.struct(
+            prefix.alias("prefix"),
+            budget.cast("int").alias("size"),
+            overlap_budget(overlap, budget).cast("int").alias("overlap"),
         )
-        .withColumn("size", body_budget(chunk_size, F.col("prefix")))
-        .withColumn("overlap", overlap_budget(overlap, F.col("size")))
-        .withColumn("_least", as_column(min_chars))
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list(part)).alias("_parts"), F.max("_least").alias("_least"))
+
+    return F.struct(
+        as_column(min_chars).cast("int").alias("least"), F.transform("sections", limit).alias("limits")
     )
-    chunks = parts.select(
-        *group, split_chunks(F.col("_parts"), F.col("_least")).alias("_chunks")
+
+
+def _chunks(docs: DataFrame, doc: str, settings: list[tuple], keys: list[str] | None) -> DataFrame:
+    """Chunks of documents with ``sections`` under every one of ``settings``, in one trip to Python
+    that carries the texts once; the place in a document's list is the dense chunk index.
+    """
+    cut = docs.withColumn("_limits", F.array(*[_limits(*s) for s in settings])).select(
+        doc, chunk_sections(F.col("sections"), F.col("_limits")).alias("_lists")
+    )
+    names = [] if keys is None else ["config_key"]
+    key = F.get(F.array(*map(F.lit, keys or [""])), F.col("_setting"))
+    lists = cut.select(doc, F.posexplode_outer("_lists").alias("_setting", "_chunks"))
+    chunks = lists.select(
+        doc,
+        *([key.alias("config_key")] if names else []),
+        F.posexplode_outer("_chunks").alias("chunk_index", "_chunk"),
     )
     return (
-        chunks.select(*group, F.posexplode_outer("_chunks").alias("chunk_index", "_chunk"))
-        .filter(F.col("_chunk").isNotNull())
-        .select(*group, "chunk_index", "_chunk.section", "_chunk.text")
+        chunks.filter(F.col("_chunk").isNotNull())
+        .select(doc, *names, "chunk_index", "_chunk.section", "_chunk.text")
         .select(
-            *group,
+            doc,
+            *names,
             "chunk_index",
             chunk_id(F.col("chunk_index"), F.col("text")).alias("chunk_id"),
             "section",
@@ -199,15 +229,9 @@ def chunk_markdown(
     text: str = "markdown",
 ) -> DataFrame:
     """(doc, markdown) to (doc, chunk_index, chunk_id, section, text, size)."""
-    sections = split_sections(docs, options.max_section_chars, doc, text)
-    return chunk_sections(
-        sections,
-        options.chunk_size,
-        options.overlap,
-        options.min_chars,
-        options.prepend_section,
-        doc,
-    )
+    sections = with_sections(docs.select(doc, text), options.max_section_chars, text)
+    setting = (options.chunk_size, options.overlap, options.min_chars, options.prepend_section)
+    return _chunks(sections, doc, [setting], None)
 
 
 def chunk_sweep(
@@ -218,32 +242,13 @@ def chunk_sweep(
 ) -> DataFrame:
     """The same documents under several settings, keyed by ``config_key``.
 
-    Sections do not depend on the chunk size, so they are built once and only then
-    multiplied by the settings.
+    Sections do not depend on the chunk size, so they are built once; their texts are not multiplied.
     """
     limits = {s.max_section_chars for s in configs}
     if len(limits) != 1:
         raise ValueError("one sweep shares one max_section_chars")
-    variants = F.array(
-        *[
-            F.struct(
-                F.lit(s.config_key).alias("config_key"),
-                F.lit(s.chunk_size).alias("chunk_size"),
-                F.lit(s.chunk_overlap).alias("overlap"),
-                F.lit(s.min_chunk_chars).alias("min_chars"),
-                F.lit(s.prepend_section).alias("prepend_section"),
-            )
-            for s in configs
-        ]
-    )
-    sections = split_sections(docs, limits.pop(), doc, text)
-    varied = sections.select("*", F.inline(variants))
-    return chunk_sections(
-        varied,
-        F.col("chunk_size"),
-        F.col("overlap"),
-        F.col("min_chars"),
-        F.col("prepend_section"),
-        doc,
-        keys=("config_key",),
-    )
+    sections = with_sections(docs.select(doc, text), limits.pop(), text)
+    settings = [
+        (s.chunk_size, s.chunk_overlap, s.min_chunk_chars, s.prepend_section) for s in configs
+    ]
+    return _chunks(sections, doc, settings, [s.config_key for s in configs])

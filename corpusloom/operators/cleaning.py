@@ -1,33 +1,33 @@
 """Cleaning markdown: inline rewrites on whole documents, then rules per line.
 
 Inline rewrites may join lines (their patterns run across line ends), so they come
-first, as plain column expressions in the scan stage. The line rules need neighbours
-and headings above; they are windows over (doc, pos) that all share one partitioning
-and one sort order. A dropped line becomes null rather than being filtered, so a
-document whose lines are all dropped is still there at the end.
+first. The line rules need neighbours and headings above; the lines of a document are an
+array in its row, and what runs along them is a scan of that array. So nothing is
+shuffled or sorted, and rows that share an id are documents of their own. A dropped line becomes null, so
+that places are kept until the lines are joined.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.partitioning import spread
+from corpusloom.functions.arrays import after_first, scan
 from corpusloom.functions.text import (
     LETTER,
     WORD_CHAR,
     WS,
     WS_SET,
     count_of,
-    explode_lines,
     has_letter,
     heading_level,
     heading_title,
     rstrip,
     strip,
     strip_chars,
+    with_lines,
 )
 
 # Sections dropped by title, line openings that mark page chrome, and the
@@ -159,39 +159,41 @@ def clean_inline(
 # --- line rules ---------------------------------------------------------------------
 
 
-def _reading_order(doc: str) -> "Window":
-    return Window.partitionBy(doc).orderBy("pos")
-
-
-def drop_sections(
-    lines: DataFrame, titles: tuple[str, ...] = DROPPED_SECTIONS, doc: str = "doc_id"
-) -> DataFrame:
+def drop_sections(docs: DataFrame, titles: tuple[str, ...] = DROPPED_SECTIONS) -> DataFrame:
     """Null out every line that has a heading with one of ``titles`` above it.
 
     A heading is above a line while no heading of its own or a lower level follows it;
-    here headings without a title end a section too. Per level the last heading at or
-    above that level is looked up, and it counts if it is of exactly that level.
+    here headings without a title end a section too. Along the lines it is enough to know the level of
+    the outermost heading that drops what is below it.
     """
-    so_far = _reading_order(doc).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    title = strip_chars(F.lower(heading_title(F.col("line"))), ": ")
-    marked = lines.withColumn("_lvl", heading_level(F.col("line"))).withColumn(
-        "_drop", F.when((F.col("_lvl") > 0) & title.isin(*titles), 1).otherwise(0)
+
+    def code(line: Column) -> Column:
+        """Twice the level, and one more for a heading that drops its section."""
+        level = heading_level(line)
+        title = strip_chars(F.lower(heading_title(line)), ": ")
+        return F.when(level > 0, level * 2 + title.isin(*titles).cast("int")).otherwise(F.lit(0))
+
+    def step(dropping: Column, code: Column) -> Column:
+        level = F.shiftright(code, 1)
+        below = (code == 0) | ((dropping > 0) & (level > dropping))
+        return F.when(below, dropping).when(code % 2 == 1, level).otherwise(F.lit(0))
+
+    some = F.exists("_codes", lambda c: c % 2 == 1)
+    return (
+        docs.withColumn("_codes", F.transform("lines", code))
+        .withColumn("_dropping", F.when(some, scan(F.col("_codes"), F.lit(0), step)))
+        .withColumn(
+            "lines",
+            F.when(
+                F.col("_dropping").isNotNull(),
+                F.transform(
+                    F.arrays_zip(F.col("lines").alias("line"), F.col("_dropping").alias("in")),
+                    lambda x: F.when(x["in"] == 0, x["line"]),
+                ),
+            ).otherwise(F.col("lines")),
+        )
+        .drop("_codes", "_dropping")
     )
-    # Level and verdict in one number, so the window state is six integers.
-    code = F.col("_lvl") * 2 + F.col("_drop")
-    lasts = {
-        f"_last{level}": F.last(
-            F.when((F.col("_lvl") > 0) & (F.col("_lvl") <= level), code), ignorenulls=True
-        ).over(so_far)
-        for level in range(1, 7)
-    }
-    dropped = F.lit(False)
-    for level in range(1, 7):
-        dropped = dropped | F.coalesce(F.col(f"_last{level}") == level * 2 + 1, F.lit(False))
-    return marked.withColumns(lasts).select(
-        *[F.when(~dropped, F.col("line")).alias("line") if c == "line" else c
-          for c in lines.columns]
-    )
 
 
 def infer_title(line: Column) -> Column:
@@ -208,23 +210,33 @@ def infer_title(line: Column) -> Column:
     return F.when((F.size(words) > 0) & (heading_level(line) == 0) & named, title).otherwise("")
 
 
-def name_empty_headings(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+def name_empty_headings(docs: DataFrame) -> DataFrame:
     """Name headings without a letter after the line below; drop those it cannot name."""
-    # The next line that says anything, as it was before any heading got its name.
-    following = F.expr(
-        f"lead(_text, 1) IGNORE NULLS OVER (PARTITION BY `{doc}` ORDER BY pos)"
-    )
-    level = heading_level(F.col("line"))
-    nameless = (level > 0) & ~has_letter(heading_title(F.col("line")))
-    title = F.coalesce(infer_title(F.col("_next")), F.lit(""))
-    named = F.when(
-        title != "", F.concat(F.substring(F.lit("######"), F.lit(1), level), F.lit(" "), title)
-    )
-    line = F.when(nameless, named).otherwise(F.col("line"))
+
+    def nameless(line: Column) -> Column:
+        return (heading_level(line) > 0) & ~has_letter(heading_title(line))
+
+    def named(x: Column) -> Column:
+        line, title = x["line"], F.coalesce(x["title"], F.lit(""))
+        marks = F.substring(F.lit("######"), F.lit(1), heading_level(line))
+        name = F.when(title != "", F.concat(marks, F.lit(" "), title))
+        return F.when(nameless(line), name).otherwise(line)
+
+    # From the last line to the first: the nearest line that says anything, as it was before any
+    # heading got its name.
+    text = F.transform(F.reverse("lines"), lambda x: F.when(strip(x) != "", x))
+    nearest = scan(F.col("_texts"), F.lit(None).cast("string"), lambda s, x: F.coalesce(x, s))
+    some = F.coalesce(F.exists("lines", nameless), F.lit(False))
+    below = F.transform(after_first(F.col("_nearest")), infer_title)
+    pairs = F.arrays_zip(F.col("lines").alias("line"), below.alias("title"))
     return (
-        lines.withColumn("_text", F.when(strip(F.col("line")) != "", F.col("line")))
-        .withColumn("_next", following)
-        .select(*[line.alias("line") if c == "line" else c for c in lines.columns])
+        docs.withColumn("_texts", F.when(some, text))
+        .withColumn("_nearest", F.when(F.col("_texts").isNotNull(), F.reverse(nearest)))
+        .withColumn(
+            "lines",
+            F.when(F.col("_nearest").isNotNull(), F.transform(pairs, named)).otherwise(F.col("lines")),
+        )
+        .drop("_texts", "_nearest")
     )
 
 
@@ -238,35 +250,39 @@ def is_boilerplate(stripped: Column) -> Column:
     )
 
 
-def tidy_lines(lines: DataFrame, drop_boilerplate: bool = True) -> DataFrame:
+def tidy_lines(docs: DataFrame, drop_boilerplate: bool = True) -> DataFrame:
     """Tidy the blanks of each line: "" for a paragraph break, null for a line that goes.
 
     Marks without text go, but not the rule of a table; so do headings without a letter.
     """
-    tidied, stripped = F.col("_tidied"), F.col("_stripped")
-    only_marks = strip_chars(stripped, "#-*| ") == ""
-    nameless = (heading_level(stripped) > 0) & ~has_letter(heading_title(stripped))
-    rule = (
-        F.when(stripped == "", F.lit(""))
-        .when(only_marks, F.when(F.startswith(stripped, F.lit("|-")), tidied))
-        .when(nameless, F.lit(None))
-    )
-    if drop_boilerplate:
-        rule = rule.when(is_boilerplate(stripped), F.lit(None))
+
+    def tidy(x: Column) -> Column:
+        tidied, stripped = x["tidied"], x["stripped"]
+        only_marks = strip_chars(stripped, "#-*| ") == ""
+        nameless = (heading_level(stripped) > 0) & ~has_letter(heading_title(stripped))
+        rule = (
+            F.when(stripped == "", F.lit(""))
+            .when(only_marks, F.when(F.startswith(stripped, F.lit("|-")), tidied))
+            .when(nameless, F.lit(None))
+        )
+        if drop_boilerplate:
+            rule = rule.when(is_boilerplate(stripped), F.lit(None))
+        return rule.otherwise(tidied)
+
+    blanks = lambda x: rstrip(F.regexp_replace(x, r"[ \t]{2,}", " "))
+    stripped = F.transform("_tidied", strip)
+    both = F.arrays_zip(F.col("_tidied").alias("tidied"), stripped.alias("stripped"))
     return (
-        lines.withColumn("_tidied", rstrip(F.regexp_replace("line", r"[ \t]{2,}", " ")))
-        .withColumn("_stripped", strip(tidied))
-        .withColumn("line", rule.otherwise(tidied))
-        .drop("_tidied", "_stripped")
+        docs.withColumn("_tidied", F.transform("lines", blanks))
+        .withColumn("lines", F.transform(both, tidy))
+        .drop("_tidied")
     )
 
 
-def join_lines(lines: DataFrame, doc: str = "doc_id", text: str = "markdown") -> DataFrame:
+def join_lines(docs: DataFrame, text: str = "markdown") -> DataFrame:
     """Lines back to one text per document, at most one blank line in a row."""
-    kept = F.collect_list(F.when(F.col("line").isNotNull(), F.struct("pos", "line")))
-    joined = F.array_join(F.sort_array(kept)["line"], "\n")
-    body = strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
-    return lines.groupBy(doc).agg(F.concat(body, F.lit("\n")).alias(text))
+    joined = F.regexp_replace(F.array_join("lines", "\n"), r"\n{3,}", "\n\n")
+    return docs.withColumn(text, F.concat(strip(joined), F.lit("\n"))).drop("lines")
 
 
 def clean_markdown(
@@ -275,19 +291,13 @@ def clean_markdown(
     doc: str = "doc_id",
     text: str = "markdown",
 ) -> DataFrame:
-    """(doc, markdown) to (doc, markdown), cleaned.
-
-    The documents are hashed by id once, before any work is done on them, so the work is
-    spread evenly even where the input files are not. The line windows and the final
-    grouping, and later the sectioning, all keep to that distribution.
-    """
-    inline = clean_inline(spread(docs.select(doc, text), doc), options, text)
-    lines = explode_lines(inline, text, doc)
+    """(doc, markdown) to (doc, markdown), cleaned within its row."""
+    docs = with_lines(clean_inline(docs.select(doc, text), options, text), text)
     if options.drop_sections:
-        lines = drop_sections(lines, tuple(t.lower() for t in options.drop_sections), doc)
+        docs = drop_sections(docs, tuple(t.lower() for t in options.drop_sections))
     if options.name_empty_headings:
-        lines = name_empty_headings(lines, doc)
-    return join_lines(tidy_lines(lines, options.drop_boilerplate), doc, text)
+        docs = name_empty_headings(docs)
+    return join_lines(tidy_lines(docs, options.drop_boilerplate), text)
 
 
 def cleaning_report(docs: DataFrame, stage: str, text: str = "markdown") -> DataFrame:

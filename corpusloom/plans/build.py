@@ -34,7 +34,7 @@ def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFram
 def chunk_corpus(
     docs: DataFrame, settings: Settings = Settings(), clean: CleanOptions = CleanOptions()
 ) -> DataFrame:
-    """(doc_id, markdown) to chunks; one shuffle, of the cleaned documents."""
+    """(doc_id, markdown) to chunks; nothing is shuffled."""
     return chunk_markdown(clean_markdown(docs, clean), ChunkOptions.of(settings))
 
 

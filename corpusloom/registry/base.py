@@ -39,6 +39,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out to as many tasks as there are cores.
+
+    The given tables hold one row group each, which one task reads; tables of many row groups are read by many
+    tasks as they are, and no operator of the library does this.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 _BUILT: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 

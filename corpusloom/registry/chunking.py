@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import splitting
-from corpusloom.functions.partitioning import spread
 from corpusloom.operators import chunking as k
 from corpusloom.operators.cleaning import clean_markdown
 from corpusloom.plans.build import chunk_corpus as build_chunks
@@ -27,7 +26,7 @@ RAW_SECTIONS = [sql.MD_CORPUS, *sql.sections("md_corpus")]
     ),
 )
 def heading_stack(spark, folder):
-    return k.heading_stack(spread(md_corpus(spark, folder), "doc_id"))
+    return k.heading_stack(md_corpus(spark, folder))
 
 
 @query(
@@ -35,7 +34,7 @@ def heading_stack(spark, folder):
     sql.with_(*RAW_SECTIONS, last="SELECT doc_id, section_seq, section, body FROM sectioned"),
 )
 def split_sections(spark, folder):
-    return k.split_sections(spread(md_corpus(spark, folder), "doc_id"))
+    return k.split_sections(md_corpus(spark, folder))
 
 
 @query(
@@ -47,8 +46,7 @@ def split_sections(spark, folder):
     ),
 )
 def breadcrumb(spark, folder):
-    lines = k.with_heading_path(spread(md_corpus(spark, folder), "doc_id"), 40)
-    return lines.filter("path IS NOT NULL").select("doc_id", "pos", "path")
+    return k.heading_paths(md_corpus(spark, folder), 40)
 
 
 PREFIXED = [*RAW_SECTIONS, *sql.prefixed("sectioned", 120, 100)]
@@ -59,7 +57,7 @@ PREFIXED = [*RAW_SECTIONS, *sql.prefixed("sectioned", 120, 100)]
     sql.with_(*PREFIXED, last="SELECT doc_id, section_seq, prefix FROM prefixed"),
 )
 def section_prefix(spark, folder):
-    sections = k.split_sections(spread(md_corpus(spark, folder), "doc_id"))
+    sections = k.split_sections(md_corpus(spark, folder))
     return sections.select(
         "doc_id", "section_seq", k.section_prefix(F.col("section"), 120).alias("prefix")
     )
@@ -74,7 +72,7 @@ def section_prefix(spark, folder):
     ),
 )
 def body_budget(spark, folder):
-    sections = k.split_sections(spread(md_corpus(spark, folder), "doc_id"))
+    sections = k.split_sections(md_corpus(spark, folder))
     prefix = k.section_prefix(F.col("section"), 120)
     return sections.withColumn("size", k.body_budget(120, prefix)).select(
         "doc_id", "section_seq", "size", k.overlap_budget(100, F.col("size")).alias("overlap")
@@ -99,7 +97,7 @@ def _doc_bodies(size: int, overlap: int) -> tuple[str, str]:
 )
 def split_body(spark, folder):
     pieces = splitting.split_body(F.col("markdown"), F.lit(200), F.lit(50))
-    return spread(documents(spark, folder), "doc_id").select(
+    return documents(spark, folder).select(
         "doc_id", F.posexplode_outer(pieces).alias("nth", "piece")
     ).filter("piece IS NOT NULL")
 
@@ -117,7 +115,7 @@ def merge_small(spark, folder):
     pieces = splitting.split_body(F.col("markdown"), F.lit(200), F.lit(50))
     folded = splitting.merge_small(F.col("pieces"), F.lit(200), F.lit(120))
     return (
-        spread(documents(spark, folder), "doc_id")
+        documents(spark, folder)
         .select("doc_id", pieces.alias("pieces"))
         .select("doc_id", F.posexplode_outer(folded).alias("nth", "piece"))
         .filter("piece IS NOT NULL")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
-from corpusloom.functions.partitioning import spread
 from corpusloom.operators import cleaning as c
 from corpusloom.registry import sql
 from corpusloom.registry.base import query
@@ -39,7 +38,11 @@ LINES = [sql.MD_CORPUS, ("raw_lines", sql.lines("md_corpus"))]
 
 
 def _lines(spark, folder):
-    return t.explode_lines(spread(md_corpus(spark, folder), "doc_id"), "markdown")
+    return t.with_lines(md_corpus(spark, folder))
+
+
+def _kept(docs):
+    return t.explode_lines(docs).filter("line IS NOT NULL")
 
 
 @query(
@@ -47,7 +50,7 @@ def _lines(spark, folder):
     sql.with_(*LINES, *sql.drop_sections("raw_lines"), last="SELECT doc_id, pos, line FROM kept"),
 )
 def drop_sections(spark, folder):
-    return c.drop_sections(_lines(spark, folder)).filter("line IS NOT NULL")
+    return _kept(c.drop_sections(_lines(spark, folder)))
 
 
 @query(
@@ -55,7 +58,7 @@ def drop_sections(spark, folder):
     sql.with_(*LINES, *sql.named_headings("raw_lines"), last="SELECT doc_id, pos, line FROM named"),
 )
 def name_empty_headings(spark, folder):
-    return c.name_empty_headings(_lines(spark, folder)).filter("line IS NOT NULL")
+    return _kept(c.name_empty_headings(_lines(spark, folder)))
 
 
 @query(
@@ -76,7 +79,7 @@ def name_empty_headings(spark, folder):
     ),
 )
 def infer_title(spark, folder):
-    return _lines(spark, folder).select("doc_id", "pos", c.infer_title(F.col("line")).alias("title"))
+    return t.explode_lines(_lines(spark, folder)).select("doc_id", "pos", c.infer_title(F.col("line")).alias("title"))
 
 
 @query(
@@ -84,7 +87,7 @@ def infer_title(spark, folder):
     sql.with_(*LINES, *sql.tidy_lines("raw_lines"), last="SELECT doc_id, pos, line FROM tidy"),
 )
 def tidy_lines(spark, folder):
-    return c.tidy_lines(_lines(spark, folder)).filter("line IS NOT NULL")
+    return _kept(c.tidy_lines(_lines(spark, folder)))
 
 
 @query(
@@ -98,7 +101,7 @@ def tidy_lines(spark, folder):
 )
 def drop_boilerplate(spark, folder):
     """The lines that the boilerplate rule drops."""
-    return _lines(spark, folder).filter(c.is_boilerplate(t.strip(F.col("line"))))
+    return t.explode_lines(_lines(spark, folder)).filter(c.is_boilerplate(t.strip(F.col("line"))))
 
 
 @query("join_lines", sql.with_(*LINES, last=sql.joined("raw_lines")))
@@ -114,7 +117,7 @@ def join_lines(spark, folder):
     ),
 )
 def heading_of(spark, folder):
-    return _lines(spark, folder).select(
+    return t.explode_lines(_lines(spark, folder)).select(
         "doc_id",
         "pos",
         t.heading_level(F.col("line")).alias("lvl"),

@@ -11,7 +11,7 @@ from corpusloom.operators.chunking import ChunkOptions, chunk_markdown
 from corpusloom.operators.cleaning import clean_markdown
 from corpusloom.operators.indexing import index_rows
 from corpusloom.plans.build import build_rows, chunk_corpus, embed_queries
-from corpusloom.registry.base import built, table
+from corpusloom.registry.base import built, dealt, table
 from corpusloom.registry.sql import MARKDOWN
 
 MD_OPTIONS = ChunkOptions(chunk_size=300, overlap=50, min_chars=60)
@@ -19,13 +19,14 @@ MD_OPTIONS = ChunkOptions(chunk_size=300, overlap=50, min_chars=60)
 
 def md_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, markdown), one document per conversation turn."""
-    turns = table(spark, folder, "conversations")
+    turns = dealt(table(spark, folder, "conversations"))
     return turns.selectExpr("conv_id * 1000000 + turn AS doc_id", f"{MARKDOWN} AS markdown")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, markdown) of the plain documents."""
-    return table(spark, folder, "documents").select("doc_id", F.col("text").alias("markdown"))
+    docs = dealt(table(spark, folder, "documents"))
+    return docs.select("doc_id", F.col("text").alias("markdown"))
 
 
 @built("md_chunks")

@@ -12,7 +12,7 @@ from corpusloom.operators import indexing as ix
 from corpusloom.operators.reviews import latest_reviews, review_json
 from corpusloom.plans.build import build
 from corpusloom.registry import sql
-from corpusloom.registry.base import query, table
+from corpusloom.registry.base import dealt, query, table
 from corpusloom.registry.fixtures import (
     REVIEWS,
     md_chunks,
@@ -27,7 +27,7 @@ from corpusloom.sources import tables as s
 
 
 def _pages(spark, folder):
-    return p.scan_table(spark, f"{folder}/pages.parquet")
+    return dealt(p.scan_table(spark, f"{folder}/pages.parquet"))
 
 
 @query(

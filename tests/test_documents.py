@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import explode_lines, heading_level, heading_title, split_lines, strip
+from corpusloom.functions.arrays import scan
+from corpusloom.functions.text import (
+    explode_lines,
+    heading_level,
+    heading_title,
+    split_lines,
+    strip,
+    with_lines,
+)
 from corpusloom.operators.chunking import (
     ChunkOptions,
     body_budget,
@@ -127,7 +136,7 @@ def test_lines_and_blanks_follow_python(spark, text):
 
 
 def test_lines_of_an_empty_document_keep_the_document(spark):
-    assert explode_lines(docs(spark, "", "x"), "markdown").count() == 2
+    assert explode_lines(with_lines(docs(spark, "", None, "x"))).count() == 3
 
 
 def test_chunks_fit_and_carry_their_headings(spark):
@@ -177,10 +186,30 @@ def test_one_giant_document_among_small_ones(spark):
     assert chunks.filter("doc_id > 0").count() == 50
 
 
-def test_one_shuffle_from_documents_to_chunks(spark, tmp_path):
+def test_nothing_is_shuffled_from_documents_to_chunks(spark, tmp_path):
     docs(spark, GARDEN).write.parquet(f"{tmp_path}/docs")
-    plan = chunk_corpus(spark.read.parquet(f"{tmp_path}/docs"))._jdf.queryExecution()
-    assert plan.executedPlan().toString().count("Exchange hashpartitioning") == 1
+    given = spark.read.parquet(f"{tmp_path}/docs")
+    sweep = chunk_sweep(clean_markdown(given), [Settings(chunk_size=200), Settings()])
+    for made in (chunk_corpus(given), sweep):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    given = spark.createDataFrame([(1, GARDEN), (1, NAMELESS), (1, None)], "doc_id long, markdown string")
+    apart = clean_markdown(docs(spark, GARDEN, NAMELESS, None))
+    together = clean_markdown(given)
+    assert sorted(r.markdown for r in together.collect()) == sorted(r.markdown for r in apart.collect())
+    texts = lambda df: sorted((r.chunk_id, r.text) for r in chunk_markdown(df).collect())
+    assert texts(together) == texts(apart)
+
+
+def test_states_run_across_runs(spark):
+    rows = spark.range(5).selectExpr("id", "sequence(1L, id * 256 + id % 2) AS v").withColumn(
+        "v", F.when(F.col("id") == 0, F.array().cast("array<bigint>")).otherwise(F.col("v"))
+    )
+    sums = rows.select("v", scan(F.col("v"), F.lit(0).cast("long"), lambda s, x: s + x).alias("s"))
+    for r in sums.collect():
+        assert r.s == list(accumulate(r.v))
 
 
 def test_sweep_equals_separate_runs(spark):
