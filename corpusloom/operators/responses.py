@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,11 +99,37 @@ def outcome_counts(log: DataFrame) -> DataFrame:
     )
 
 
+def _halves(items: Column) -> Column:
+    middle = F.floor(F.size(items) / 2).cast("int")
+    return F.array(F.slice(items, F.lit(1), middle), F.slice(items, middle + 1, F.size(items)))
+
+
 def halve_batches(batches: DataFrame, key: str = "request_id", items: str = "items") -> DataFrame:
     """Each rejected batch as its two halves, in order; single items stay whole."""
-    middle = F.floor(F.size(items) / 2).cast("int")
-    halves = F.when(
-        F.size(items) > 1,
-        F.array(F.slice(items, F.lit(1), middle), F.slice(items, middle + 1, F.size(items))),
-    ).otherwise(F.array(F.col(items)))
+    halves = F.when(F.size(items) > 1, _halves(F.col(items))).otherwise(F.array(F.col(items)))
     return batches.select(key, F.posexplode(halves).alias("half", items))
+
+
+def split_until_accepted(
+    batches: DataFrame,
+    accepted: Callable[[Column], Column],
+    key: str = "request_id",
+    items: str = "items",
+) -> DataFrame:
+    """(key, part, items): batches halved until the service takes every part, or it is a single item.
+
+    ``accepted`` tells for an array of items whether it would be taken. Parts keep the order of the items.
+    A batch of n items is settled after at most log2(n) + 1 rounds, which all happen in its row; an empty batch
+    is one part, a null one has none.
+    """
+
+    def settle(parts: Column, _: Column) -> Column:
+        whole = lambda part: accepted(part) | (F.size(part) <= 1)
+        return F.flatten(
+            F.transform(parts, lambda p: F.when(whole(p), F.array(p)).otherwise(_halves(p)))
+        )
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(items), F.lit(1)))).cast("int"))
+    parts = F.when(F.col(items).isNotNull(), F.aggregate(rounds, F.array(F.col(items)), settle))
+    found = batches.select(key, F.posexplode_outer(parts).alias("part", items))
+    return found.filter(F.col("part").isNotNull())

@@ -52,7 +52,7 @@ def build_rows(
     questions: DataFrame | None = None,
     embed: VectorModel | None = None,
 ) -> DataFrame:
-    """Index rows with vectors, under the key of their settings."""
+    """Index rows with vectors, under the key of their settings and of what makes the vectors."""
     rows = index_rows(chunks, questions if settings.questions else None)
     if embed is None:
         rows = rows.withColumn("vector", hash_vector(F.col("document")))
@@ -60,7 +60,7 @@ def build_rows(
         rows = embed_with_model(
             rows, embed, "document", settings.document_prefix, settings.embed_batch_size
         )
-    return rows.withColumn("config_key", F.lit(settings.config_key))
+    return rows.withColumn("config_key", F.lit(settings.embedded_by(embed).config_key))
 
 
 def embed_queries(
@@ -88,7 +88,7 @@ def build(
 
     A configuration that has rows is left alone, unless ``force`` puts new rows in their place.
     """
-    key = settings.config_key
+    key = settings.embedded_by(embed).config_key
     existing = index_count(spark, path, key)
     chunks = questions = 0
     skipped = existing > 0 and not force
@@ -139,7 +139,7 @@ def search_index(
 
     Unless ``exact``, rows are cut before they are collapsed to chunks, and hits may be missing.
     """
-    index = read_index(spark, path, settings.config_key)
+    index = read_index(spark, path, settings.embedded_by(embed).config_key)
     if index is None:
         raise ValueError(f"no index at {path}")
     asked = stage(embed_queries(queries, settings, embed))

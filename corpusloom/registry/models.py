@@ -285,6 +285,30 @@ def split_oversized_batch(spark, folder):
     return r.halve_batches(batches).withColumn("items", F.array_join("items", " "))
 
 
+@query(
+    "split_rejected_batches",
+    """WITH RECURSIVE parts AS (
+        SELECT conv_id * 1000000 + turn AS request_id, '' AS path, string_split(text, ' ') AS ws FROM conversations
+        UNION ALL
+        SELECT request_id, path || half,
+          CASE WHEN half = 0 THEN ws[:len(ws) // 2] ELSE ws[len(ws) // 2 + 1:] END
+        FROM parts, (SELECT unnest([0, 1]) AS half)
+        WHERE len(ws) > 1 AND length(array_to_string(ws, ' ')) > 40
+      )
+      SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY path) - 1 AS INTEGER) AS part,
+        array_to_string(ws, ' ') AS items
+      FROM parts WHERE len(ws) <= 1 OR length(array_to_string(ws, ' ')) <= 40""",
+)
+def split_rejected_batches(spark, folder):
+    """Turns as batches of words, for a service that takes at most forty characters."""
+    batches = table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("request_id"),
+        F.split("text", " ").alias("items"),
+    )
+    parts = r.split_until_accepted(batches, lambda ws: F.length(F.array_join(ws, " ")) <= 40)
+    return parts.withColumn("items", F.array_join("items", " "))
+
+
 def count_model(texts: list[str]) -> list[list[float]]:
     """Stands in for an embedding model: characters, spaces, and a constant."""
     return [[float(len(text)), float(text.count(" ")), 1.0] for text in texts]

@@ -92,15 +92,20 @@ def upsert_table(
     Only buckets that receive rows are read and rewritten. The incoming rows are staged
     first, because they decide the buckets, win over old rows and are written. With
     ``replace_docs``, ``documents`` (config_key, doc_id) names all that arrived, so that those
-    without rows lose their old ones too. ``instead_of`` names a configuration that is emptied
-    once the new rows exist.
+    without rows lose their old ones too. ``instead_of`` names the rows' configuration if they take the place
+    of all it has: a bucket's old rows are there until its new ones are, and buckets that get none go last.
     """
     existing = read_index(spark, path)
     buckets = buckets_of(existing, buckets)
     incoming = stage(with_bucket(rows, buckets))
     if instead_of is not None:
-        reset_index(spark, path, instead_of)
-        existing = read_index(spark, path)
+        old = existing.filter(F.col("config_key") == instead_of) if existing is not None else incoming
+        before = {r[0] for r in old.select("bucket").distinct().collect()}
+        filled = {r[0] for r in incoming.select("bucket").distinct().collect()}
+        write_index(incoming, path)
+        for bucket in before - filled:
+            _drop_folder(spark, f"{path.rstrip('/')}/config_key={instead_of}/bucket={bucket}")
+        return incoming.count()
     if existing is None:
         merged = incoming
     else:

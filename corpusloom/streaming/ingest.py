@@ -12,9 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.plans.build import build_rows, chunk_corpus, extract_pages
+from corpusloom.plans.build import (
+    TextModel,
+    VectorModel,
+    build_rows,
+    chunk_corpus,
+    extract_pages,
+    generate_questions,
+)
 from corpusloom.settings import Settings
-from corpusloom.sources.tables import upsert_table
+from corpusloom.sources.tables import stage, upsert_table
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 
@@ -28,7 +35,8 @@ def read_pages(spark: SparkSession, folder: str, files_per_batch: int = 1_000) -
 def latest_pages(pages: DataFrame) -> DataFrame:
     """One version of each page: the last that arrived (ties: the larger hash).
 
-    Which one it is is settled on hashes; only then are the texts filtered.
+    Which one it is is settled on hashes; only then are the texts filtered. Versions that are equal
+    in all of that are one and the same text, of which any row stays.
     """
     version = F.struct(
         F.col("arrived") if "arrived" in pages.columns else F.lit(0).alias("arrived"),
@@ -41,7 +49,12 @@ def latest_pages(pages: DataFrame) -> DataFrame:
 
 
 def ingest(
-    pages: DataFrame, path: str, checkpoint: str, settings: Settings = Settings()
+    pages: DataFrame,
+    path: str,
+    checkpoint: str,
+    settings: Settings = Settings(),
+    ask: TextModel | None = None,
+    embed: VectorModel | None = None,
 ) -> StreamingQuery:
     """Index what has arrived and stop; run again, it goes on from its checkpoint.
 
@@ -51,7 +64,11 @@ def ingest(
     def merge(batch: DataFrame, _: int) -> None:
         batch = latest_pages(batch)
         chunks = chunk_corpus(extract_pages(batch, settings), settings)
-        rows = build_rows(chunks, settings)
+        asked = None
+        if ask is not None and settings.questions:
+            chunks = stage(chunks)
+            asked = generate_questions(chunks, ask, settings)
+        rows = build_rows(chunks, settings, asked, embed)
         upsert_table(
             batch.sparkSession,
             rows,
@@ -59,7 +76,7 @@ def ingest(
             replace_docs=True,
             buckets=settings.index_buckets,
             documents=batch.select(
-                F.lit(settings.config_key).alias("config_key"), F.col("page_id").alias("doc_id")
+                F.lit(settings.embedded_by(embed).config_key).alias("config_key"), F.col("page_id").alias("doc_id")
             ),
         )
 

@@ -21,7 +21,9 @@ from corpusloom.operators.responses import (
     halve_batches,
     parse_completion,
     parse_embedding_response,
+    split_until_accepted,
 )
+from corpusloom.plans.build import build_rows
 from corpusloom.settings import Settings
 
 
@@ -160,3 +162,28 @@ def test_another_number_of_answers_is_a_failed_batch(spark):
     found = {r.id: (r.raw, r.error) for r in complete(rows.coalesce(1), short).collect()}
     assert found[1] == ("A", None) and found[3] == ("B", None)
     assert found[2] == (None, "0 answers to 1 prompts")
+
+
+def test_batches_are_halved_until_they_are_accepted(spark):
+    words = [[f"w{i}" for i in range(n)] for n in (0, 1, 2, 7, 64)] + [["long" * 30, "a", "b"], None]
+    batches = spark.createDataFrame(list(enumerate(words)), "request_id long, items array<string>")
+
+    def slow(items):
+        if len(items) <= 1 or len("".join(items)) <= 12:
+            return [items]
+        return slow(items[: len(items) // 2]) + slow(items[len(items) // 2 :])
+
+    parts = split_until_accepted(batches, lambda a: F.length(F.array_join(a, "")) <= 12)
+    found = {}
+    for r in sorted(parts.collect(), key=lambda r: (r.request_id, r.part)):
+        found.setdefault(r.request_id, []).append(r["items"])
+    assert found == {i: slow(w) for i, w in enumerate(words) if w is not None}
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_follows_what_makes_the_vectors(spark):
+    rows = spark.createDataFrame([(1, 0, "c", "s", "text")], "doc_id long, chunk_index int, chunk_id string, section string, text string")
+    embed = lambda texts: [[1.0] for _ in texts]
+    for settings in (Settings(), Settings(has_key=True)):
+        assert "__hash_" in build_rows(rows, settings).head().config_key
+        assert "__llamanemotro_" in build_rows(rows, settings, embed=embed).head().config_key

@@ -27,6 +27,7 @@ from corpusloom.operators.reviews import (
 )
 from corpusloom.plans.build import build, build_rows, chunk_corpus, search_index
 from corpusloom.settings import Settings
+from corpusloom.sources import tables
 from corpusloom.sources.tables import (
     index_count,
     list_indexes,
@@ -76,6 +77,23 @@ def test_build_skips_forces_and_searches(spark, tmp_path):
     assert index_count(spark, path, with_questions.config_key) == 72
 
 
+def test_a_rebuild_keeps_old_rows_until_new_ones_are_there(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/index"
+    build(spark, docs(spark), path, SMALL)
+
+    def fail(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as stopped:
+        stopped.setattr(tables, "write_index", fail)
+        with pytest.raises(RuntimeError):
+            build(spark, docs(spark, 3), path, SMALL, force=True)
+    assert index_count(spark, path, SMALL.config_key) == 24
+    build(spark, docs(spark, 3), path, SMALL, force=True)
+    left = read_index(spark, path, SMALL.config_key)
+    assert left.count() == 6 and {r.doc_id for r in left.collect()} == {0, 1, 2}
+
+
 def test_upsert_touches_only_what_comes(spark, tmp_path):
     path = f"{tmp_path}/index"
     rows = lambda *a: build_rows(chunk_corpus(docs(spark, *a), SMALL), SMALL)
