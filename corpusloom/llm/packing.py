@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.kneser_ney import looked_up, mapped_folder, saved, shard_of
 from corpusloom.llm.shingles import mixed
 from corpusloom.llm.tables import stage
-from corpusloom.llm.tokens import term_hashes, word_tokenizer
+from corpusloom.llm.tokens import TermHashes, word_tokenizer
 
 WINDOW = 4096
 END = 2
@@ -88,7 +88,7 @@ def statistics(docs: DataFrame) -> Statistics:
     os.makedirs(folder)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = term_hashes()
+        hashes = TermHashes()
         waiting, size, long, n = [], 0, 0, 0
 
         def together() -> pd.DataFrame:
@@ -294,7 +294,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
 
     @F.pandas_udf("int")
     def number(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes = term_hashes()
+        hashes = TermHashes()
         for text, row in batches:
             terms = hashes.of(list(text))
             yield pd.Series(places(terms, row.to_numpy(np.int64), known, shards, most))

@@ -21,7 +21,8 @@ _SPACE = re.compile("[^\\S\x1c-\x1f]+")
 #: Latin letters whose lower case does not depend on their neighbours, then ASCII punctuation;
 #: an apostrophe may begin a token of its own with the letters after it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
-_REMEMBERED = 800_000
+#: Pieces a worker remembers, some 250 bytes each: workers live on after their stage.
+_REMEMBERED = 300_000
 
 
 class WordTokenizer:
@@ -135,7 +136,10 @@ def _pieces(texts: list[str]) -> list[list[str]]:
 
 
 class TermHashes:
-    """The hashes of texts' terms as ``WordTokenizer`` has them, without learning token ids."""
+    """The hashes of texts' terms as ``WordTokenizer`` has them, without learning token ids.
+
+    A task makes its own, which ends with it.
+    """
 
     def __init__(self):
         self._known: dict[str, int] = {}
@@ -152,11 +156,6 @@ class TermHashes:
         ]
 
 
-@lru_cache(maxsize=1)
-def term_hashes() -> TermHashes:
-    return TermHashes()
-
-
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
