@@ -280,9 +280,15 @@ def tidy_lines(docs: DataFrame, drop_boilerplate: bool = True) -> DataFrame:
 
 
 def join_lines(docs: DataFrame, text: str = "markdown") -> DataFrame:
-    """Lines back to one text per document, at most one blank line in a row."""
+    """Lines back to one text per document, at most one blank line in a row.
+
+    A filter on the text would be moved below all steps before it and repeat them, each within the
+    next; behind an outer explode it stays where it is.
+    """
     joined = F.regexp_replace(F.array_join("lines", "\n"), r"\n{3,}", "\n\n")
-    return docs.withColumn(text, F.concat(strip(joined), F.lit("\n"))).drop("lines")
+    whole = F.array(F.concat(strip(joined), F.lit("\n")))
+    rest = [c for c in docs.columns if c != "lines"]
+    return docs.select(*rest, F.explode_outer(whole).alias(text))
 
 
 def clean_markdown(

@@ -258,8 +258,10 @@ def with_page_lines(pages: DataFrame, keep_nav: bool = False, html: str = "html"
     numeric = F.when(F.contains(body, F.lit("&#")), decode_numeric(body)).otherwise(body)
     pages = pages.withColumn("_body", F.replace(numeric, F.lit("&amp;"), F.lit("&")))
     stripped = F.transform(split_lines(body), strip)
-    lines = pages.withColumn("lines", F.filter(stripped, lambda line: line != ""))
-    return lines.drop("_body", "_article")
+    # Behind an outer explode, filters on the result stay where they are and repeat no pass.
+    lines = F.array(F.filter(stripped, lambda line: line != ""))
+    rest = [c for c in pages.columns if c not in ("_body", "_article")]
+    return pages.select(*rest, F.explode_outer(lines).alias("lines"))
 
 
 def join_blocks(lines: Column) -> Column:

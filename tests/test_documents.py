@@ -194,6 +194,18 @@ def test_nothing_is_shuffled_from_documents_to_chunks(spark, tmp_path):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_filters_on_results_do_not_repeat_the_work(spark, tmp_path):
+    docs(spark, GARDEN).write.parquet(f"{tmp_path}/docs")
+    pages(spark, (1, "http://g.example/", PAGE)).write.parquet(f"{tmp_path}/pages")
+    for made in (
+        clean_markdown(spark.read.parquet(f"{tmp_path}/docs")),
+        page_markdown(spark.read.parquet(f"{tmp_path}/pages")),
+    ):
+        plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+        rewrites = plan(made).count("regexp_replace")
+        assert plan(made.filter("markdown <> 'x'")).count("regexp_replace") == rewrites
+
+
 def test_rows_that_share_an_id_stay_apart(spark):
     given = spark.createDataFrame([(1, GARDEN), (1, NAMELESS), (1, None)], "doc_id long, markdown string")
     apart = clean_markdown(docs(spark, GARDEN, NAMELESS, None))
