@@ -348,17 +348,17 @@ def prefix_nodes(turns: DataFrame, conversations: DataFrame, nodes: int = NODES)
     children = found.groupBy(F.col("pm").alias("m"), (F.col("d") - 1).alias("d")).agg(
         F.count("*").alias("n_children")
     )
+    zero = F.lit(0).cast("long")
+    top = {"cm": F.lit(first).cast("long"), "cd": zero}  # all nodes are one component at first
     tree = stage(
-        tree.join(children, NODE, "left").withColumn(
-            "n_children", F.coalesce("n_children", F.lit(0).cast("long"))
+        tree.join(children, NODE, "left").withColumns(
+            {"n_children": F.coalesce("n_children", zero), **top}
         )
     )
-    zero = F.lit(0).cast("long")
     state = tree.select(
         *NODE,
         F.coalesce("pm", zero).alias("pm"),
-        F.lit(first).cast("long").alias("cm"),
-        zero.alias("cd"),
+        *PART,
         "w",
         (F.col("n_children") == 0).cast("long").alias("leaf"),
         ((F.col("n_convs") - 1) * F.col("bytes")).alias("save"),
