@@ -183,8 +183,11 @@ def _search(spark, folder, **options):
 @query(
     "hit_projection",
     sql.with_(
-        *sql.MD_SEARCH,
-        last="SELECT query_id, rank, match_type, matched_text, section, chunk_index FROM hits",
+        *sql.MD_SEARCH[:-1],
+        once=("chunks", "index_rows", "row_weights", "query_weights", "sims", "ranked"),
+        last="""SELECT query_id, rank, type AS match_type,
+          CASE WHEN type = 'question' THEN document ELSE '' END AS matched_text, section, chunk_index
+          FROM ranked JOIN index_rows USING (doc_id, row_id)""",
     ),
 )
 def hit_projection(spark, folder):

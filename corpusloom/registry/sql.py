@@ -15,8 +15,12 @@ TAG = r"</?[a-zA-Z][^>]*>"
 CITATION = rf"\[{WS}*\p{{Nd}}+(?:{WS}*[,–-]{WS}*\p{{Nd}}+)*{WS}*\]"
 
 
-def with_(*ctes: tuple[str, str], last: str, recursive: bool = True) -> str:
-    body = ",\n".join(f"{name} AS ({text})" for name, text in ctes)
+def with_(
+    *ctes: tuple[str, str], last: str, recursive: bool = True, once: tuple[str, ...] = ()
+) -> str:
+    """One statement; the parts named in ``once`` are computed once, however often they are read."""
+    kind = lambda name: "MATERIALIZED " if name in once else ""
+    body = ",\n".join(f"{name} AS {kind(name)}({text})" for name, text in ctes)
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{last}"
 
 
