@@ -9,7 +9,7 @@ from corpusloom.operators import augmentation as a
 from corpusloom.operators import embedding as e
 from corpusloom.operators import responses as r
 from corpusloom.registry import sql
-from corpusloom.registry.base import query, table
+from corpusloom.registry.base import dealt, query, table
 from corpusloom.registry.fixtures import (
     documents,
     md_chunks,
@@ -111,7 +111,7 @@ HASHED = sql.with_(
 @query("hash_embed", HASHED)
 def hash_embed(spark, folder):
     """Non-zero entries of the hash vectors of whole documents."""
-    rows = scan_table(spark, f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = dealt(scan_table(spark, f"{folder}/documents.parquet")).select("doc_id", "text")
     rows = e.embed_hash(rows, "text")
     sparse = v.sparse_entries(rows, ["doc_id"])
     return sparse.withColumn("weight", F.round("weight", 9))
