@@ -9,6 +9,7 @@ core and a tail. A core is one word to the pre-tokenizer, so it goes to the merg
 from __future__ import annotations
 
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,41 @@ _SPACE = re.compile("[^\\S\x1c-\x1f]+")
 #: Latin letters whose lower case does not depend on their neighbours, then ASCII punctuation;
 #: an apostrophe may begin a token of its own with the letters after it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+_PUNCTUATION = string.punctuation.replace("'", "")
 #: Pieces a worker remembers, some 250 bytes each: workers live on after their stage.
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
+
+
+def _plain(piece: str) -> tuple[str, str] | None:
+    """Core and tail of a piece of letters and punctuation after them."""
+    core = piece.rstrip(_PUNCTUATION)
+    if core.isascii() and core.isalpha():  # most of them, without a match
+        return core.lower(), piece[len(core) :]
+    plain = _PLAIN.fullmatch(piece)
+    return (plain[1].lower(), plain[2]) if plain else None
+
+
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first asked for; ``new`` are those since
+    it was last emptied. One look-up a string, known or not.
+    """
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Hashes(dict):
+    """The hash of a piece's term, worked out when first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        plain = _plain(piece)
+        h = self[piece] = xxhash.xxh3_64_intdigest(plain[0] if plain else piece)
+        return h
 
 
 class WordTokenizer:
@@ -35,7 +69,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self._piece: dict[str, int] = {}
+        self._piece = _Numbers()
         self._cores = np.zeros(1 << 12, np.int64)
         self._tails = np.zeros(1 << 12, np.int64)
         self._part: dict[str, int] = {"": 0}
@@ -66,11 +100,10 @@ class WordTokenizer:
         self._part.update(zip(parts, range(n, n + len(parts)), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [_PLAIN.fullmatch(p) for p in pieces]
-        cores = [m[1].lower() if m else p for m, p in zip(plain, pieces, strict=True)]
-        tails = [m[2] if m else "" for m in plain]
+        """Look up the parts of the pieces that were numbered last."""
         known = self._part
-        words = {c for c, m in zip(cores, plain, strict=True) if m and c not in known}
+        plain = [_plain(p) for p in pieces]
+        words = {m[0]: None for m in plain if m and m[0] not in known}
         if words:
             tokenize, table = self._tokenizer.model.tokenize, self._letters
             found = [
@@ -78,15 +111,15 @@ class WordTokenizer:
                 for w in words
             ]
             self._add(list(words), found)
-        others = [p for p in dict.fromkeys([*cores, *tails]) if p not in known]
+        parts = [m or (p, "") for m, p in zip(plain, pieces, strict=True)]
+        others = [p for p in dict.fromkeys(p for both in parts for p in both) if p not in known]
         if others:
             self._add(others, [self._encode(p) for p in others])
-        n = len(self._piece)
-        self._cores = _room(self._cores, n + len(pieces))
-        self._tails = _room(self._tails, n + len(pieces))
-        self._cores[n : n + len(pieces)] = [known[c] for c in cores]
-        self._tails[n : n + len(pieces)] = [known[t] for t in tails]
-        self._piece.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        end = len(self._piece)
+        self._cores = _room(self._cores, end)
+        self._tails = _room(self._tails, end)
+        self._cores[end - len(pieces) : end] = [known[c] for c, _ in parts]
+        self._tails[end - len(pieces) : end] = [known[t] for _, t in parts]
 
     def room(self) -> None:
         """Forget all pieces if there are many; numbers given before are void then."""
@@ -95,12 +128,12 @@ class WordTokenizer:
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's pieces."""
-        split = _pieces(texts)
         number = self._piece
-        new = {w for words in split for w in words if w not in number}
-        if new:
-            self._learn(list(new))
-        return [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in split]
+        found = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in _pieces(texts)]
+        if number.new:
+            self._learn(number.new)
+            number.new = []
+        return found
 
     def terms(self, numbers: np.ndarray) -> np.ndarray:
         """What stands for the pieces' words, whatever their case and the punctuation after them."""
@@ -142,17 +175,15 @@ class TermHashes:
     """
 
     def __init__(self):
-        self._known: dict[str, int] = {}
+        self._known = _Hashes()
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         if len(self._known) > _REMEMBERED:
-            self._known = {}
-        split, known = _pieces(texts), self._known
-        for piece in {w for words in split for w in words if w not in known}:
-            plain = _PLAIN.fullmatch(piece)
-            known[piece] = xxhash.xxh3_64_intdigest(plain[1].lower() if plain else piece)
+            self._known = _Hashes()
+        known = self._known
         return [
-            np.fromiter(map(known.__getitem__, w), np.uint64, len(w)).view(np.int64) for w in split
+            np.fromiter(map(known.__getitem__, w), np.uint64, len(w)).view(np.int64)
+            for w in _pieces(texts)
         ]
 
 
