@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal blocks of words.
 
 Sources get targets (by weight, none above ``most`` times its size, the excess shared by weight
-again). The sum of targets, cut into blocks of equal length, is dealt to sources by the highest
+again). The sum of targets, cut into blocks of equal length, of which the smallest target holds some
+(so no source is too small for one), is dealt to sources by the highest
 quotients weight / (2 seats + 1); a source's blocks are dealt to its shards the same way. A shard's
 documents stand in an order given by the seed; as many passes over all its blocks as the quota
 holds are taken whole, and the rest is one cyclic run of blocks that starts at a seeded place. So
@@ -20,6 +21,8 @@ from corpusloom.llm.tables import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
+#: Blocks that the smallest target holds at least, down to blocks of one word.
+LEAST_BLOCKS = 16
 
 
 def n_words(text: Column) -> Column:
@@ -126,6 +129,8 @@ def mix(
     Repeated rows are documents of their own; rows that are equal in doc_id, source and size may
     change places. An empty table gives an empty result. Other columns are ignored. Hot sources are
     cut into shards of about ``shard_words`` words, and documents without words are never gathered.
+    Blocks have ``block`` words, or fewer if the smallest positive target would hold fewer than
+    ``LEAST_BLOCKS`` of them; all sources have blocks of the same length.
     """
     row = F.struct(*keep) if keep else F.lit(None).cast("string")
     sized = stage(
@@ -133,10 +138,14 @@ def mix(
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most).withColumn("one", F.lit(1))
-    seats = F.round(F.sum("target").over(W.partitionBy("one")) / block)
+    all_sources = W.partitionBy("one")
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(all_sources)
+    fine = F.floor(F.coalesce(smallest, F.lit(float(block))) / LEAST_BLOCKS)
     targets = stage(
         apportion(
-            targets.withColumn("blocks", seats),
+            targets.withColumn("block", F.greatest(F.least(F.lit(block), fine), F.lit(1))).withColumn(
+                "blocks", F.round(F.sum("target").over(all_sources) / F.col("block"))
+            ),
             ["one"],
             [F.col("source").asc_nulls_last()],
             "target",
@@ -155,6 +164,7 @@ def mix(
             "target",
             "n_shards",
             "quota",
+            "block",
             digest.alias("digest"),
         )
         .withColumn("shard", hex_number(F.col("digest")) % F.col("n_shards"))
@@ -162,14 +172,18 @@ def mix(
     full = placed.filter("size > 0")
     shards = (
         full.groupBy("source", "shard")
-        .agg(F.sum("size").alias("shard_size"), F.max("quota").alias("source_quota"))
+        .agg(
+            F.sum("size").alias("shard_size"),
+            F.max("quota").alias("source_quota"),
+            F.max("block").alias("block"),
+        )
         .withColumn("weight", F.col("shard_size").cast("double"))
     )
     shards = apportion(shards, ["source"], [F.col("shard")], "weight", "source_quota").select(
         F.col("source").alias("of"),
         F.col("shard").alias("part"),
         "shard_size",
-        F.greatest(F.round(F.col("weight") / block), F.lit(1)).cast("long").alias("n"),
+        F.greatest(F.round(F.col("weight") / F.col("block")), F.lit(1)).cast("long").alias("n"),
         F.col("quota").cast("long").alias("q"),
     )
     start = F.md5(F.concat_ws(":", F.lit(seed), "of", "part").cast("binary"))

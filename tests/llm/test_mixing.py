@@ -65,6 +65,20 @@ def test_highest_quotients(spark):
         assert {r["u"]: r["quota"] for r in got} == seats(weights, n)
 
 
+def test_small_sources_get_their_share(spark):
+    """Targets of a few words, beside a source of many."""
+    rows = [(i, "w " * 50, "a") for i in range(400)]
+    rows += [(1000, "one two three four five", "b"), (1001, "w " * 10, "c"), (1002, "w " * 100, "d")]
+    rows += [(1003, "one", None), (1004, "", "e"), (1005, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for some in (docs, docs.filter("doc_id >= 1000")):
+        got = mixing.mix(some).toPandas()
+        assert (got["taken"] <= 2 * got["size"]).all()
+        by = got.groupby("source", dropna=False).agg({"taken": "sum", "target": "first"})
+        assert (abs(by["taken"] - by["target"]) <= 1 + by["target"] / mixing.LEAST_BLOCKS).all()
+        assert (by["taken"][by["target"] > 0] > 0).all()
+
+
 def test_many_shards_repeats_and_empty_table(spark):
     docs = documents(spark, [t for t in texts()[:60]] * 2, list(range(60)) * 2)
     got = mixing.mix(docs, shard_words=500, block=16).toPandas()
