@@ -143,13 +143,14 @@ def cut(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
 def sample(labelled: DataFrame, rows: int, windows: int, window: int = WINDOW) -> DataFrame:
     """(lang, bytes): up to ``windows`` windows of about ``rows`` rows of each language.
 
-    Rows are chosen by a hash of their texts, at a rate that follows from counts over all rows, so
-    that nothing has to be sorted or gathered and copies of one text are no more than that text.
+    Rows are chosen by a hash of their texts, at a rate that follows from the number of different
+    texts among all rows (counted approximately, by a mergeable sketch), so that nothing has to be
+    sorted or gathered and copies of one text are no more than that text.
     """
     known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
     # At most one number for each language; a language is a short code.
-    rates = {r["lang"]: min(1.0, rows / r["n"]) for r in counts.collect()}
+    rates = {r["lang"]: min(1.0, rows / max(1, r["n"])) for r in counts.collect()}
     if not rates:
         return known.select("lang", F.encode("text", "utf-8").alias("bytes")).limit(0)
     pairs = [x for lang, rate in rates.items() for x in (F.lit(lang), F.lit(rate))]

@@ -62,6 +62,44 @@ def test_sample_is_bounded_and_copies_count_once(spark):
     assert len({(r.lang, bytes(r.bytes)) for r in got.itertuples()}) == len(got)
 
 
+def test_a_language_of_copies_is_learned(spark):
+    """Three texts, thousands of times each: all of them are in the sample."""
+    few = ["éaux ment ionç " * n for n in (2, 5, 9)]
+    rows = [(i, few[i % 3], "bb") for i in range(3000)] + [(i, "thar ingo", "aa") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(docs, 50, 2).toPandas()
+    assert {bytes(b) for b in got["bytes"][got["lang"] == "bb"]} == {t.encode()[:512] for t in few}
+    assert "bb" in language.learn(docs, rows=50).languages
+
+
+def slow_prediction(net, text: bytes):
+    """One position of one filter of one window at a time, and the vote over all windows."""
+    windows = [text[i : i + 512] for i in range(0, max(1, len(text)), 512)]
+    total = np.zeros(len(net.languages))
+    for window in windows:
+        vectors = [net.embedding[b] for b in window.ljust(512, b"\0")]
+        vectors += [np.zeros(language.DEPTH)] * 4
+        features = []
+        for w in language.WIDTHS:
+            for f in range(net.filters[w].shape[1]):
+                weights = net.filters[w][:, f]
+                heard = [np.concatenate(vectors[i : i + w]) @ weights for i in range(512)]
+                features.append(max(0.0, max(heard) + net.bias[w][f]))
+        x = np.array(features) @ net.out + net.out_bias
+        total += x - x.max() - np.log(np.exp(x - x.max()).sum())
+    mean = total / len(windows) ** 0.5
+    p = np.exp(mean - mean.max())
+    return net.languages[int(p.argmax())], p.max() / p.sum()
+
+
+def test_predictions_are_a_slow_forward_pass_s(spark, net):
+    rows = ["thar ingo whel", "éaux ment keit ßung äche " * 30, "ough keit " * 120, "äche"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in language.predict(docs, net).collect():
+        lang, score = slow_prediction(net, r["text"].encode())
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3
+
+
 def test_gradients_are_differences():
     rng = np.random.default_rng(0)
     net = language.Network.new(["x", "y", "z"], rng)
