@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.kneser_ney import looked_up, mapped_folder, saved, shard_of
 from corpusloom.llm.shingles import mixed
 from corpusloom.llm.tables import stage
-from corpusloom.llm.tokens import TermHashes, word_tokenizer
+from corpusloom.llm.tokens import TermHashes, WordTokenizer, word_tokenizer
 
 WINDOW = 4096
 END = 2
@@ -299,8 +299,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
             terms = hashes.of(list(text))
             yield pd.Series(places(terms, row.to_numpy(np.int64), known, shards, most))
 
-    def shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        encoder = word_tokenizer(tokenizer)
+    def shard(encoder: WordTokenizer, number: int, rows: pd.DataFrame) -> pd.DataFrame:
         encoder.room()
         rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
         pieces = encoder.numbers(list(rows["text"]))
@@ -328,12 +327,34 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
                 "length": length,
                 "ids_crc32": np.array(out["crc"], np.int64),
                 "doc_tokens": lengths[doc],
-                "sequence_id": (int(key[0]) << 32) + sequence,
+                "sequence_id": (number << 32) + sequence,
                 "offset": offset,
                 "sequence_tokens": tokens[sequence],
                 "ids": out["ids"],
             }
         )
 
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = word_tokenizer(tokenizer)
+        try:
+            for at, rows in runs(batches, "shard"):
+                yield shard(encoder, at, rows)
+        finally:  # the worker lives on, what it remembers of these texts does not
+            encoder.forget()
+
     placed = docs.withColumn("shard", number("text", F.xxhash64("doc_id", "text")))
-    return placed.groupBy("shard").applyInPandas(shard, PIECES)
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(packed, PIECES)
+
+
+def runs(batches: Iterator[pd.DataFrame], by: str) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of each value of ``by``, one after another, of batches sorted by it."""
+    at, waiting = None, []
+    for batch in batches:
+        for value, rows in batch.groupby(by):
+            if waiting and value != at:
+                yield int(at), pd.concat(waiting)
+                waiting = []
+            at = value
+            waiting.append(rows)
+    if waiting:
+        yield int(at), pd.concat(waiting)

@@ -23,7 +23,7 @@ _SPACE = re.compile("[^\\S\x1c-\x1f]+")
 #: an apostrophe may begin a token of its own with the letters after it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 _PUNCTUATION = string.punctuation.replace("'", "")
-#: Pieces a worker remembers, some 250 bytes each: workers live on after their stage.
+#: Pieces a task remembers, some 250 bytes each.
 _REMEMBERED = 500_000
 
 
@@ -66,9 +66,10 @@ class WordTokenizer:
         # characters from 256 on.
         others = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
         self._letters = dict(zip(others, range(256, 256 + len(others)), strict=True))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop all pieces; numbers given before are void then."""
         self._piece = _Numbers()
         self._cores = np.zeros(1 << 12, np.int64)
         self._tails = np.zeros(1 << 12, np.int64)
@@ -124,7 +125,7 @@ class WordTokenizer:
     def room(self) -> None:
         """Forget all pieces if there are many; numbers given before are void then."""
         if len(self._piece) > _REMEMBERED:
-            self._forget()
+            self.forget()
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's pieces."""

@@ -135,6 +135,22 @@ def test_statistics_are_of_all_documents(spark, monkeypatch):
     assert len(both) and part.scores(0)[1] == whole.scores(0)[1] != packing.Index(pair).scores(0)[1]
 
 
+def test_runs_go_on_over_batches_and_nothing_is_remembered_after_them():
+    import pandas as pd
+
+    shard = [0, 0, 1, 1, 1, 4, 9, 9]
+    rows = pd.DataFrame({"shard": shard, "x": range(8)})
+    for size in (1, 2, 3, 8):
+        got = list(packing.runs((rows[i : i + size] for i in range(0, 8, size)), "shard"))
+        assert [at for at, _ in got] == [0, 1, 4, 9]
+        assert [r["x"].tolist() for _, r in got] == [[0, 1], [2, 3, 4], [5], [6, 7]]
+    assert list(packing.runs(iter([rows[:0]]), "shard")) == []
+    known = WordTokenizer(PATH)
+    known.numbers(ODD)
+    known.forget()
+    assert not known._piece and known.ids(known.numbers([ODD[0]])[0]).tolist() == encoded(ODD[0])
+
+
 def test_partitions_do_not_matter_and_repeats_and_empty_tables(spark):
     docs = documents(spark, ["a b c"] * 3 + [None, None], [1, 1, None, 2, 2])
     first, second = (
