@@ -71,6 +71,22 @@ def test_blocks_give_the_same(skewed, monkeypatch, by_parent):
     assert ids(hits) == brute(rows, asked, 6, by_parent)
 
 
+def test_more_queries_than_a_task_keeps_rows_for_are_scanned_for_in_blocks(skewed, monkeypatch):
+    index, queries, rows, asked = skewed
+    scan, sizes = r._scan, []
+    monkeypatch.setattr(r, "KEPT_ROWS", 12)
+    monkeypatch.setattr(r, "_blocked", None)  # which copies every row for each block of queries
+    monkeypatch.setattr(r, "_scan", lambda a, b, *c: sizes.append(b.num_rows) or scan(a, b, *c))
+    assert ids(r.knn_topk(index, queries, 6)) == brute(rows, asked, 6)
+    assert sum(sizes) == len(asked) and max(sizes) <= 2
+
+
+def test_candidates_grow_with_the_cores_and_not_with_the_parts_of_the_index(spark, skewed):
+    index, queries, rows, asked = skewed
+    found = r.candidates(index.repartition(200), queries, 3)
+    assert found.count() <= 2 * spark.sparkContext.defaultParallelism * len(asked) * 3
+
+
 def test_small_batches_give_the_same(spark, skewed):
     index, queries, rows, asked = skewed
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
