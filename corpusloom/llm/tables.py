@@ -12,14 +12,7 @@ from corpusloom.sources.tables import stage, staging_folder
 
 __all__ = ["ascii_lower", "column_like", "read", "ship", "stage", "staging_folder"]
 
-#: Bytes of an Arrow batch: Spark's 10,000 rows take much memory when they are whole texts.
-BATCH_BYTES = 4 << 20
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors, and keep Arrow batches of texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return packaging.ship(spark)
+ship = packaging.ship
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from corpusloom.operators.reviews import (
     review_by_question,
     review_precision,
 )
+from corpusloom.packaging import ship
 from corpusloom.plans.build import build, build_rows, chunk_corpus, search_index
 from corpusloom.settings import Settings
 from corpusloom.sources import tables
@@ -229,3 +231,16 @@ def test_question_set_keeps_first_places(spark):
     rows = spark.createDataFrame([(1, " q "), (2, "p"), (3, "q"), (4, "  ")], "seq long, question string")
     found = {r.question: r.first_seen for r in question_set(rows).collect()}
     assert found == {"q": 1, "p": 2}
+
+
+def test_batches_of_long_texts_are_cut_by_their_bytes(spark):
+    """Registered queries work on whole texts, and 10,000 of them may be much more than a worker should hold."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    ship(spark)
+    texts = spark.range(0, 200, 1, 1).selectExpr("repeat('word ', 20000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"mb": [batch.nbytes >> 20]})
+
+    assert max(row.mb for row in texts.mapInArrow(sizes, "mb long").collect()) <= 8
