@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,18 @@ def test_key_follows_what_makes_the_vectors(spark):
     for settings in (Settings(), Settings(has_key=True)):
         assert "__hash_" in build_rows(rows, settings).head().config_key
         assert "__llamanemotro_" in build_rows(rows, settings, embed=embed).head().config_key
+
+
+def test_completions_leave_in_the_frames_they_came_in(spark):
+    """A frame for each small batch of prompts took longer than the model."""
+
+    class Prompts:
+        schema = spark.range(0).selectExpr("id", "'' AS prompt").schema
+
+        def mapInPandas(self, run, fields):
+            return run
+
+    frame = pd.DataFrame({"id": range(50), "prompt": [f"p{i}" for i in range(50)]})
+    done = list(complete(Prompts(), lambda texts: [t.upper() for t in texts])(iter([frame])))
+    assert [len(part) for part in done] == [50]
+    assert done[0]["raw"].tolist() == [f"P{i}" for i in range(50)]
