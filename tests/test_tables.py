@@ -28,6 +28,7 @@ from corpusloom.operators.reviews import (
 )
 from corpusloom.packaging import ship
 from corpusloom.plans.build import build, build_rows, chunk_corpus, search_index
+from corpusloom.registry import base
 from corpusloom.settings import Settings
 from corpusloom.sources import tables
 from corpusloom.sources.tables import (
@@ -244,3 +245,9 @@ def test_batches_of_long_texts_are_cut_by_their_bytes(spark):
             yield pa.RecordBatch.from_pydict({"mb": [batch.nbytes >> 20]})
 
     assert max(row.mb for row in texts.mapInArrow(sizes, "mb long").collect()) <= 8
+
+
+def test_many_given_rows_are_dealt_to_more_tasks_than_cores(spark, monkeypatch):
+    monkeypatch.setattr(base, "TASK_ROWS", 10, raising=False)
+    assert base.dealt(spark.range(1000)).rdd.getNumPartitions() == 100
+    assert base.dealt(spark.range(5)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
