@@ -4,6 +4,9 @@ The tokenizer's normaliser and pre-tokenizer never join text across white space,
 text are those of its pieces one after another. Most pieces are letters and punctuation after
 them, which the pre-tokenizer parts and whose case it ignores, so a piece is kept as two parts, a
 core and a tail. A core is one word to the pre-tokenizer, so it goes to the merges directly.
+
+Texts are split, and pieces told apart and parted, as Arrow arrays; only distinct cores and tails of a
+call become Python strings.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import string
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from tokenizers import Tokenizer
 
@@ -23,8 +28,8 @@ _SPACE = re.compile("[^\\S\x1c-\x1f]+")
 #: an apostrophe may begin a token of its own with the letters after it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 _PUNCTUATION = string.punctuation.replace("'", "")
-#: Pieces a task remembers, some 250 bytes each.
-_REMEMBERED = 500_000
+#: Parts of pieces that a task remembers, some 200 bytes each.
+_REMEMBERED = 300_000
 
 
 def _plain(piece: str) -> tuple[str, str] | None:
@@ -36,26 +41,48 @@ def _plain(piece: str) -> tuple[str, str] | None:
     return (plain[1].lower(), plain[2]) if plain else None
 
 
-class _Numbers(dict):
-    """Numbers strings in the order in which they are first asked for; ``new`` are those since
-    it was last emptied. One look-up a string, known or not.
+def _distinct(texts: list[str]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct pieces of all texts, and the places of each text's pieces among them."""
+    array = pa.array(texts, pa.string())
+    if pc.any(pc.match_substring_regex(array, _SEPARATORS.pattern)).as_py():
+        lists = pa.array(_pieces(texts), pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(array)
+    coded = lists.values.dictionary_encode()
+    places, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()[1:]
+    none = pc.index(coded.dictionary, "").as_py()
+    if none >= 0:  # before white space that a text begins with, and after its last
+        real = places != none
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        places = places[real]
+    return coded.dictionary, np.split(places, ends[:-1])[: len(texts)]
+
+
+def _parted(pieces: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray, np.ndarray]:
+    """Cores and tails of pieces, and which of the pieces are letters and punctuation after them;
+    others are cores without a tail.
     """
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.new.append(key)
-        return n
+    bare = pc.ascii_rtrim(pieces, characters=_PUNCTUATION)
+    plain = pc.ascii_is_alpha(bare)  # most of them, without a match
+    cores = pc.if_else(plain, pc.ascii_lower(bare), pieces)
+    tails = pc.if_else(plain, pc.ascii_ltrim(pieces, characters=string.ascii_letters), "")
+    other = pc.invert(plain)
+    rest = pieces.filter(other).to_pylist()
+    plain = plain.to_numpy(zero_copy_only=False).copy()
+    if rest:
+        found = [_plain(p) for p in rest]
+        parts = [m or (p, "") for m, p in zip(found, rest, strict=True)]
+        cores = pc.replace_with_mask(cores, other, pa.array([c for c, _ in parts], pa.string()))
+        tails = pc.replace_with_mask(tails, other, pa.array([t for _, t in parts], pa.string()))
+        plain[~plain] = [m is not None for m in found]
+    return cores.dictionary_encode(), tails.dictionary_encode(), plain
 
 
 class _Hashes(dict):
-    """The hash of a piece's term, worked out when first asked for."""
+    """The hash of a term, worked out when first asked for."""
 
-    def __missing__(self, piece: str) -> int:
-        plain = _plain(piece)
-        h = self[piece] = xxhash.xxh3_64_intdigest(plain[0] if plain else piece)
+    def __missing__(self, term: str) -> int:
+        h = self[term] = xxhash.xxh3_64_intdigest(term)
         return h
 
 
@@ -70,7 +97,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         """Drop all pieces; numbers given before are void then."""
-        self._piece = _Numbers()
+        self._piece = 0  # pieces with a number
         self._cores = np.zeros(1 << 12, np.int64)
         self._tails = np.zeros(1 << 12, np.int64)
         self._part: dict[str, int] = {"": 0}
@@ -100,41 +127,45 @@ class WordTokenizer:
         self._used += total
         self._part.update(zip(parts, range(n, n + len(parts)), strict=True))
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Look up the parts of the pieces that were numbered last."""
+    def _learn(self, words: list[str], others: list[str]) -> None:
+        """Look up parts that are not known: ``words`` of letters, and ``others``."""
         known = self._part
-        plain = [_plain(p) for p in pieces]
-        words = {m[0]: None for m in plain if m and m[0] not in known}
+        words = [w for w in words if w not in known]
         if words:
             tokenize, table = self._tokenizer.model.tokenize, self._letters
             found = [
                 [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(table))]
                 for w in words
             ]
-            self._add(list(words), found)
-        parts = [m or (p, "") for m, p in zip(plain, pieces, strict=True)]
-        others = [p for p in dict.fromkeys(p for both in parts for p in both) if p not in known]
+            self._add(words, found)
+        others = [p for p in dict.fromkeys(others) if p not in known]
         if others:
             self._add(others, [self._encode(p) for p in others])
-        end = len(self._piece)
-        self._cores = _room(self._cores, end)
-        self._tails = _room(self._tails, end)
-        self._cores[end - len(pieces) : end] = [known[c] for c, _ in parts]
-        self._tails[end - len(pieces) : end] = [known[t] for _, t in parts]
 
     def room(self) -> None:
-        """Forget all pieces if there are many; numbers given before are void then."""
-        if len(self._piece) > _REMEMBERED:
+        """Forget all parts if there are many, and all pieces; numbers given before are void then."""
+        self._piece = 0
+        if len(self._part) > _REMEMBERED:
             self.forget()
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's pieces."""
-        number = self._piece
-        found = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in _pieces(texts)]
-        if number.new:
-            self._learn(number.new)
-            number.new = []
-        return found
+        pieces, places = _distinct(texts)
+        cores, tails, plain = _parted(pieces)
+        word = np.zeros(len(cores.dictionary), bool)
+        word[cores.indices.to_numpy()[plain]] = True
+        names, ends = cores.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        self._learn(
+            [n for n, w in zip(names, word, strict=True) if w],
+            [n for n, w in zip(names, word, strict=True) if not w] + ends,
+        )
+        known, begin = self._part, self._piece
+        self._piece += len(pieces)
+        self._cores, self._tails = _room(self._cores, self._piece), _room(self._tails, self._piece)
+        for of, strings, parts in ((self._cores, names, cores), (self._tails, ends, tails)):
+            numbers = np.fromiter(map(known.__getitem__, strings), np.int64, len(strings))
+            of[begin : self._piece] = numbers[parts.indices.to_numpy()]
+        return [at.astype(np.int64) + begin for at in places]
 
     def terms(self, numbers: np.ndarray) -> np.ndarray:
         """What stands for the pieces' words, whatever their case and the punctuation after them."""
@@ -181,11 +212,12 @@ class TermHashes:
     def of(self, texts: list[str]) -> list[np.ndarray]:
         if len(self._known) > _REMEMBERED:
             self._known = _Hashes()
-        known = self._known
-        return [
-            np.fromiter(map(known.__getitem__, w), np.uint64, len(w)).view(np.int64)
-            for w in _pieces(texts)
-        ]
+        pieces, places = _distinct(texts)
+        cores, _, _ = _parted(pieces)
+        names = cores.dictionary.to_pylist()
+        hashes = np.fromiter(map(self._known.__getitem__, names), np.uint64, len(names)).view(np.int64)
+        hashes = hashes[cores.indices.to_numpy()]
+        return [hashes[at] for at in places]
 
 
 @lru_cache(maxsize=2)

@@ -160,3 +160,24 @@ def test_partitions_do_not_matter_and_repeats_and_empty_tables(spark):
     assert first.reset_index(drop=True).equals(second.reset_index(drop=True))
     assert first["length"].sum() == 3 * 4 + 2
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_a_task_remembers_terms_and_not_each_way_they_are_written():
+    hashes, known = TermHashes(), WordTokenizer(PATH)
+    ways = ["word", "Word,", "WORD.", "word;)", "wORD!?", " word \t word\n"]
+    first, *rest = hashes.of(ways)
+    assert set(hashes._known) - {""} == {"word"} and all((r == first[0]).all() for r in rest) and len(rest[-1]) == 2
+    for text, pieces in zip(ways, known.numbers(ways)):
+        assert known.ids(pieces).tolist() == encoded(text)
+    # The empty part, the core, and five tails.
+    assert len(known._part) == 6
+    known.room()
+    assert not known._piece and len(known._part) == 6
+
+
+def test_texts_with_separators_among_others():
+    rows = ["a b", "\x1ca\x1f b", "", "  a  b  ", "b"]
+    known = WordTokenizer(PATH)
+    assert [known.ids(p).tolist() for p in known.numbers(rows)] == [encoded(t) for t in rows]
+    assert [len(t) for t in TermHashes().of(rows)] == [2, 2, 0, 2, 1]
+    assert TermHashes().of([]) == [] == known.numbers([])
