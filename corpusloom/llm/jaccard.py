@@ -24,9 +24,9 @@ Candidates are verified on the whole sets. In each bucket of equal signatures al
 compared with one of them, its pivot; buckets whose members are then in one component need nothing
 more, so a large group of near copies costs its size, not its square. Sets in the other buckets fall
 into families by the pivot they share most with. A family (texts that are alike, but mostly below
-the threshold) is compared in blocks, each pair of blocks in a task that returns trees. So are the
-members of two families that share enough signatures with the other one, if they make many more pairs
-than they are; else their pairs are verified one by one. The components are exactly those of all links.
+the threshold) is compared in blocks, each pair of blocks in a task that returns trees; pairs of
+different families that share enough signatures are verified one by one. The components are exactly
+those of all links.
 """
 
 from __future__ import annotations
@@ -55,8 +55,6 @@ FREQUENT = 1 << 17
 _BLOCK = 1 << 20  # shingles counted together
 #: Sets of a family that are compared together, and shingles of theirs at a time.
 FAMILY_BLOCK, _COLUMNS = 128, 4096
-#: Pairs of two families that are verified one by one, for each of their members that may be in one.
-PAIRS = 2
 #: How often a family is taken for that of the set it is named by.
 JUMPS = 3
 
@@ -344,75 +342,6 @@ def families(placed: DataFrame) -> DataFrame:
     return cut_lineage(members.join(sizes, "family"))
 
 
-def related(placed: DataFrame) -> DataFrame:
-    """(low, high, name, n, component, first, firsts, seconds) of the sets of families ``low`` and ``high``
-    that share as many keys with the other family as with a partner in it; ``first`` are those of ``low``.
-    """
-    there = placed.select("key", F.col("family").alias("other")).distinct()
-    fewest = F.ceil(SHARED * F.col("n") / OF)
-    able = (
-        placed.join(there, "key")
-        .filter("family <> other")
-        .groupBy("family", "other", "name", "n", "component")
-        .agg(F.count("*").alias("hits"))
-        .filter(F.col("hits") > F.floor(fewest / PER_SIGNATURE))
-        .select(
-            F.least("family", "other").alias("low"),
-            F.greatest("family", "other").alias("high"),
-            (F.col("family") < F.col("other")).alias("first"),
-            "name",
-            "n",
-            "component",
-        )
-    )
-    sizes = able.groupBy("low", "high").agg(
-        F.count_if("first").alias("firsts"),
-        F.count_if(~F.col("first")).alias("seconds"),
-        (F.min("component") != F.max("component")).alias("mixed"),
-    )
-    both = sizes.filter("mixed AND firsts > 0 AND seconds > 0").drop("mixed")
-    return cut_lineage(able.join(both, ["low", "high"]))
-
-
-def pairs_across(few: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``related`` rows that are in different components and of like size."""
-    left = few.filter("first").select("low", "high", "name", "n", "component")
-    right = few.filter("NOT first").select(
-        "low", "high", *[F.col(c).alias(f"{c}2") for c in ("name", "n", "component")]
-    )
-    near = OF * F.least("n", "n2") >= SHARED * F.greatest("n", "n2")
-    return (
-        left.join(right, ["low", "high"])
-        .filter(near & (F.col("component") != F.col("component2")))
-        .select(F.least("name", "name2").alias("a"), F.greatest("name", "name2").alias("b"))
-        .distinct()
-    )
-
-
-def links_across(many: DataFrame, sets: DataFrame) -> DataFrame:
-    """Trees (a, b) of the links of ``related`` rows, each pair of blocks of two families being a group."""
-    blocks = {c: F.ceil(F.col(c) / FAMILY_BLOCK) for c in ("firsts", "seconds")}
-    own, other = (
-        F.when(F.col("first"), blocks[x]).otherwise(blocks[y])
-        for x, y in (("firsts", "seconds"), ("seconds", "firsts"))
-    )
-    placed = many.select(
-        "low",
-        "high",
-        "first",
-        "name",
-        F.pmod(F.xxhash64("name"), own).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), other - 1)).alias("across"),
-    )
-    one, two = (
-        F.when(F.col("first"), F.col(x)).otherwise(F.col(y))
-        for x, y in (("block", "across"), ("across", "block"))
-    )
-    meet = placed.select("low", "high", one.alias("one"), two.alias("two"), "name")
-    groups = meet.join(sets, "name").groupBy("low", "high", "one", "two")
-    return groups.applyInPandas(linked_within, "a long, b long")
-
-
 def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Trees (a, b) of the links within families, each pair of blocks of a family being a group."""
     placed = members.filter("blocks IS NOT NULL").select(
@@ -497,15 +426,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     within = cut_lineage(family_links(members, alike))
 
     placed = within_mixed(placed.join(members.select("name", "family"), "name"), "family")
-    # All signatures of a similar pair are in mixed buckets, so none goes uncounted.
-    across = related(placed)
-    many = F.col("firsts") * F.col("seconds") > PAIRS * (F.col("firsts") + F.col("seconds"))
-    rest = cut_lineage(pairs_across(across.filter(~many)).join(first, ["a", "b"], "left_anti"))
+    other = placed.select(
+        "key",
+        F.col("name").alias("name2"),
+        F.col("n").alias("n2"),
+        F.col("component").alias("component2"),
+        F.col("family").alias("family2"),
+    )
+    crossing = placed.join(other, "key").filter(
+        "name < name2 AND component <> component2 AND family <> family2"
+    )
+    # All signatures of such a pair are in mixed buckets, so none goes uncounted.
+    rest = cut_lineage(
+        candidates(
+            crossing.select(
+                F.col("name").alias("a"),
+                F.col("n").alias("a_n"),
+                F.col("name2").alias("b"),
+                F.col("n2").alias("b_n"),
+            )
+        ).join(first, ["a", "b"], "left_anti")
+    )
     more = cut_lineage(verified(rest, whole_sets(docs, holder, ends(rest), words)))
-    names = across.filter(many).select("name").distinct()
-    if names.head() is not None:
-        them = whole_sets(docs, holder, names, words)
-        more = more.unionByName(cut_lineage(links_across(across.filter(many), them)))
     final = components(links.unionByName(within).unionByName(more))
 
     named = holder.join(final, holder["name"] == final["node"], "left").select(
