@@ -23,14 +23,16 @@ set is in one or two of them.
 Candidates are verified on the whole sets. In each bucket of equal signatures all members are first
 compared with one of them, its pivot; buckets whose members are then in one component need nothing
 more, so a large group of near copies costs its size, not its square. Sets in the other buckets fall
-into families by the pivot they share most with. A family (texts that are alike, but mostly below
-the threshold) is compared in blocks, each pair of blocks in a task that returns trees; pairs of
-different families that share enough signatures are verified one by one. The components are exactly
+into families by the pivot they share most with; families whose sets meet in most of their pairs are
+made one. A family (texts that are alike, but mostly below the threshold) is compared in blocks,
+each pair of blocks in a task that returns trees; pairs of different families that share enough
+signatures are verified one by one. The components are exactly
 those of all links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components, cut_lineage, lower_roots
-from corpusloom.llm.shingles import WORDS, mixed, shingle_set
+from corpusloom.llm.shingles import WORDS, mixed, shingle_sets
 from corpusloom.llm.tables import stage
 
 #: Similarity as a fraction; the walk's bounds below follow from it.
@@ -53,10 +55,12 @@ BITS, PROBES = 1 << 22, 3
 #: At most so many shingles are known as frequent; others only cost more candidates.
 FREQUENT = 1 << 17
 _BLOCK = 1 << 20  # shingles counted together
-#: Sets of a family that are compared together, and shingles of theirs at a time.
-FAMILY_BLOCK, _COLUMNS = 128, 4096
+#: Sets of a family in a block, about, and their shingles; shingles that are compared at a time.
+FAMILY_BLOCK, FAMILY_SHINGLES, _COLUMNS = 512, 1 << 18, 4096
 #: How often a family is taken for that of the set it is named by.
 JUMPS = 3
+#: Pairs of sets in common buckets from which on it may pay to make one family of two.
+MERGED = 4096
 
 
 def bands(n: int) -> list[int]:
@@ -66,47 +70,70 @@ def bands(n: int) -> list[int]:
 
 
 def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The keys that the walk of a set writes, for all its bands."""
+    """The keys that the walk of a set (sorted 63-bit hashes) writes, for all its bands."""
     n = len(shingles)
+    need = (OF - SHARED) * n // SHARED + 1 + n // PER_SIGNATURE
+    out = []
+    for k in bands(n):
+        # Most walks end before the set does. Elements of a segment stand together.
+        load = n / ((4 << k) // 3) if (1 << k) >= SMALL_SETS else 0
+        filled = -math.expm1(-load) / load if load else 1
+        part = int(1.1 * need / filled) + 32
+        keys, left = _walk(shingles, k, need, frequent, part)
+        if left and part < n:
+            keys, _ = _walk(shingles, k, need, frequent, n)
+        out += keys
+    return np.concatenate(out)
+
+
+def _walk(shingles, k, need, frequent, part):
+    """The keys of band ``k`` by the segments that the first ``part`` elements fill, and the gain
+    that is missing then; less than the whole set is only good for subsets with rare shingles.
+    """
+    whole = part >= len(shingles)
+    value = shingles[: part + 1]
+    if (1 << k) < SMALL_SETS:
+        segment = value
+        starts = np.arange(len(value))
+    else:
+        segment = ((value >> np.uint64(31)) * np.uint64((4 << k) // 3)) >> np.uint64(32)
+        starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    if not whole:  # the last segment may go on
+        value, starts = value[: starts[-1]], starts[:-1]
+    n = len(value)
+    if not n:
+        return [], need
+    sizes = np.diff(np.r_[starts, n])
     rare = np.ones(n, bool)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        rare = frequent[at] != shingles
+        at = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
+        rare = frequent[at] != value
+    many = np.add.reduceat(rare.astype(np.int64), starts)
+    sums = np.add.reduceat(value, starts)
+    names = segment[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+    deletions = sizes > 1
     out = []
-    for k in bands(n):
-        if (1 << k) < SMALL_SETS:
-            segment, value, many = shingles, shingles, rare.astype(np.int64)
-            starts, sizes = np.arange(n), np.ones(n, np.int64)
+    for neighbourhood, chosen in (
+        (False, many > 0),
+        (True, deletions & (many > 1)),
+        (False, many == 0),
+        (True, deletions & (many <= 1)),
+    ):
+        if need <= 0:
+            break
+        walk = np.flatnonzero(chosen)[:need]
+        need -= len(walk)
+        if neighbourhood:
+            each = np.repeat(walk, sizes[walk])
+            within = np.arange(len(each)) - np.repeat(
+                np.cumsum(sizes[walk]) - sizes[walk], sizes[walk]
+            )
+            out.append(mixed(sums[each] - value[starts[each] + within] + names[each]))
         else:
-            segment = mixed(shingles + np.uint64(k)) % np.uint64((4 << k) // 3)
-            order = np.argsort(segment, kind="stable")
-            segment, value, flags = segment[order], mixed(shingles[order]), rare[order]
-            starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-            sizes = np.diff(np.r_[starts, n])
-            many = np.add.reduceat(flags.astype(np.int64), starts)
-        sums = np.add.reduceat(value, starts)
-        names = segment[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-        need = (OF - SHARED) * n // SHARED + 1 + n // PER_SIGNATURE
-        deletions = sizes > 1
-        for neighbourhood, chosen in (
-            (False, many > 0),
-            (True, deletions & (many > 1)),
-            (False, many == 0),
-            (True, deletions & (many <= 1)),
-        ):
-            if need <= 0:
-                break
-            walk = np.flatnonzero(chosen)[:need]
-            need -= len(walk)
-            if neighbourhood:
-                each = np.repeat(walk, sizes[walk])
-                within = np.arange(len(each)) - np.repeat(
-                    np.cumsum(sizes[walk]) - sizes[walk], sizes[walk]
-                )
-                out.append(mixed(sums[each] - value[starts[each] + within] + names[each]))
-            else:
-                out.append(mixed(sums[walk] + names[walk]))
-    return np.concatenate(out)
+            out.append(mixed(sums[walk] + names[walk]))
+        if not whole:
+            break
+    return out, need
 
 
 def name_of(shingles: np.ndarray) -> int:
@@ -116,8 +143,7 @@ def name_of(shingles: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pd.DataFrame], words: int):
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            yield doc_id, shingle_set(text, words)
+        yield from zip(batch["doc_id"], shingle_sets(batch["text"], words), strict=True)
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -269,8 +295,7 @@ def whole_sets(docs: DataFrame, holder: DataFrame, wanted: DataFrame, words: int
             hit = table[batch[[f"p{i}" for i in range(PROBES)]].to_numpy()].all(axis=1)
             texts = batch["text"][hit]
             for i in range(0, len(texts), 256):
-                found = [shingle_set(text, words) for text in texts.iloc[i : i + 256]]
-                found = [s for s in found if len(s)]
+                found = [s for s in shingle_sets(texts.iloc[i : i + 256], words) if len(s)]
                 names = [name_of(s) for s in found]
                 yield pd.DataFrame(
                     {"name": names, "shingles": [s.view(np.int64) for s in found]}
@@ -335,11 +360,50 @@ def families(placed: DataFrame) -> DataFrame:
             "name", "component", F.coalesce("higher", "family").alias("family")
         )
         members = cut_lineage(members)
+    members = merged(placed, members)
     mixed_up = F.min("component") != F.max("component")
-    sizes = members.groupBy("family").agg(
-        F.when(mixed_up, F.ceil(F.count("*") / FAMILY_BLOCK)).alias("blocks")
+    blocks = F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n") / FAMILY_SHINGLES)
+    sizes = members.groupBy("family").agg(F.when(mixed_up, F.ceil(blocks)).alias("blocks"))
+    return cut_lineage(members.drop("n").join(sizes, "family"))
+
+
+def merged(placed: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (name, component, family) and the sets' sizes n, where families whose sets meet in
+    buckets more often than they have pairs are one: that of the larger, up to ``JUMPS`` times.
+
+    Buckets are counted by family, no pairs are made.
+    """
+    sizes = members.groupBy("family").agg(F.count("*").alias("sets"))
+    met = (
+        placed.join(members.select("name", "family"), "name")
+        .groupBy("key", "family")
+        .agg(F.count("*").alias("held"))
+    )
+    met = within_mixed(cut_lineage(met.join(sizes, "family")), "family")
+    one = F.struct("sets", "family", "held")
+    largest = met.groupBy("key").agg(F.max(one).alias("to"))
+    pairs = F.sum(F.col("held") * F.col("to.held")).alias("pairs")
+    into = (
+        met.join(largest, "key")
+        .filter(F.col("family") != F.col("to.family"))
+        .groupBy("family", "sets", F.col("to.sets").alias("more"), F.col("to.family").alias("into"))
+        .agg(pairs)
+        .filter(F.col("pairs") >= F.greatest(F.lit(MERGED), F.col("sets") * F.col("more")))
+        .groupBy("family")
+        .agg(F.max(F.struct("pairs", "into")).getField("into").alias("into"))
+    )
+    into = cut_lineage(into)
+    higher = into.select(F.col("family").alias("into"), F.col("into").alias("higher"))
+    for _ in range(JUMPS):
+        into = into.join(higher, "into", "left").select(
+            "family", F.coalesce("higher", "into").alias("into")
+        )
+    of = placed.groupBy("name").agg(F.first("n").alias("n"))
+    return cut_lineage(
+        members.join(into, "family", "left")
+        .join(of, "name")
+        .select("name", "component", F.coalesce("into", "family").alias("family"), "n")
     )
-    return cut_lineage(members.join(sizes, "family"))
 
 
 def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -9,7 +9,7 @@ from cases import documents, prose, texts
 
 from corpusloom.llm import jaccard
 from corpusloom.llm.graph import components
-from corpusloom.llm.shingles import shingle_set
+from corpusloom.llm.shingles import shingle_set, shingle_sets
 
 
 def brute(rows):
@@ -99,3 +99,63 @@ def test_components_of_a_hub_a_path_and_loops(spark):
            components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 100 for i in range(100, 141)} | {i: 7 for i in [7, *range(200, 300)]}
     assert got == want
+
+
+def alike(n=150, words=200):
+    """Texts of one origin, most pairs of them below the threshold."""
+    rng = random.Random(9)
+    base = prose(rng, words).split()
+    out = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(words), rng.choice([4, 9, 12, 15])):
+            text[at] = f"new{i}x{at}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_families_that_meet_in_most_pairs_are_one(spark, monkeypatch):
+    rows = [(k, i, 50, i, i) for i in range(140) for k in range(i % 2, 8, 2)]
+    rows += [(k, i, 50, 0, i) for i in range(0, 140, 9) for k in (0, 1)]  # they meet in two keys
+    rows += [(100, 500, 50, 500, 500), (100, 3, 50, 3, 3)]  # met once
+    placed = spark.createDataFrame(rows, "key long, name long, n int, pivot long, component long")
+    members = spark.createDataFrame(
+        [(i, i, 1000 + i % 2) for i in range(140)] + [(500, 500, 1500)],
+        "name long, component long, family long",
+    )
+    got = {r["name"]: r["family"] for r in jaccard.merged(placed, members).collect()}
+    assert len(got) == 141 and got[500] == 1500
+    assert len({got[i] for i in range(140)}) == 2  # 16 of 4900 pairs and more, below MERGED
+    monkeypatch.setattr(jaccard, "MERGED", 1)
+    rows = [(k, i, 50, i, i) for i in range(140) for k in range(3)]
+    placed = spark.createDataFrame(rows, placed.schema)
+    got = {r["name"]: r["family"] for r in jaccard.merged(placed, members.filter("name < 140")).collect()}
+    assert set(got.values()) == {1001}
+
+
+@pytest.mark.parametrize("least", [1, 1 << 40])
+def test_merged_families_give_all_links(spark, monkeypatch, least):
+    monkeypatch.setattr(jaccard, "MERGED", least)
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", 40)
+    rows = alike()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in
+           jaccard.near_duplicates(documents(spark, rows)).collect()}
+    assert got == brute(enumerate(rows))
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    rows = [*texts(), "x" * 600_000 + " y", "tail"]
+    together = list(shingle_sets(rows))
+    assert len(together) == len(rows)
+    for text, found in zip(rows, together, strict=True):
+        assert list(found) == list(shingle_set(text))
+        words = (text or "").encode().lower().split()
+        k = min(5, len(words))
+        want = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if words else set()
+        assert len(found) == len(want)
+
+
+def test_words_of_the_same_letters_differ():
+    words = ["".join(p) for p in permutations("abcdefg")] + ["a" * n for n in range(1, 3000)]
+    sets = list(shingle_sets(words))
+    assert len({int(s[0]) for s in sets}) == len(words)
