@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -341,6 +342,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
                 yield shard(encoder, at, rows)
         finally:  # the worker lives on, what it remembers of these texts does not
             encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     placed = docs.withColumn("shard", number("text", F.xxhash64("doc_id", "text")))
     return placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(packed, PIECES)
