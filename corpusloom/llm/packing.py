@@ -1,5 +1,9 @@
 """Packing by lexical retrieval: windows are filled with the nearest unused documents of a shard.
 
+Splitting. Every text is split and looked up once. Its token ids are stored, with two bits each that
+tell where words begin and what is punctuation after them. No later step reads a text: a term is
+the ids of a word, without that punctuation.
+
 Statistics. In how many documents and bytes each term is, the number of documents and their mean
 length are counted once over all documents. Terms of several documents are sorted hash arrays in the
 shared folder, which workers map; nothing of them passes through the driver.
@@ -8,12 +12,11 @@ Placing. A document goes where the term does that weighs most in it by BM25, amo
 documents have too and whose documents fit half a shard, so documents about the same things meet.
 If it has only more frequent ones, the heaviest of them counts and its documents are split by hash.
 
-Filling. One shuffle moves the texts into shards. A task tokenizes a shard, builds its BM25 inverted
-index with the statistics of all documents, and fills window after window: a window begins
-with what is left of a cut document, or the first unused one; the index ranks the unused documents
-of the shard for it, and they follow, best first, until the window is full. The document at a
-window's end is cut there. What is left at a shard's end is cut at powers of two, so no sequence
-needs padding.
+Filling. One shuffle moves the ids into shards. A task builds a shard's BM25 inverted index with the
+statistics of all documents, and fills window after window: a window begins with what is left of a
+cut document, or the first unused one; the index ranks the unused documents of the shard for it, and
+they follow, best first, until the window is full. The document at a window's end is cut there. What
+is left at a shard's end is cut at powers of two, so no sequence needs padding.
 """
 
 from __future__ import annotations
@@ -32,15 +35,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.kneser_ney import looked_up, mapped_folder, saved, shard_of
 from corpusloom.llm.shingles import mixed
-from corpusloom.llm.tables import stage
-from corpusloom.llm.tokens import TermHashes, WordTokenizer, word_tokenizer
+from corpusloom.llm.tables import stage, staging_folder
+from corpusloom.llm.tokens import TermHashes, word_tokenizer
 
 WINDOW = 4096
 END = 2
 K1, B = 1.2, 0.75
 SHARD_BYTES, SHARD_ROWS = 4 << 20, 8192
-#: Terms of a file of statistics, and terms counted together.
-FILE_TERMS, BLOCK = 1 << 20, 1 << 21
+#: Terms of a file of statistics.
+FILE_TERMS = 1 << 20
+#: Of a document: a hash of the row, the text's bytes, its ids and the end id, and a bit for each id: whether a
+#: word begins there, and whether it is of a word.
+IDS = "ids binary, begins binary, inner binary"
+SPLIT = f"doc_id long, row long, bytes long, {IDS}"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, sequence_tokens long, ids binary"
@@ -83,43 +90,105 @@ def counted(terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return doc, np.concatenate([none, *[t for t, _ in found]]), np.concatenate([none, *[n for _, n in found]])
 
 
+def split(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``docs`` (doc_id, text, not null) as ``SPLIT`` has them."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_tokenizer(tokenizer)
+        kind = encoder.id_type()
+        try:
+            for batch in batches:
+                encoder.room()
+                pieces = encoder.numbers(batch.column("text").cast(pa.string()))
+                every = np.concatenate([np.zeros(0, np.int64), *pieces])
+                cores, tails = encoder.counts(every)
+                to = np.r_[0, np.cumsum(cores + tails)]
+                ends = to[np.cumsum([len(p) for p in pieces], dtype=np.int64)]
+                begins, inner = np.zeros(to[-1], bool), np.repeat(
+                    np.tile([True, False], len(every)), np.stack([cores, tails], axis=1).ravel()
+                )
+                begins[to[:-1][cores > 0]] = True
+                found = encoder.ids(every).astype(kind), begins, inner
+                starts = np.r_[0, ends[:-1]].tolist()
+                parts = [[x[a:b] for a, b in zip(starts, ends.tolist())] for x in found]
+                end = np.array([END], kind).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(name) for name in ("doc_id", "row", "bytes")),
+                        pa.array([x.tobytes() + end for x in parts[0]], pa.binary()),
+                        *(pa.array([np.packbits(x).tobytes() for x in y], pa.binary()) for y in parts[1:]),
+                    ],
+                    ["doc_id", "row", "bytes", "ids", "begins", "inner"],
+                )
+        finally:  # the worker lives on, what it remembers of these texts does not
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
+
+    rows = docs.select(
+        "doc_id",
+        "text",
+        F.xxhash64("doc_id", "text").alias("row"),
+        F.octet_length("text").cast("long").alias("bytes"),
+    )
+    return rows.mapInArrow(encode, SPLIT)
+
+
+def terms_of(ids: list[np.ndarray], begins: list[bytes], inner: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the terms of documents, from their ``IDS``."""
+    none = np.zeros(0, np.uint8)
+    each = [
+        np.concatenate([none, *(np.unpackbits(np.frombuffer(x, np.uint8), count=len(i) - 1) for x, i in zip(y, ids))])
+        for y in (begins, inner)
+    ]
+    words = np.flatnonzero(each[1])
+    first = np.flatnonzero(each[0][words])
+    token = np.concatenate([none, *(i[:-1] for i in ids)])[words].astype(np.uint64)
+    sizes = np.diff(np.r_[first, len(words)])
+    place = np.arange(len(words)) - np.repeat(first, sizes)
+    token |= place.astype(np.uint64) << np.uint64(32)
+    hashes = np.add.reduceat(mixed(token), first) if len(first) else token
+    # A document's words are those that begin in it.
+    ends = np.cumsum([len(i) - 1 for i in ids], dtype=np.int64)
+    cuts = np.searchsorted(words[first], ends)
+    return np.split(hashes.view(np.int64), cuts)[: len(ids)]
+
+
 def statistics(docs: DataFrame) -> Statistics:
-    """Count the terms of ``docs`` (text, not null) and write those that several documents have."""
-    folder = f"{mapped_folder(docs.sparkSession)}/terms-{uuid.uuid4().hex}"
-    os.makedirs(folder)
+    """Count the terms of ``docs`` (text, not null) by the hashes of ``TermHashes``."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         hashes = TermHashes()
-        waiting, size, long, n = [], 0, 0, 0
+        for batch in batches:
+            found = hashes.of(batch.column("text").cast(pa.string()))
+            yield batch.column("bytes").to_numpy(), found
 
-        def together() -> pd.DataFrame:
-            names, at = np.unique(np.concatenate([w[0] for w in waiting]), return_inverse=True)
-            df, held = (
-                np.bincount(at, np.concatenate([w[i] for w in waiting]), len(names)) for i in (1, 2)
-            )
-            return pd.DataFrame(
-                {"term": names, "df": df.astype(np.int64), "bytes": held.astype(np.int64)}
-            )
+    return statistics_of(docs.select("text", F.octet_length("text").cast("long").alias("bytes")), terms)
 
-        for batch in batches:
-            terms = hashes.of(list(batch["text"]))
-            n += len(terms)
-            long += sum(map(len, terms))
-            doc, term, _ = counted(terms)
+
+def statistics_of(docs: DataFrame, terms) -> Statistics:
+    """Count terms and write those that several documents have. ``terms`` makes of batches of ``docs``
+    the bytes of each batch's documents, and their terms.
+    """
+    folder = f"{mapped_folder(docs.sparkSession)}/terms-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, long = 0, 0
+        for held, found in terms(batches):
+            n += len(found)
+            long += sum(map(len, found))
+            doc, term, _ = counted(found)
             names, at = np.unique(term, return_inverse=True)
-            held = np.bincount(at, batch["bytes"].to_numpy()[doc], len(names))
-            waiting.append((names, np.bincount(at, minlength=len(names)), held))
-            size += len(names)
-            if size >= BLOCK:
-                yield together()
-                waiting, size = [], 0
-        if waiting:
-            yield together()
-        yield pd.DataFrame({"term": pd.array([None], "Int64"), "df": [n], "bytes": [long]})
-
-    texts = docs.select("text", F.octet_length("text").cast("long").alias("bytes"))
+            df, size = np.bincount(at, minlength=len(names)), np.bincount(at, held[doc], len(names))
+            yield counts(pa.array(names), df, size.astype(np.int64))
+        yield counts(pa.array([None], pa.int64()), [n], [long])
+
+    def counts(names: pa.Array, df, held) -> pa.RecordBatch:
+        columns = [names, pa.array(df, pa.int64()), pa.array(held, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["term", "df", "bytes"])
+
     sums = stage(
-        texts.mapInPandas(count, "term long, df long, bytes long")
+        docs.mapInArrow(count, "term long, df long, bytes long")
         .groupBy("term")
         .agg(F.sum("df").alias("df"), F.sum("bytes").alias("bytes"))
         .filter("term IS NULL OR df > 1")
@@ -165,11 +234,13 @@ def places(
     weight = known.weights(df, tf, sizes[doc])
     parts = np.maximum(-(-held // most[0]), -(-df // most[1]))
     fits = (2 * held <= most[0]) & (2 * df <= most[1])
-    # The last of a document: one that fits, heavier, of a smaller hash.
-    order = np.lexsort([-np.arange(len(term)), weight, fits, doc])
-    order = order[df[order] > 1]
-    last = np.r_[doc[order[1:]] != doc[order[:-1]], True] if len(order) else order
-    best = order[last]
+    # The best of a document: one that fits, heavier, of a smaller hash.
+    shared = np.flatnonzero(df > 1)
+    value = fits[shared] * 2.0**40 + weight[shared]
+    begins = np.flatnonzero(np.diff(doc[shared], prepend=-1))
+    most_of = np.maximum.reduceat(value, begins) if len(begins) else value
+    top = shared[value == np.repeat(most_of, np.diff(np.r_[begins, len(shared)]))]
+    best = top[np.flatnonzero(np.diff(doc[top], prepend=-1))]
     key = rows.view(np.uint64).copy()
     part = np.where(fits[best], 0, mixed(key[doc[best]]) % np.maximum(parts[best], 1).astype(np.uint64))
     key[doc[best]] = mixed(term[best].view(np.uint64)) + part.astype(np.uint64)
@@ -185,21 +256,19 @@ class Index:
     def __init__(self, terms: list[np.ndarray], known: Statistics | None = None):
         n = self.n = len(terms)
         sizes = np.array([len(t) for t in terms], np.int64)
-        docs = np.repeat(np.arange(n), sizes)
-        names, dense = np.unique(np.concatenate(terms), return_inverse=True)
-        pair, tf = np.unique(dense * n + docs, return_counts=True)
-        term, self.docs = pair // n, (pair % n).astype(np.int32)
-        df = np.bincount(term, minlength=len(names))
-        self.begins = np.cumsum(df) - df
-        self.df = df
-        of_all = known.of(names)[0] if known else df
+        doc, term, tf = counted(terms)
+        names, dense = np.unique(term, return_inverse=True)
+        self.df = np.bincount(dense, minlength=len(names))
+        self.begins = np.cumsum(self.df) - self.df
+        of_all = known.of(names)[0] if known else self.df
         known = known or Statistics("", 0, n, sizes.mean())
-        self.weights = known.weights(of_all[term], tf, sizes[self.docs])
+        weights = known.weights(of_all[dense], tf, sizes[doc])
+        order = np.argsort(dense, kind="stable")
+        self.docs, self.weights = doc[order].astype(np.int32), weights[order]
         # The terms of each document, without those of one document only.
-        order = np.argsort(self.docs, kind="stable")
-        order = order[df[term[order]] > 1]
-        self.terms = term[order]
-        self.of = np.searchsorted(self.docs[order], np.arange(n + 1))
+        met = self.df[dense] > 1
+        self.terms = dense[met]
+        self.of = np.searchsorted(doc[met], np.arange(n + 1))
 
     def scores(self, doc: int) -> np.ndarray:
         """The weights of every document's terms that ``doc`` has too, summed."""
@@ -279,7 +348,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     the piece's sequence, and ``ids`` its little-endian 32-bit ids if ``with_ids``, else null.
 
     A null text is empty and has the end id only. Repeated rows are packed each on its own; rows
-    of one doc_id are ordered by text. Other columns are ignored. An empty table has no pieces.
+    of one doc_id are ordered by their ids. Other columns are ignored. An empty table has no pieces.
     The result depends on the rows only, not on their partitions. ``window`` is a power of two.
     The shared folder has to be one that workers can map files from.
     """
@@ -287,25 +356,37 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
+    path = f"{staging_folder(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    # Ids take as much room as the texts, and Spark's default would store them as they are.
+    split(docs, tokenizer).write.option("compression", "zstd").parquet(path)
+    docs = docs.sparkSession.read.schema(SPLIT).parquet(path)
+    size = docs.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
     shards = max(1, -(-(size["b"] or 0) // SHARD_BYTES), -(-size["n"] // SHARD_ROWS))
+    kind = word_tokenizer(tokenizer).id_type()
+
+    def terms(batch) -> list[np.ndarray]:
+        ids, begins, inner = (batch[name].to_pylist() for name in ("ids", "begins", "inner"))
+        return terms_of([np.frombuffer(i, kind) for i in ids], begins, inner)
+
+    def counted_terms(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.column("bytes").to_numpy(), terms(batch)
 
-    known = statistics(docs)
+    known = statistics_of(docs, counted_terms)
     most = SHARD_BYTES, SHARD_ROWS
 
-    @F.pandas_udf("int")
-    def number(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes = TermHashes()
-        for text, row in batches:
-            terms = hashes.of(list(text))
-            yield pd.Series(places(terms, row.to_numpy(np.int64), known, shards, most))
-
-    def shard(encoder: WordTokenizer, number: int, rows: pd.DataFrame) -> pd.DataFrame:
-        encoder.room()
-        rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-        pieces = encoder.numbers(list(rows["text"]))
-        lengths = np.array([encoder.count(p) + 1 for p in pieces], np.int64)
-        index = Index([encoder.hashes(encoder.terms(p)) for p in pieces], known)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = places(terms(batch), batch.column("row").to_numpy(), known, shards, most)
+            names = ["doc_id", "ids", "begins", "inner"]
+            columns = [pa.array(to.astype(np.int32)), *(batch.column(name) for name in names)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", *names])
+
+    def shard(number: int, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "ids"], kind="stable", na_position="first")
+        found = [np.frombuffer(i, kind) for i in rows["ids"]]
+        lengths = np.array([len(i) for i in found], np.int64)
+        index = Index(terms_of(found, list(rows["begins"]), list(rows["inner"])), known)
         parts = list(
             fill(lengths, lambda d: np.argsort(-index.scores(d), kind="stable"), window)
         )
@@ -315,7 +396,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
         for doc, start, n, _, _ in parts:
             if doc != last:
                 last = doc
-                ids = np.append(encoder.ids(pieces[doc]), np.int32(END)).astype("<u4").tobytes()
+                ids = found[doc].astype("<u4").tobytes()
             cut = ids[4 * start : 4 * (start + n)]
             out["crc"].append(zlib.crc32(cut))
             out["ids"].append(cut if with_ids else None)
@@ -336,15 +417,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
         )
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = word_tokenizer(tokenizer)
-        try:
-            for at, rows in runs(batches, "shard"):
-                yield shard(encoder, at, rows)
-        finally:  # the worker lives on, what it remembers of these texts does not
-            encoder.forget()
-            pa.default_memory_pool().release_unused()
+        for at, rows in runs(batches, "shard"):
+            yield shard(at, rows)
 
-    placed = docs.withColumn("shard", number("text", F.xxhash64("doc_id", "text")))
+    placed = docs.mapInArrow(place, f"shard int, doc_id long, {IDS}")
     return placed.repartition("shard").sortWithinPartitions("shard").mapInPandas(packed, PIECES)
 
 

@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import re
 import string
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +29,19 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
 #: Latin letters whose lower case does not depend on their neighbours, then ASCII punctuation;
 #: an apostrophe may begin a token of its own with the letters after it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]"
 _PUNCTUATION = string.punctuation.replace("'", "")
 #: Parts of pieces that a task remembers, some 200 bytes each.
 _REMEMBERED = 300_000
 
 
-def _plain(piece: str) -> tuple[str, str] | None:
-    """Core and tail of a piece of letters and punctuation after them."""
-    core = piece.rstrip(_PUNCTUATION)
-    if core.isascii() and core.isalpha():  # most of them, without a match
-        return core.lower(), piece[len(core) :]
-    plain = _PLAIN.fullmatch(piece)
-    return (plain[1].lower(), plain[2]) if plain else None
-
-
-def _distinct(texts: list[str]) -> tuple[pa.Array, list[np.ndarray]]:
+def _distinct(texts: list[str] | pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
     """The distinct pieces of all texts, and the places of each text's pieces among them."""
-    array = pa.array(texts, pa.string())
-    if pc.any(pc.match_substring_regex(array, _SEPARATORS.pattern)).as_py():
-        lists = pa.array(_pieces(texts), pa.list_(pa.string()))
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    if pc.any(pc.match_substring_regex(texts, _SEPARATORS.pattern)).as_py():
+        lists = pa.array(_pieces(texts.to_pylist()), pa.list_(pa.string()))
     else:
-        lists = pc.utf8_split_whitespace(array)
+        lists = pc.utf8_split_whitespace(texts)
     coded = lists.values.dictionary_encode()
     places, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()[1:]
     none = pc.index(coded.dictionary, "").as_py()
@@ -67,14 +61,14 @@ def _parted(pieces: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray, n
     cores = pc.if_else(plain, pc.ascii_lower(bare), pieces)
     tails = pc.if_else(plain, pc.ascii_ltrim(pieces, characters=string.ascii_letters), "")
     other = pc.invert(plain)
-    rest = pieces.filter(other).to_pylist()
-    plain = plain.to_numpy(zero_copy_only=False).copy()
-    if rest:
-        found = [_plain(p) for p in rest]
-        parts = [m or (p, "") for m, p in zip(found, rest, strict=True)]
-        cores = pc.replace_with_mask(cores, other, pa.array([c for c, _ in parts], pa.string()))
-        tails = pc.replace_with_mask(tails, other, pa.array([t for _, t in parts], pa.string()))
-        plain[~plain] = [m is not None for m in found]
+    rest, plain = pieces.filter(other), plain.to_numpy(zero_copy_only=False).copy()
+    if len(rest):
+        bare = bare.filter(other)
+        letters = pc.match_substring_regex(bare, f"^{_LETTERS}+$")
+        after = pc.replace_substring_regex(rest, f"^{_LETTERS}+", "")
+        cores = pc.replace_with_mask(cores, other, pc.if_else(letters, pc.utf8_lower(bare), rest))
+        tails = pc.replace_with_mask(tails, other, pc.if_else(letters, after, ""))
+        plain[~plain] = letters
     return cores.dictionary_encode(), tails.dictionary_encode(), plain
 
 
@@ -101,7 +95,6 @@ class WordTokenizer:
         self._cores = np.zeros(1 << 12, np.int64)
         self._tails = np.zeros(1 << 12, np.int64)
         self._part: dict[str, int] = {"": 0}
-        self._hashes = np.zeros(1 << 12, np.int64)
         self._starts = np.zeros(1 << 12, np.int64)
         self._lengths = np.zeros(1 << 12, np.int64)
         self._ids = np.zeros(1 << 16, np.int32)
@@ -110,37 +103,46 @@ class WordTokenizer:
     def _encode(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _add(self, parts: list[str], found: list[list[int]]) -> None:
+    def _add(self, parts: list[str], found: Iterable[list[int]]) -> None:
         n = len(self._part)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
+        ids, lengths = array("i"), array("q")
+        for of in found:
+            ids.extend(of)
+            lengths.append(len(of))
+        lengths = np.asarray(lengths)
+        total = len(ids)
         self._ids = _room(self._ids, self._used + total)
         self._starts = _room(self._starts, n + len(parts))
         self._lengths = _room(self._lengths, n + len(parts))
-        self._ids[self._used : self._used + total] = [i for f in found for i in f]
-        self._hashes = _room(self._hashes, n + len(parts))
-        self._hashes[n : n + len(parts)] = np.fromiter(
-            map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)
-        ).view(np.int64)
+        self._ids[self._used : self._used + total] = ids
         self._starts[n : n + len(parts)] = self._used + np.cumsum(lengths) - lengths
         self._lengths[n : n + len(parts)] = lengths
         self._used += total
         self._part.update(zip(parts, range(n, n + len(parts)), strict=True))
 
     def _learn(self, words: list[str], others: list[str]) -> None:
-        """Look up parts that are not known: ``words`` of letters, and ``others``."""
-        known = self._part
-        words = [w for w in words if w not in known]
+        """Look up distinct parts that are not known: ``words`` of letters, and ``others``."""
         if words:
             tokenize, table = self._tokenizer.model.tokenize, self._letters
-            found = [
-                [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(table))]
-                for w in words
-            ]
-            self._add(words, found)
-        others = [p for p in dict.fromkeys(others) if p not in known]
+            wide = [w for w in words if not w.isascii()]
+            words = wide + [w for w in words if w.isascii()]
+            # As bytes in one go; a line end is one of the characters for other bytes.
+            spelt = "\n".join(wide).encode().decode("latin-1").translate(table)
+            spelt = spelt.split(chr(table[ord("\n")])) if wide else []
+            self._add(words, ([t.id for t in tokenize(w)] for w in chain(spelt, words[len(wide) :])))
         if others:
-            self._add(others, [self._encode(p) for p in others])
+            self._add(others, map(self._encode, others))
+
+    def _numbered(self, parts: list[str], word: np.ndarray) -> np.ndarray:
+        """The numbers of distinct ``parts``, learned if they are not known; those of letters are ``word``."""
+        known = self._part
+        found = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            letters = word[new]
+            self._learn(*([parts[i] for i in new[of].tolist()] for of in (letters, ~letters)))
+            found[new] = [known[parts[i]] for i in new.tolist()]
+        return found
 
     def room(self) -> None:
         """Forget all parts if there are many, and all pieces; numbers given before are void then."""
@@ -148,22 +150,22 @@ class WordTokenizer:
         if len(self._part) > _REMEMBERED:
             self.forget()
 
-    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+    def numbers(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The numbers of each text's pieces."""
         pieces, places = _distinct(texts)
         cores, tails, plain = _parted(pieces)
         word = np.zeros(len(cores.dictionary), bool)
         word[cores.indices.to_numpy()[plain]] = True
-        names, ends = cores.dictionary.to_pylist(), tails.dictionary.to_pylist()
-        self._learn(
-            [n for n, w in zip(names, word, strict=True) if w],
-            [n for n, w in zip(names, word, strict=True) if not w] + ends,
-        )
-        known, begin = self._part, self._piece
+        begin = self._piece
         self._piece += len(pieces)
         self._cores, self._tails = _room(self._cores, self._piece), _room(self._tails, self._piece)
-        for of, strings, parts in ((self._cores, names, cores), (self._tails, ends, tails)):
-            numbers = np.fromiter(map(known.__getitem__, strings), np.int64, len(strings))
+        for of, parts, letters in (
+            (self._cores, cores, word),
+            (self._tails, tails, np.zeros(len(tails.dictionary), bool)),
+        ):
+            # By way of numpy, which makes strings much faster than to_pylist.
+            strings = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+            numbers = self._numbered(strings, letters)
             of[begin : self._piece] = numbers[parts.indices.to_numpy()]
         return [at.astype(np.int64) + begin for at in places]
 
@@ -173,11 +175,17 @@ class WordTokenizer:
 
     def hashes(self, terms: np.ndarray) -> np.ndarray:
         """64-bit hashes of terms, the same in every task."""
-        return self._hashes[terms]
+        names = list(self._part)
+        found = (xxhash.xxh3_64_intdigest(names[at]) for at in terms.tolist())
+        return np.fromiter(found, np.uint64, len(terms)).view(np.int64)
+
+    def counts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each piece, without the punctuation after it, and of that."""
+        return self._lengths[self._cores[numbers]], self._lengths[self._tails[numbers]]
 
-    def count(self, numbers: np.ndarray) -> int:
-        """The number of ids of pieces."""
-        return int(self._lengths[self._cores[numbers]].sum() + self._lengths[self._tails[numbers]].sum())
+    def id_type(self) -> str:
+        """What holds any id."""
+        return "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """The token ids of pieces."""
@@ -214,7 +222,7 @@ class TermHashes:
             self._known = _Hashes()
         pieces, places = _distinct(texts)
         cores, _, _ = _parted(pieces)
-        names = cores.dictionary.to_pylist()
+        names = cores.dictionary.to_numpy(zero_copy_only=False).tolist()
         hashes = np.fromiter(map(self._known.__getitem__, names), np.uint64, len(names)).view(np.int64)
         hashes = hashes[cores.indices.to_numpy()]
         return [hashes[at] for at in places]
