@@ -48,6 +48,7 @@ FILE_TERMS = 1 << 20
 #: word begins there, and whether it is of a word.
 IDS = "ids binary, begins binary, inner binary"
 SPLIT = f"doc_id long, row long, bytes long, {IDS}"
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, sequence_tokens long, ids binary"
@@ -136,21 +137,26 @@ def split(docs: DataFrame, tokenizer: str) -> DataFrame:
 def terms_of(ids: list[np.ndarray], begins: list[bytes], inner: list[bytes]) -> list[np.ndarray]:
     """Hashes of the terms of documents, from their ``IDS``."""
     none = np.zeros(0, np.uint8)
-    each = [
-        np.concatenate([none, *(np.unpackbits(np.frombuffer(x, np.uint8), count=len(i) - 1) for x, i in zip(y, ids))])
+    start, word = (
+        np.concatenate(
+            [none, *(np.unpackbits(np.frombuffer(x, np.uint8), count=len(i) - 1) for x, i in zip(y, ids))]
+        ).view(bool)
         for y in (begins, inner)
-    ]
-    words = np.flatnonzero(each[1])
-    first = np.flatnonzero(each[0][words])
-    token = np.concatenate([none, *(i[:-1] for i in ids)])[words].astype(np.uint64)
-    sizes = np.diff(np.r_[first, len(words)])
-    place = np.arange(len(words)) - np.repeat(first, sizes)
-    token |= place.astype(np.uint64) << np.uint64(32)
-    hashes = np.add.reduceat(mixed(token), first) if len(first) else token
+    )
+    token = np.concatenate([none, *(i[:-1] for i in ids)])[word]
+    first = np.flatnonzero(start[word])
+    sizes = np.diff(first, append=len(token))
+    hashes = np.zeros(len(first), np.uint64)
+    at, left = first, slice(None)
+    for place in range(sizes.max(initial=0)):
+        if place:  # the words that go on
+            left = np.flatnonzero(sizes > place) if place == 1 else left[sizes[left] > place]
+            at = first[left] + place
+        hashes[left] = (hashes[left] ^ mixed(token[at].astype(np.uint64) + np.uint64(1))) * _FACTOR
     # A document's words are those that begin in it.
     ends = np.cumsum([len(i) - 1 for i in ids], dtype=np.int64)
-    cuts = np.searchsorted(words[first], ends)
-    return np.split(hashes.view(np.int64), cuts)[: len(ids)]
+    cuts = np.searchsorted(np.flatnonzero(start), ends)
+    return np.split(mixed(hashes).view(np.int64), cuts)[: len(ids)]
 
 
 def statistics(docs: DataFrame) -> Statistics:
@@ -257,14 +263,20 @@ class Index:
         n = self.n = len(terms)
         sizes = np.array([len(t) for t in terms], np.int64)
         doc, term, tf = counted(terms)
-        names, dense = np.unique(term, return_inverse=True)
-        self.df = np.bincount(dense, minlength=len(names))
-        self.begins = np.cumsum(self.df) - self.df
-        of_all = known.of(names)[0] if known else self.df
+        # Postings by term; within a term their order does not matter.
+        order = np.argsort(term)
+        begins = np.diff(term[order], prepend=-1) != 0
+        if len(order):
+            begins[0] = True
+        self.begins = np.flatnonzero(begins)
+        self.df = np.diff(self.begins, append=len(order))
+        number = np.cumsum(begins) - 1
+        of_all = known.of(term[order[self.begins]])[0] if known else self.df
         known = known or Statistics("", 0, n, sizes.mean())
-        weights = known.weights(of_all[dense], tf, sizes[doc])
-        order = np.argsort(dense, kind="stable")
-        self.docs, self.weights = doc[order].astype(np.int32), weights[order]
+        self.docs = doc[order].astype(np.int32)
+        self.weights = known.weights(of_all[number], tf[order], sizes[self.docs])
+        dense = np.empty(len(order), np.int64)
+        dense[order] = number
         # The terms of each document, without those of one document only.
         met = self.df[dense] > 1
         self.terms = dense[met]

@@ -65,7 +65,9 @@ def _parted(pieces: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray, n
     if len(rest):
         bare = bare.filter(other)
         letters = pc.match_substring_regex(bare, f"^{_LETTERS}+$")
-        after = pc.replace_substring_regex(rest, f"^{_LETTERS}+", "")
+        longer = pc.not_equal(pc.binary_length(rest), pc.binary_length(bare))
+        after = pc.replace_substring_regex(rest.filter(longer), f"^{_LETTERS}+", "")
+        after = pc.replace_with_mask(pc.if_else(longer, rest, ""), longer, after)
         cores = pc.replace_with_mask(cores, other, pc.if_else(letters, pc.utf8_lower(bare), rest))
         tails = pc.replace_with_mask(tails, other, pc.if_else(letters, after, ""))
         plain[~plain] = letters
@@ -86,7 +88,8 @@ class WordTokenizer:
         # The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the
         # characters from 256 on.
         others = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
-        self._letters = dict(zip(others, range(256, 256 + len(others)), strict=True))
+        self._letters = np.arange(256, dtype="<u4")
+        self._letters[others] = np.arange(256, 256 + len(others))
         self.forget()
 
     def forget(self) -> None:
@@ -127,8 +130,8 @@ class WordTokenizer:
             wide = [w for w in words if not w.isascii()]
             words = wide + [w for w in words if w.isascii()]
             # As bytes in one go; a line end is one of the characters for other bytes.
-            spelt = "\n".join(wide).encode().decode("latin-1").translate(table)
-            spelt = spelt.split(chr(table[ord("\n")])) if wide else []
+            spelt = table[np.frombuffer("\n".join(wide).encode(), np.uint8)]
+            spelt = spelt.tobytes().decode("utf-32-le").split(chr(table[ord("\n")])) if wide else []
             self._add(words, ([t.id for t in tokenize(w)] for w in chain(spelt, words[len(wide) :])))
         if others:
             self._add(others, map(self._encode, others))

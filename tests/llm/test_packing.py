@@ -181,3 +181,34 @@ def test_texts_with_separators_among_others():
     assert [known.ids(p).tolist() for p in known.numbers(rows)] == [encoded(t) for t in rows]
     assert [len(t) for t in TermHashes().of(rows)] == [2, 2, 0, 2, 1]
     assert TermHashes().of([]) == [] == known.numbers([])
+
+
+def test_a_text_is_split_once(spark):
+    got = packing.pack(documents(spark), PATH)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ids-" in got.inputFiles()[0] and "text" not in plan.split("ReadSchema")[-1]
+    assert "octet_length" not in plan and "MapInArrow encode" not in plan
+
+
+def test_terms_are_the_ids_of_words(spark):
+    rows = ["Straße, straße; (Straße) été ÉTÉ! été", "", "!!! ,", "été x9 x9, strabe", "it's  an'd an", "été"]
+    docs = documents(spark, [*rows, *texts()[:40]]).selectExpr("doc_id", "coalesce(text, '') text")
+    split = packing.split(docs, PATH).toPandas().sort_values("doc_id")
+    ids = [np.frombuffer(i, "<u2") for i in split["ids"]]
+    assert [i.tolist() for i in ids[: len(rows)]] == [[*encoded(t), 2] for t in rows]
+    found = packing.terms_of(ids, list(split["begins"]), list(split["inner"]))
+    # As the words are told apart by their hashes, up to the names.
+    known = WordTokenizer(PATH)
+    want = [known.terms(p) for p in known.numbers([*rows, *(t or "" for t in texts()[:40])])]
+    assert [len(t) for t in found] == [len(t) for t in want]
+    pairs = set(zip(np.concatenate(found).tolist(), np.concatenate(want).tolist()))
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert found[5].tolist() == found[0][3:4].tolist()
+
+
+def test_letters_of_other_alphabets_are_those_of_the_tokenizer():
+    letters = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha()]
+    rows = [" ".join(f"{a}{b}{c}" for a in letters) for b in ("", "x", "É") for c in ("", "!", "),")]
+    known = WordTokenizer(PATH)
+    for text, pieces in zip(rows, known.numbers(rows)):
+        assert known.ids(pieces).tolist() == encoded(text)
