@@ -195,3 +195,12 @@ def test_answers_and_citations(spark):
     assert found == {(2, "c2", True), (5, None, False)}
     offline = {a.query_id: a.answer for a in answer(prompts).collect()}
     assert offline[7].startswith("No model") and offline[8] == NO_SOURCES
+
+
+def test_a_scan_has_at_most_one_task_for_each_core(spark):
+    rows = spark.range(200).selectExpr(
+        "id AS doc_id", "concat('r', id) AS row_id", "concat('r', id) AS parent_id",
+        "array(cast(id AS DOUBLE), 1D) AS vector", "id AS query_id",
+    ).repartition(40)
+    found = r.candidates(rows, rows.select("query_id", "vector"), 3)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
