@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,68 @@ def test_small_batches_give_the_same(spark, skewed):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def ranked_in_process(rows, asked, n, by_parent):
+    """(query, doc, row) of what one task returns, in the order of its best."""
+    ids = {"doc_id": [x[0] for x in rows], "row_id": [x[1] for x in rows], "parent_id": [x[2] for x in rows]}
+    table = pa.table({**ids, "vector": [x[3] for x in rows]})
+    ranker = r._Ranker(n, by_parent, pa.int64(), pa.int64())
+    matrix = np.array([vector for _, vector in asked])
+    found = ranker.run(table.to_batches(max_chunksize=13), [query for query, _ in asked], matrix)
+    key = [("query_id", "ascending"), ("similarity", "descending"), ("doc_id", "ascending"), ("row_id", "ascending")]
+    hits, counts = set(), {}
+    for hit in found.sort_by(key).to_pylist():
+        counts[hit["query_id"]] = rank = counts.get(hit["query_id"], 0) + 1
+        hits.add((hit["query_id"], hit["doc_id"], hit["row_id"], rank))
+    return hits
+
+
+@pytest.mark.parametrize("by_parent", [False, True])
+@pytest.mark.parametrize("n", [1, 3, 40])
+@pytest.mark.parametrize("tiles", [(7, 3, 500), (64, 4, 20_000)])
+def test_many_slabs_and_tiles_give_the_same(skewed, monkeypatch, n, by_parent, tiles):
+    _, _, rows, asked = skewed
+    shuffled = [rows[i] for i in np.random.default_rng(3).permutation(len(rows))]
+    for name, value in zip(("ROW_TILE", "QUERY_TILE", "SLAB_BYTES"), tiles):
+        monkeypatch.setattr(r, name, value)
+    monkeypatch.setattr(r, "PAIRS", 50)
+    monkeypatch.setattr(r, "CELLS", 100)
+    asked = [*asked, (99, [0.0] * 16)]  # to which all rows are equally near
+    assert ranked_in_process(shuffled, asked, n, by_parent) == brute_or_zero(rows, asked, n, by_parent)
+
+
+def brute_or_zero(rows, asked, n, by_parent):
+    some = [(query, vector) for query, vector in asked if any(vector)]
+    zero = [(query, [1.0]) for query, vector in asked if not any(vector)]
+    flat = [(d, row, p, [0.0]) for d, row, p, _ in rows]
+    return brute(rows, some, n, by_parent) | brute(flat, zero, n, by_parent)
+
+
+def test_copies_of_a_vector_are_scored_once(skewed, monkeypatch):
+    _, _, rows, asked = skewed
+    product, columns = np.matmul, []
+    monkeypatch.setattr(r.np, "matmul", lambda a, b, **kw: columns.append(b.shape[1]) or product(a, b, **kw))
+    assert ranked_in_process(rows, asked, 4, False) == brute(rows, asked, 4)
+    assert sum(columns) == len({tuple(vector) for *_, vector in rows})
+
+
+def test_blocks_scan_tasks_of_as_many_rows_each(spark, skewed, monkeypatch):
+    index, queries, rows, asked = skewed
+    scan, sizes = r._scan, []
+
+    def watched(rows_, *rest):
+        parts = rows_.coalesce(spark.sparkContext.defaultParallelism).groupBy(F.spark_partition_id()).count()
+        sizes.append([row["count"] for row in parts.collect()])
+        return scan(rows_, *rest)
+
+    monkeypatch.setattr(r, "KEPT_ROWS", 12)
+    monkeypatch.setattr(r, "_scan", watched)
+    heavy = index.withColumn("part", F.when(F.col("doc_id") < 4, 0).otherwise(F.col("doc_id") + F.hash("row_id")))
+    uneven = heavy.repartition(40, "part").drop("part")
+    assert ids(r.knn_topk(uneven, queries, 6)) == brute(rows, asked, 6)
+    cores = spark.sparkContext.defaultParallelism
+    assert all(len(found) == cores and max(found) <= 2 * len(rows) / cores for found in sizes)
+
+
 def test_all_cells_make_the_approximate_search_exact(skewed):
     index, queries, rows, asked = skewed
     found = r.search_ann(index, queries, 5, bits=1)
