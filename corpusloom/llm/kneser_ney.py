@@ -34,8 +34,12 @@ from corpusloom.llm.tables import stage, staging_folder
 #: Hashes of the end and the start of a text; words are not empty and are hashed without a seed.
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"", seed=1))
-#: Tokens of a shard, tokens counted together, and tokens scored together.
+#: Tokens of a shard, tokens counted together, and tokens scored together: so many, or more in a model of
+#: many shards, since a look-up goes through all of them.
 SHARD_TOKENS, BLOCK, SCORED = 1 << 20, 3 << 20, 1 << 18
+SCORED_A_SHARD, MOST_SCORED = 1 << 10, 1 << 20
+#: Files that a worker keeps mapped, six a shard; a process may have 65,530.
+MAPS = 60_000
 #: A context this frequent, and more than one token in 65,536, is spread over all shards.
 FREQUENT = 1 << 18
 
@@ -278,10 +282,10 @@ def _sums(kind: int, name: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
     return out
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=MAPS)
 def _mapped(folder: str, name: str) -> np.ndarray | None:
     path = f"{folder}/{name}.npy"
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    return np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else None
 
 
 def looked_up(
@@ -337,6 +341,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     others = [f for f in docs.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     schema += ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    together = min(max(SCORED, SCORED_A_SHARD * model.shards), MOST_SCORED)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -346,7 +351,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for text in batch["text"]:
                 waiting.append(tokens(text))
                 size += len(waiting[-1])
-                if size > SCORED:
+                if size > together:
                     found += _scored(model, waiting)
                     waiting, size = [], 0
             found += _scored(model, waiting)

@@ -102,3 +102,22 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     assert (got[0]["n_tokens"], got[0]["n_known"], got[1]["n_tokens"]) == (3, 0, 1)
     assert got[0]["score"] == 0.0  # every token is the unseen word
     assert kneser_ney.score(docs.select("doc_id", "text").limit(0), model).count() == 0
+
+
+def test_files_of_many_shards_are_mapped_once(tmp_path, monkeypatch):
+    shards = 900
+    names = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 20_000).astype(np.uint64))
+    shard = kneser_ney.shard_of(names, shards)
+    for k in range(shards):
+        for keys, values, width in (("words", "seen", 2), ("pairs", "counts", 1), ("contexts", "followed", 3)):
+            kneser_ney.saved(str(tmp_path), f"{keys}-{k}", names[shard == k])
+            numbers = np.arange(len(names))[shard == k]
+            kneser_ney.saved(str(tmp_path), f"{values}-{k}", np.stack([numbers] * width, 1))
+    load, loaded = np.load, []
+    monkeypatch.setattr(np, "load", lambda path, **kw: loaded.append(path) or load(path, **kw))
+    for _ in range(2):
+        for keys, values, width in (("words", "seen", 2), ("pairs", "counts", 1), ("contexts", "followed", 3)):
+            found = kneser_ney.looked_up(str(tmp_path), keys, values, names[::3], shard[::3], width)
+            assert (found == np.arange(len(names))[::3, None]).all()
+    assert len(loaded) == len(set(loaded)) == 6 * shards
+    kneser_ney._mapped.cache_clear()
