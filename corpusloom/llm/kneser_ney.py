@@ -89,6 +89,16 @@ def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and for every key its number among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 def bigram(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + after)
 
@@ -178,14 +188,18 @@ def train(docs: DataFrame) -> Model:
 
     def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for before, after in blocks(batches):
-            order = np.lexsort([after, before])
+            keys = bigram(before, after)
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            n = np.diff(np.r_[first, len(keys)])
+            keys, order = keys[first], order[first]
             before, after = before[order], after[order]
-            del order
-            new = np.r_[True, (before[1:] != before[:-1]) | (after[1:] != after[:-1])]
-            first = np.flatnonzero(new)
-            n = np.diff(np.r_[first, len(before)])
-            before, after = before[first], after[first]
-            shard = placed(before, bigram(before, after), known.value, shards)
+            # Rows of a context together take less room in the shuffle.
+            order = np.argsort(before, kind="stable")
+            before, after, n = before[order], after[order], n[order]
+            shard = placed(before, keys[order], known.value, shards)
+            del keys, order
             for i in range(0, len(n), 1 << 17):
                 part = slice(i, i + (1 << 17))
                 yield pd.DataFrame(
@@ -291,9 +305,10 @@ def _mapped(folder: str, name: str) -> np.ndarray | None:
 def looked_up(
     folder: str, keys: str, values: str, names: np.ndarray, shards: np.ndarray, width: int
 ) -> np.ndarray:
-    """(names, width) numbers stored beside ``names`` in their shards; zeros where there is none."""
+    """(names, width) numbers stored beside ascending ``names`` in their shards; zeros where there is none."""
     out = np.zeros((len(names), width), np.int64)
-    order = np.lexsort([names, shards])
+    few = len(shards) and shards.max() < 1 << 16  # numbers that are sorted by their digits
+    order = np.argsort(shards.astype(np.uint16) if few else shards, kind="stable")
     names, shards = names[order], shards[order]
     starts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(names) else []
     for begin, end in zip(starts, [*starts[1:], len(names)], strict=True):
@@ -307,18 +322,21 @@ def looked_up(
 
 def probabilities(model: Model, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
     """log10 p(after | before) by the model, and the count of ``after`` in training."""
-    word, at = np.unique(np.r_[after, before], return_inverse=True)
+    word, _, at = distinct(np.r_[after, before])
     seen = looked_up(model.folder, "words", "seen", word, shard_of(word, model.shards), 2)[at]
     (count, continued), total = seen[: len(after)].T, seen[len(after) :, 0].copy()
     total[before == START] = model.texts
     low = np.maximum(continued - model.discount(continued, model.low), 0) / max(model.types, 1)
     low += model.low_left / (model.distinct + 1)
 
-    pair, first, back = np.unique(bigram(before, after), return_index=True, return_inverse=True)
+    pair, first, back = distinct(bigram(before, after))
     shard = placed(before[first], pair, model.frequent[0], model.shards)
     n = looked_up(model.folder, "pairs", "counts", pair, shard, 1)[back, 0]
 
-    context, back = np.unique(before, return_inverse=True)
+    before_another = np.zeros(len(word), bool)
+    before_another[at[len(after) :]] = True
+    context = word[before_another]
+    back = (np.cumsum(before_another) - 1)[at[len(after) :]]
     followed = looked_up(
         model.folder, "contexts", "followed", context, shard_of(context, model.shards), 3
     ).astype(np.float64)
